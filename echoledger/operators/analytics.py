@@ -109,6 +109,11 @@ def value_counts(df: DataFrame, keys: list[str], value: str, span: int = 1024) -
     ranges and carried over from range totals, so its windows stay short.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n_at"))
+    return running_counts(counts, keys, value, span)
+
+
+def running_counts(counts: DataFrame, keys: list[str], value: str, span: int = 1024) -> DataFrame:
+    """Running counts over (keys, value, n_at) rows."""
     ranged = counts.withColumn("_range", F.floor(F.col(value) / span))
     group = [F.col(k) for k in keys] or [F.lit(0)]
     before = W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
@@ -135,7 +140,15 @@ def _at_rank(value: Column, rank: Column) -> Column:
 
 def p95_exclusive(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Nineteenth of twenty exclusive quantiles: it may lie beyond the largest value."""
-    counts = value_counts(df, keys, value)
+    return _p95(value_counts(df, keys, value), keys, value)
+
+
+def p95_of_counts(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The same quantile where counts per value (n_at) are kept already."""
+    return _p95(running_counts(counts, keys, value), keys, value)
+
+
+def _p95(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
     n = F.col("n_all")
     j = F.least(F.greatest(F.floor(19 * (n + 1) / 20), F.lit(1)), F.greatest(n - 1, F.lit(1)))
     picked = counts.withColumn("j", j).withColumn("d", 19 * (n + 1) - 20 * F.col("j"))
@@ -240,22 +253,29 @@ def fact_violations(usage: DataFrame, tier: str | None = None) -> DataFrame:
     return usage.agg(*checks)
 
 
-def top_prompts(attribution: DataFrame, store: DataFrame, n: int = 20) -> DataFrame:
-    """Most reused stored prompts: hits are counted from the attribution, then n rows look up their text."""
-    counted = (
-        attribution.where(F.col("matched_hash").isNotNull())
-        .groupBy("matched_hash")
-        .agg(F.count(F.lit(1)).alias("hit_count"), F.max("ts").alias("last_hit_at"))
-        .orderBy(F.desc("hit_count"), "matched_hash")
-        .limit(n)
+def _counted(attribution: DataFrame) -> DataFrame:
+    return attribution.where(F.col("matched_hash").isNotNull()).groupBy("matched_hash").agg(
+        F.count(F.lit(1)).alias("hit_count"), F.max("ts").alias("last_hit_at")
     )
-    return (
-        store.join(F.broadcast(counted), F.col("prompt_hash") == F.col("matched_hash"))
-        .select("prompt_hash", "prompt_text", "hit_count", "created_at", "last_hit_at")
-        .orderBy(F.desc("hit_count"), "prompt_hash")
+
+
+def _described(counted: DataFrame, store: DataFrame) -> DataFrame:
+    return store.join(counted, F.col("prompt_hash") == F.col("matched_hash")).select(
+        "prompt_hash", "prompt_text", "hit_count", "created_at", "last_hit_at"
     )
 
 
+def reuse_counts(attribution: DataFrame, store: DataFrame) -> DataFrame:
+    """hit_count and last_hit_at of every reused prompt, derived from the attribution."""
+    return _described(_counted(attribution), store)
+
+
+def top_prompts(attribution: DataFrame, store: DataFrame, n: int = 20) -> DataFrame:
+    """Most reused stored prompts: hits are counted first, then n rows look up their text."""
+    top = _counted(attribution).orderBy(F.desc("hit_count"), "matched_hash").limit(n)
+    return _described(F.broadcast(top), store).orderBy(F.desc("hit_count"), "prompt_hash")
+
+
 def tail_lines(usage: DataFrame) -> DataFrame:
     """One printable line per call, as a live tail shows it."""
     score = F.format_string("%.3f", "similarity_score")
