@@ -21,7 +21,7 @@ class ReuseConfig:
     flush_interval_s: int = 30
 
     # Physical sizing of the similarity join.
-    block_rows: int = 2048
+    block_rows: int = 3072
     block_bytes: int = 48 * 1024 * 1024
     max_pivots: int = 1024
 

@@ -47,12 +47,12 @@ def warmup_row(spark: SparkSession, dims: int = DEFAULTS.embedding_dims) -> Data
     )
 
 
-def index_projection(store: DataFrame) -> DataFrame:
+def index_projection(store: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """The seven searchable columns, with a model and a price in every row."""
     filled = store.withColumn("model", F.coalesce("model", F.lit("unknown"))).withColumn(
         "cost_usd", F.coalesce("cost_usd", F.lit(0.0))
     )
-    return filled.select(*schemas.INDEX_COLUMNS)
+    return filled.select(*schemas.INDEX_COLUMNS, *keep)
 
 
 def store_rows(requests: DataFrame, embed=V.hashed_terms, response: str = "response_json") -> DataFrame:
@@ -86,8 +86,9 @@ def seed(prompts: DataFrame, model: str, embed=V.hashed_terms) -> DataFrame:
             F.array(F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content"))).alias("messages"),
         )
     )
-    keyed = Q.canonicalize(prompts.withColumn("body", body))
-    return latest_by_key(store_rows(keyed, embed), "id", ["created_at"])
+    keyed = Q.canonicalize(prompts.withColumn("body", body)).drop("body", "prompt")
+    # one row per key before embedding, so that no text is embedded twice
+    return store_rows(latest_by_key(keyed, "prompt_hash", ["ts"]), embed)
 
 
 def decode_pending(queue: DataFrame) -> DataFrame:

@@ -254,7 +254,7 @@ ORACLE: dict[str, str] = {
         SELECT phase, count(*) AS n_requests, count(*) FILTER (WHERE tier='L1') AS l1_hits, count(*) FILTER (WHERE tier='L2') AS l2_hits, count(*) FILTER (WHERE tier='miss') AS misses FROM t GROUP BY 1""",
     # guard and quality
     "guard_negation": "WITH " + PAIRS + "," + _PAIR_CAND + " SELECT a AS pair_id, neg_conflict FROM verdict",
-    "guard_direction": "WITH " + PAIRS + "," + _PAIR_CAND + " SELECT id AS doc_id, source, target FROM gd",
+    "guard_direction": "WITH " + PAIRS + "," + _PAIR_CAND + " SELECT id AS doc_id, CASE WHEN target IS NOT NULL THEN source END AS source, CASE WHEN source IS NOT NULL THEN target END AS target FROM gd",
     "guard_words": "WITH " + PAIRS + "," + _PAIR_CAND + " SELECT a AS pair_id, word_conflict FROM verdict",
     "guard_difference": "WITH " + PAIRS + "," + _PAIR_CAND + ", d AS (SELECT p.a, (SELECT count(*) FROM gw x WHERE x.id=p.a) AS na, (SELECT count(*) FROM gw x WHERE x.id=p.b) AS nb, (SELECT count(*) FROM gw x JOIN gw y ON x.t=y.t WHERE x.id=p.a AND y.id=p.b) AS nc FROM cand p) SELECT a AS pair_id, (na-nc)::INT AS only_a, (nb-nc)::INT AS only_b FROM d",
     "guard_safe": "WITH " + PAIRS + "," + _PAIR_CAND + " SELECT a AS pair_id, safe FROM verdict",

@@ -26,24 +26,13 @@ def query(fn: Query) -> Query:
     return fn
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when a table has fewer files than the cluster has cores.
-
-    The row-wise work that follows costs far more than moving the text once; tables
-    with splits enough keep the partitions they were read in.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    files = len(df.inputFiles())
-    return df.repartition(cores) if files < cores else df
-
-
 def facts(spark: SparkSession, sf: str) -> DataFrame:
     return cost.with_costs(T.usage(spark, sf))
 
 
 def document_log(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as a canonical request log in document order."""
-    docs = spread(T.document_requests(spark, sf))
+    docs = T.document_requests(spark, sf)
     body = F.to_json(
         F.struct(
             F.col("model"),
@@ -58,7 +47,7 @@ def document_log(spark: SparkSession, sf: str) -> DataFrame:
 
 def document_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """Documents prepared for similarity: id, arrival order, vector, family, guard features."""
-    docs = spread(T.document_requests(spark, sf)).withColumn("family", C.model_family(F.col("model")))
+    docs = T.document_requests(spark, sf).withColumn("family", C.model_family(F.col("model")))
     rows = docs.withColumn("vec", V.hashed_terms(F.col("prompt_text")))
     return S.materialised(S.prepare(rows, "request_id", F.col("request_id"), "vec", "family", "prompt_text"))
 
@@ -212,7 +201,7 @@ def model_family(spark, sf):
 
 @query
 def canonical_hash(spark, sf):
-    return N.canonicalize(spread(T.document_bodies(spark, sf))).select("request_id", "prompt_hash", "model")
+    return N.canonicalize(T.document_bodies(spark, sf)).select("request_id", "prompt_hash", "model")
 
 
 @query
@@ -222,7 +211,7 @@ def request_rejects(spark, sf):
 
 @query
 def embedding_text(spark, sf):
-    return N.canonicalize(spread(T.document_bodies(spark, sf))).select("request_id", F.sha2("embed_text", 256).alias("embed_hash"))
+    return N.canonicalize(T.document_bodies(spark, sf)).select("request_id", F.sha2("embed_text", 256).alias("embed_hash"))
 
 
 @query
@@ -316,7 +305,7 @@ def pending_round_trip(spark, sf):
 
 @query
 def seed_store(spark, sf):
-    docs = spread(T.table(spark, sf, "documents"))
+    docs = T.spread(T.table(spark, sf, "documents"))
     prompts = docs.select(
         F.col("text").alias("prompt"), F.lit("{}").alias("response_json"), F.timestamp_seconds(F.lit(1_704_067_200) - F.col("doc_id")).alias("ts")
     )
@@ -350,7 +339,7 @@ def message_tokens(spark, sf):
 
 @query
 def assemble_message(spark, sf):
-    built = RS.assembled(spread(T.response_buffers(spark, sf))).withColumn("v", F.try_parse_json("message"))
+    built = RS.assembled(T.response_buffers(spark, sf)).withColumn("v", F.try_parse_json("message"))
     v = F.col("v")
     return built.select(
         "response_id",
@@ -379,7 +368,7 @@ def replay_form(spark, sf):
     """Stored form against asked form; tells the form that came out and whether it was converted."""
     sse = T.response_buffers(spark, sf).where(F.col("conv_id") % 2 == 1).select("response_id", "turn", "raw")
     messages = T.response_messages(spark, sf).where(F.col("conv_id") % 2 == 0).select("response_id", "turn", "raw")
-    both = spread(sse.unionByName(messages))
+    both = sse.unionByName(messages)
     out = both.withColumn("sent", R.replay(F.col("raw"), F.col("turn") % 3 == 0))
     return out.select(
         "response_id",
@@ -390,7 +379,7 @@ def replay_form(spark, sf):
 
 @query
 def round_trip(spark, sf):
-    return RS.round_trip_report(spread(T.response_messages(spark, sf)))
+    return RS.round_trip_report(T.response_messages(spark, sf))
 
 
 # ---------------------------------------------------------------- vectors and similarity
@@ -398,7 +387,7 @@ def round_trip(spark, sf):
 
 @query
 def doc_vectors(spark, sf):
-    docs = spread(T.document_requests(spark, sf)).select("request_id", V.hashed_terms(F.col("prompt_text")).alias("v"))
+    docs = T.document_requests(spark, sf).select("request_id", V.hashed_terms(F.col("prompt_text")).alias("v"))
     return docs.select("request_id", F.posexplode("v").alias("bucket", "x")).where("x > 0").select(
         "request_id", F.col("bucket").cast("long").alias("bucket"), F.round("x", 6).alias("x")
     )
@@ -514,7 +503,7 @@ def usage_ledger(spark, sf):
 
 
 def _guarded_pairs(spark, sf):
-    docs = spread(T.table(spark, sf, "documents")).select("doc_id", G.features(F.col("text")).alias("g"))
+    docs = T.spread(T.table(spark, sf, "documents")).select("doc_id", G.features(F.col("text")).alias("g"))
     left = docs.select(F.col("doc_id").alias("pair_id"), F.col("g").alias("ga"))
     right = docs.select((F.col("doc_id") - 1).alias("pair_id"), F.col("g").alias("gb"))
     return left.join(right, "pair_id")
@@ -541,7 +530,7 @@ def guard_words(spark, sf):
 @query
 def guard_direction(spark, sf):
     way = G.direction(G.tokens(F.col("text")))
-    return spread(T.table(spark, sf, "documents")).select("doc_id", way.alias("w")).select("doc_id", "w.source", "w.target")
+    return T.spread(T.table(spark, sf, "documents")).select("doc_id", way.alias("w")).select("doc_id", "w.source", "w.target")
 
 
 @query
@@ -550,7 +539,7 @@ def guard_safe(spark, sf):
 
 
 def _scored(spark, sf):
-    return Q.score_pairs(spread(T.adjacent_pairs(spark, sf)))
+    return Q.score_pairs(T.adjacent_pairs(spark, sf))
 
 
 def _rounded(df: DataFrame) -> DataFrame:

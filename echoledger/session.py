@@ -40,9 +40,14 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise in the checkpoint folder: survives executor loss, frees the plan."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write to the shared folder and read back: survives executor loss, ends the plan here.
+
+    A Parquet table rather than an RDD checkpoint, so that later passes read only the
+    columns they name.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -14,6 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan over all cores where the table has fewer files than the cluster has cores.
+
+    Parsing and embedding cost far more than moving the text once; a table with files
+    enough keeps the partitions it is read in.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def _props_number() -> Column:
     return F.regexp_extract("props", r"([0-9]+)", 1)
 
@@ -55,7 +65,8 @@ def document_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("doc_id") % 4 == 1, " Claude-Opus-4-5")
         .when(F.col("doc_id") % 4 == 2, "claude-3-5-haiku-20241022")
     )
-    return table(spark, sf_dir, "documents").select(
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return docs.select(
         F.col("doc_id").alias("request_id"),
         F.col("source").alias("session_id"),
         model.alias("model"),
@@ -63,14 +74,9 @@ def document_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _json_text(column: str) -> str:
-    return f"to_json(to_variant_object(struct({column} AS s)))"
-
-
 def document_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Request bodies in every shape the canonical form has to fold together or turn away."""
-    quoted = F.expr(f"regexp_extract({_json_text('prompt_text')}, '(?s)^.\"s\":(.*).$', 1)")
-    docs = document_requests(spark, sf_dir).withColumn("q", quoted)
+    docs = document_requests(spark, sf_dir).withColumn("q", F.to_json(F.col("prompt_text").cast("variant")))
     body = F.expr(
         """
         CASE
@@ -131,7 +137,7 @@ def conversation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def response_buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event-stream buffers made from assistant turns, with the faults real streams have."""
-    said = table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    said = spread(table(spark, sf_dir, "conversations").where(F.col("role") == "assistant"))
     rid = F.concat_ws("-", F.col("conv_id"), F.col("turn"))
     base = said.select(
         rid.alias("response_id"),
@@ -141,7 +147,7 @@ def response_buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("text").cast("long").alias("in_tok"),
         F.size(F.split("text", " ")).cast("long").alias("out_tok"),
     )
-    js = "regexp_extract(to_json(to_variant_object(struct({0} AS s))), '(?s)^.\"s\":(.*).$', 1)"
+    js = "to_json(CAST({0} AS VARIANT))"
     eol = "CASE WHEN turn % 4 = 3 THEN '\\r\\n' ELSE '\\n' END"
     half = "cast(length(text) / 2 AS int)"
     raw = f"""
@@ -170,7 +176,7 @@ def response_buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def response_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain JSON message bodies made from the same turns."""
-    said = table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    said = spread(table(spark, sf_dir, "conversations").where(F.col("role") == "assistant"))
     message = F.to_json(
         F.struct(
             F.concat(F.lit("m"), F.concat_ws("-", "conv_id", "turn")).alias("id"),
@@ -191,7 +197,7 @@ def response_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def adjacent_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled text pairs: every document with the next one; alike when they share a language."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     left = docs.select(F.col("doc_id").alias("pair_id"), F.col("text").alias("a"), F.col("lang").alias("la"), F.col("source").alias("sa"))
     right = docs.select((F.col("doc_id") - 1).alias("pair_id"), F.col("text").alias("b"), F.col("lang").alias("lb"))
     return left.join(right, "pair_id").select(

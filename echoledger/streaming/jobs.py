@@ -102,7 +102,7 @@ def run_drain(queue: DataFrame, path: str, checkpoint: str, every: str | None =
 
 def run_propagation(store_appends: DataFrame, path: str, checkpoint: str, every: str | None = None):
     """Store appends into the searchable projection, latest row per key."""
-    rows = K.index_projection(store_appends).withColumn("changed_at", store_appends["created_at"])
+    rows = K.index_projection(store_appends, keep=("created_at",)).withColumnRenamed("created_at", "changed_at")
     return run(rows, keyed_sink(path, "id", ["changed_at"]), checkpoint, every=every)
 
 
