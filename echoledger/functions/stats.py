@@ -11,6 +11,12 @@ def percent(part: Column, whole: Column, digits: int) -> Column:
     return F.round(ratio, digits).cast("double")
 
 
+def money(amount: Column, digits: int) -> Column:
+    """Half-up rounding of a summed amount, settled at nine decimals first: double sums
+    vary in their last bits with the order of summation, and a report must not."""
+    return F.round(amount.cast("decimal(28,9)"), digits).cast("double")
+
+
 def percent_half_even(part: Column, whole: Column, digits: int = 1) -> Column:
     """Half-even percentage on binary floats; 0.0 where whole is zero."""
     return F.when(whole > 0, F.bround(part / whole * 100, digits)).otherwise(F.lit(0.0))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from echoledger.config import DEFAULTS
-from echoledger.functions.stats import percent, percent_half_even
+from echoledger.functions.stats import money, percent, percent_half_even
 
 
 def _hits() -> Column:
@@ -64,7 +64,7 @@ def hit_rate(usage: DataFrame) -> DataFrame:
 
 
 def total_saved(usage: DataFrame) -> DataFrame:
-    return usage.agg(F.round(F.sum("cost_saved_usd"), 4).alias("total_saved_usd"))
+    return usage.agg(money(F.sum("cost_saved_usd"), 4).alias("total_saved_usd"))
 
 
 def daily_summary(usage: DataFrame) -> DataFrame:
@@ -74,8 +74,8 @@ def daily_summary(usage: DataFrame) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("total_calls"),
             _hits().alias("cache_hits"),
-            F.round(F.sum("cost_usd"), 4).alias("gross_cost_usd"),
-            F.round(F.sum("cost_saved_usd"), 4).alias("saved_usd"),
+            money(F.sum("cost_usd"), 4).alias("gross_cost_usd"),
+            money(F.sum("cost_saved_usd"), 4).alias("saved_usd"),
             F.sum("latency_ms").alias("lat_sum"),
             F.count("latency_ms").alias("lat_n"),
         )

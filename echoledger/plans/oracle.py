@@ -183,8 +183,8 @@ ORACLE: dict[str, str] = {
     "session_stats": f"WITH {PRICED} SELECT session_id, count(*) AS total_calls, {_H} AS cache_hits, count(*)-{_H} AS cache_misses, round_even({_H}::DOUBLE/count(*)*100,1) AS hit_rate_pct, round(sum(cost_saved_usd),6) AS cost_saved_usd FROM facts GROUP BY 1",
     "daily_hits": f"WITH {USAGE} {_DAILY}",
     "hit_rate": f"WITH {USAGE} SELECT {_pct(2)} AS hit_rate_pct FROM usage",
-    "total_saved": f"WITH {PRICED} SELECT round(sum(cost_saved_usd),4) AS total_saved_usd FROM facts",
-    "daily_summary": f"WITH {PRICED} SELECT CAST(created_at AS DATE) AS date, count(*) AS total_calls, {_H} AS cache_hits, {_pct(1)} AS hit_rate_pct, round(sum(cost_usd),4) AS gross_cost_usd, round(sum(cost_saved_usd),4) AS saved_usd, round(avg(latency_ms)) AS avg_latency_ms FROM facts GROUP BY 1",
+    "total_saved": f"WITH {PRICED} SELECT round(sum(cost_saved_usd)::DECIMAL(28,9),4)::DOUBLE AS total_saved_usd FROM facts",
+    "daily_summary": f"WITH {PRICED} SELECT CAST(created_at AS DATE) AS date, count(*) AS total_calls, {_H} AS cache_hits, {_pct(1)} AS hit_rate_pct, round(sum(cost_usd)::DECIMAL(28,9),4)::DOUBLE AS gross_cost_usd, round(sum(cost_saved_usd)::DECIMAL(28,9),4)::DOUBLE AS saved_usd, round(avg(latency_ms)) AS avg_latency_ms FROM facts GROUP BY 1",
     "cost_by_model": f"WITH {PRICED} SELECT model, count(*) AS n_calls, round(sum(cost_usd),6) AS cost_usd, round(sum(cost_saved_usd),6) AS cost_saved_usd, round(sum(cost_usd-cost_saved_usd),6) AS spend_usd FROM facts GROUP BY 1",
     "rate_lookup": f"WITH {PRICED} SELECT model, in_rate, out_rate FROM price",
     "savings_model": f"WITH {USAGE} SELECT count(*) AS n_calls, {_H} AS n_hits, 0.00975::DOUBLE AS cost_per_call, round({_H}*0.00975::DOUBLE,6) AS saved_usd, round((count(*)-{_H})*0.00975::DOUBLE,6) AS spent_usd, round(100.0*{_H}::DOUBLE/count(*),4) AS saved_pct FROM usage",
