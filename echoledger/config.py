@@ -24,6 +24,8 @@ class ReuseConfig:
     block_rows: int = 3072
     block_bytes: int = 48 * 1024 * 1024
     max_pivots: int = 1024
+    broadcast_rows: int = 20_000
+    broadcast_bytes: int = 256 * 1024 * 1024
 
 
 DEFAULTS = ReuseConfig()

@@ -12,6 +12,7 @@ from echoledger.config import DEFAULTS
 from echoledger.functions import canonical as C, guard as G, responses as R, stats, vectors as V
 from echoledger.operators import analytics as A, cost, quality as Q, requests as N, resolve, responses as RS
 from echoledger.operators import similarity as S, store as K
+from echoledger.session import cut_lineage
 from echoledger.sources import logs, tables as T
 from echoledger.streaming import jobs as J
 
@@ -42,7 +43,8 @@ def document_log(spark: SparkSession, sf: str) -> DataFrame:
     log = docs.select(
         "request_id", "session_id", F.timestamp_seconds(F.col("request_id") + 1_704_067_200).alias("ts"), body.alias("body")
     )
-    return N.canonicalize(log).drop("body")
+    # a table of canonical requests: parsed once, read by column afterwards
+    return cut_lineage(N.canonicalize(log).drop("body"))
 
 
 def document_vectors(spark: SparkSession, sf: str) -> DataFrame:
