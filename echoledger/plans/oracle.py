@@ -294,3 +294,37 @@ ORACLE["replay_attribution"] = (
            CASE WHEN s.request_id<>s.first_id THEN 1.0 ELSE round(b.score,6) END AS score
     FROM seen s LEFT JOIN best b ON b.a=s.first_id"""
 )
+
+# The same walk, priced: tokens come from the answer that was served.
+ORACLE["usage_ledger"] = (
+    "WITH r AS (" + ORACLE["replay_attribution"] + """),
+    u AS (SELECT r.request_id, r.tier, d.source, d.text, CASE d.doc_id % 4 WHEN 0 THEN 'claude-opus-4-5' WHEN 1 THEN 'claude-opus-4-5' WHEN 2 THEN 'claude-3-5-haiku' ELSE 'unknown' END AS model,
+          coalesce(r.matched_id, r.request_id) AS served FROM r JOIN documents d ON d.doc_id=r.request_id),
+    p AS (SELECT u.*, length(s.text)::INT AS input_tokens, (u.served % 97)::INT AS output_tokens,
+          CASE model WHEN 'claude-opus-4-5' THEN 5.0::DOUBLE WHEN 'claude-3-5-haiku' THEN 0.8::DOUBLE ELSE 3.0::DOUBLE END AS ri,
+          CASE model WHEN 'claude-opus-4-5' THEN 25.0::DOUBLE WHEN 'claude-3-5-haiku' THEN 4.0::DOUBLE ELSE 15.0::DOUBLE END AS ro
+          FROM u JOIN documents s ON s.doc_id=u.served),
+    q AS (SELECT *, (input_tokens*ri+output_tokens*ro)/1000000 AS c FROM p)
+    SELECT sha256(source || '|' || request_id) AS id, request_id, tier, tier<>'miss' AS cache_hit, model, input_tokens, output_tokens, (length(text) % 1000)::INT AS latency_ms,
+           round(c,6) AS cost_usd, CASE WHEN tier<>'miss' THEN round(c,6) ELSE 0.0 END AS cost_saved_usd, CASE WHEN tier<>'miss' THEN 0.0 ELSE round(c,6) END AS spend_usd FROM q"""
+)
+
+ORACLE["top_prompts_limited"] = "WITH " + REQS + """,
+    k AS (SELECT '{"messages":[{"content":[{"text":' || CAST(to_json(text) AS VARCHAR) || ',"type":"text"}],"role":"user"}]' || CASE WHEN family IS NULL THEN '' ELSE ',"model":"' || family || '"' END || '}' AS c, n FROM firsts)
+    SELECT sha256(c) AS prompt_hash, sha256(c) AS text_hash, n-1 AS hit_count FROM k WHERE n > 1 ORDER BY n DESC, sha256(c) LIMIT 20"""
+
+# The alert rule walked call by call within each service.
+ORACLE["stream_breaker"] = "WITH RECURSIVE " + USAGE + """,
+    c AS (SELECT id, model AS service, failed, epoch_us(created_at) AS t, row_number() OVER (PARTITION BY model ORDER BY created_at, id) AS rn FROM usage),
+    w AS (SELECT DISTINCT service, 0::BIGINT AS rn, -1::BIGINT AS id, 'closed' AS state, 0::BIGINT AS opened, []::BIGINT[] AS recent, '' AS outcome FROM c
+          UNION ALL
+          SELECT service, rn, id,
+                 CASE WHEN s0='open' THEN 'open' WHEN failed AND len(kept)>=3 THEN 'open' WHEN failed THEN s0 WHEN s0='half_open' THEN 'closed' ELSE s0 END,
+                 CASE WHEN s0<>'open' AND failed AND len(kept)>=3 THEN t ELSE opened END,
+                 CASE WHEN s0='open' THEN recent WHEN failed AND len(kept)>=3 THEN []::BIGINT[] WHEN failed THEN kept WHEN s0='half_open' THEN []::BIGINT[] ELSE recent END,
+                 CASE WHEN s0='open' THEN 'skipped' WHEN failed THEN 'failed' ELSE 'ok' END
+          FROM (SELECT c.service, c.rn, c.id, c.failed, c.t, w.opened, w.recent,
+                       CASE WHEN w.state='open' AND c.t-w.opened >= 7200000000 THEN 'half_open' ELSE w.state END AS s0,
+                       list_append(list_filter(w.recent, lambda x: c.t-x < 3600000000), c.t) AS kept
+                FROM w JOIN c ON c.service=w.service AND c.rn=w.rn+1))
+    SELECT id, service, outcome, state FROM w WHERE rn > 0"""

@@ -257,7 +257,7 @@ def top_prompts_limited(spark, sf):
     store = K.latest_by_key(
         log.select("prompt_hash", "prompt_text", F.col("ts").alias("created_at")), "prompt_hash", ["created_at"]
     )
-    return A.top_prompts(repeats, store, 20)
+    return A.top_prompts(repeats, store, 20).select("prompt_hash", F.sha2("prompt_text", 256).alias("text_hash"), "hit_count")
 
 
 # ---------------------------------------------------------------- store
@@ -498,7 +498,11 @@ def usage_ledger(spark, sf):
     log = document_log(spark, sf)
     out = resolve.replay_log(log, ALL_ROWS)
     answers = stored_documents(spark, sf).select("prompt_hash", "input_tokens", "output_tokens")
-    return resolve.usage_facts(out, answers, F.length("embed_text") % 1000).drop("created_at")
+    ledger = resolve.usage_facts(out, answers, F.length("embed_text") % 1000)
+    return ledger.select(
+        "id", "request_id", "tier", "cache_hit", "model", "input_tokens", "output_tokens", "latency_ms",
+        *[F.round(c, 6).alias(c) for c in ("cost_usd", "cost_saved_usd", "spend_usd")],
+    )
 
 
 # ---------------------------------------------------------------- guard and quality
