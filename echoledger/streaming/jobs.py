@@ -14,7 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from echoledger.config import DEFAULTS, ReuseConfig
 from echoledger.operators import analytics as A, resolve, store as K
-from echoledger.session import scratch_path
+from echoledger.session import cut_lineage, scratch_path
 
 
 def stream_parquet(spark: SparkSession, folder: str, pattern: str = "*.parquet", files_per_batch: int | None = None,
@@ -116,11 +116,12 @@ def exact_lookup_stream(requests: DataFrame, store: DataFrame) -> DataFrame:
 
 def run_resolution(requests: DataFrame, store: DataFrame, path: str, checkpoint: str,
                    cfg: ReuseConfig = DEFAULTS, every: str | None = None, **options):
-    """All tiers per micro-batch against the store snapshot."""
+    """All tiers per micro-batch against the store snapshot, which is prepared once for all batches."""
+    held = resolve.searchable(store)
 
     def sink(rows: DataFrame, batch_id: int) -> None:
-        # key, tiers and scores only: one row per request id
-        out = resolve.resolve_snapshot(rows, store, cfg, **options)
+        # several passes follow: the batch is read from its source once
+        out = resolve.resolve_snapshot(cut_lineage(rows), store, cfg, held=held, **options)
         K.write_batch(
             out.select("request_id", "ts", "prompt_hash", "tier", "matched_hash", "similarity_score"),
             path, batch_id, "request_id", ["ts"],
