@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from echoledger.config import DEFAULTS
+from echoledger.functions.binding import let
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -67,14 +68,11 @@ def model_embedder(make_predict, dims: int = DEFAULTS.embedding_dims, batch_size
 def contradiction_probability(logits: Column, index: int) -> Column:
     """Largest softmax probability of one class over the rows of a logit matrix."""
 
+    def share(exps: Column) -> Column:
+        return F.element_at(exps, index + 1) / F.aggregate(exps, F.lit(0.0), lambda s, v: s + v)
+
     def softmax(row: Column) -> Column:
         top = F.array_max(row)
-        exps = F.transform(row, lambda x: F.exp(x - top))
-        return let_sum(exps, index)
-
-    def let_sum(exps: Column, i: int) -> Column:
-        from echoledger.functions.binding import let
-
-        return let(exps, lambda e: F.element_at(e, i + 1) / F.aggregate(e, F.lit(0.0), lambda s, v: s + v))
+        return let(F.transform(row, lambda x: F.exp(x - top)), share)
 
     return F.array_max(F.transform(logits, softmax))
