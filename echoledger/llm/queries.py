@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from echoledger.llm import quality
+from echoledger.llm import bpe, quality
+
+#: Vocabulary file of the token queries; a parameter of the operators.
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -14,6 +19,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op7_quality": op7_quality}
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(_table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+QUERIES = {"op4_bpe": op4_bpe, "op7_quality": op7_quality}
 
 ORACLE: dict[str, str] = {}
