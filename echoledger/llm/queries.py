@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from echoledger.llm import bpe, quality, tokenfiles
+from echoledger.llm import bpe, fingerprints, licenses, quality, tokenfiles
 
 #: Vocabulary file of the token queries; a parameter of the operators.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -23,10 +23,24 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.checksums(_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
-QUERIES = {"op4_bpe": op4_bpe, "op7_quality": op7_quality, "op8_token_files": op8_token_files}
+QUERIES = {
+    "op4_bpe": op4_bpe,
+    "op6_fingerprints": op6_fingerprints,
+    "op7_quality": op7_quality,
+    "op8_token_files": op8_token_files,
+    "op10_licenses": op10_licenses,
+}
 
 ORACLE: dict[str, str] = {}
