@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from echoledger.llm import bpe, fingerprints, licenses, quality, tokenfiles
+from echoledger.llm import archive, bpe, fingerprints, licenses, quality, tokenfiles
 
 #: Vocabulary file of the token queries; a parameter of the operators.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -23,6 +23,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op2_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_archive": op2_archive,
     "op4_bpe": op4_bpe,
     "op6_fingerprints": op6_fingerprints,
     "op7_quality": op7_quality,
@@ -43,4 +48,12 @@ QUERIES = {
     "op10_licenses": op10_licenses,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op2_archive": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+             f AS (SELECT d, min(page_id) AS first FROM p GROUP BY d)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+               CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to
+        FROM p JOIN f ON p.d = f.d""",
+}
