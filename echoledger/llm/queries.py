@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from echoledger.llm import archive, bpe, fingerprints, licenses, neardup, quality, tokenfiles
+from echoledger.llm import archive, bpe, decontaminate, fingerprints, licenses, neardup, quality, tokenfiles
 
 #: Vocabulary file of the token queries; a parameter of the operators.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -31,6 +31,10 @@ def op2_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_archive": op2_archive,
+    "op3_decontaminate": op3_decontaminate,
     "op4_bpe": op4_bpe,
     "op6_fingerprints": op6_fingerprints,
     "op7_quality": op7_quality,
