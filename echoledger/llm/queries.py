@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from echoledger.llm import archive, bpe, decontaminate, fingerprints, licenses, neardup, quality, tokenfiles
+from echoledger.llm import archive, bpe, decontaminate, fingerprints, licenses, neardup, quality, suffixes, tokenfiles
 
 #: Vocabulary file of the token queries; a parameter of the operators.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -39,6 +39,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op9_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_spans(_table(spark, sf_dir, "documents"))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op6_fingerprints": op6_fingerprints,
     "op7_quality": op7_quality,
     "op8_token_files": op8_token_files,
+    "op9_repeated_spans": op9_repeated_spans,
     "op10_licenses": op10_licenses,
 }
 
