@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from echoledger.llm import archive, bpe, decontaminate, fingerprints, licenses, neardup, quality, suffixes, tokenfiles
+from echoledger.llm import archive, bpe, decontaminate, fingerprints, licenses, mixing, neardup, quality, suffixes, tokenfiles
 
 #: Vocabulary file of the token queries; a parameter of the operators.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -35,6 +35,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.scores(_table(spark, sf_dir, "documents"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op2_archive": op2_archive,
     "op3_decontaminate": op3_decontaminate,
     "op4_bpe": op4_bpe,
+    "op5_context_mixing": op5_context_mixing,
     "op6_fingerprints": op6_fingerprints,
     "op7_quality": op7_quality,
     "op8_token_files": op8_token_files,
