@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from echoledger.llm.shared import _BASE, _CODES, _INVERSE, Tables, documents_of, mix, parts, powers, steps, text_buffer
 
@@ -113,6 +113,12 @@ def covered(starts: list[tuple[int, int]], length: int) -> list[tuple[int, int]]
     return [(a, b) for a, b in out]
 
 
+def _keys(length: int) -> tuple[Column, Column]:
+    """Two independent 64-bit digests that name a text."""
+    text = F.coalesce("text", F.lit(""))
+    return F.xxhash64(text), F.xxhash64(F.lit(length), text, F.lit(1))
+
+
 class Repeats:
     """One run: `texts` (row for each document) and `spans` (runs to remove in each distinct text)."""
 
@@ -120,9 +126,9 @@ class Repeats:
         spark = docs.sparkSession
         self.length, self.tables = length, Tables(spark, "repeats")
         sample, tables = Sample(length), self.tables
+        first, second = _keys(length)
         keyed = documents_of(docs, "doc_id", "text").select(
-            "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("k1"),
-            F.xxhash64(F.lit(length), F.coalesce("text", F.lit("")), F.lit(1)).alias("k2"), F.coalesce("text", F.lit("")).alias("text"))
+            "doc_id", first.alias("k1"), second.alias("k2"), F.coalesce("text", F.lit("")).alias("text"))
 
         def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -294,3 +300,50 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
         F.when(whole, F.col("n")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),
         F.when(whole, 1).otherwise(F.coalesce("spans", F.lit(0))).cast("bigint").alias("n_spans"),
         F.when(whole, hashlib.sha256(b"").hexdigest()).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"))
+
+
+def whole_characters(raw: bytes, runs: list[tuple[int, int]]) -> str:
+    """The text without the characters that lie whole in a run; a character cut by an edge stays."""
+    kept, at = [], 0
+    for low, high in runs:
+        while low < high and raw[low] & 0xC0 == 0x80:
+            low += 1
+        while high < len(raw) and high > low and raw[high] & 0xC0 == 0x80:
+            high -= 1
+        kept.append(raw[at:low])
+        at = max(at, high)
+    kept.append(raw[at:])
+    return b"".join(kept).decode("utf-8", "surrogatepass")
+
+
+def strip_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
+    """The documents without the characters under repeats; n_chars, where there is one, follows the text."""
+    run = Repeats(docs, length)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            offsets, data = text_buffer(b.column(2))
+            texts = [
+                whole_characters(data[offsets[k] : offsets[k + 1]].tobytes(), covered([(r["low"], r["high"]) for r in ranges], length))
+                for k, ranges in enumerate(b.column(3).to_pylist())
+            ]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(texts, pa.string())], ["k1", "k2", "left"])
+
+    copies = run.texts.where(F.col("n") >= length).join(run.groups.where("copies > 1"), ["k1", "k2"], "left_semi").select("k1", "k2").distinct()
+    found = run.found.mapInArrow(cut, "k1 bigint, k2 bigint, left string").join(copies, ["k1", "k2"], "left_anti")
+    changed = run.tables.keep(found.unionByName(copies.withColumn("left", F.lit(""))), "changed").select(
+        F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("left").alias("_left"))
+    first, second = _keys(length)
+    # A text that has its place in `changed` is replaced; all other columns stay as they are.
+    joined = docs.join(changed, (first == F.col("_k1")) & (second == F.col("_k2")), "left")
+    new = F.when(F.col("_k1").isNotNull(), F.col("_left")).otherwise(docs["text"])
+    columns = []
+    for c in docs.columns:
+        if c == "text":
+            columns.append(new.alias("text"))
+        elif c == "n_chars":
+            kind = dict(docs.dtypes)["n_chars"]
+            columns.append(F.when(F.col("_k1").isNotNull(), F.char_length("_left").cast(kind)).otherwise(docs["n_chars"]).alias("n_chars"))
+        else:
+            columns.append(docs[f"`{c}`"])
+    return joined.select(*columns)
