@@ -74,6 +74,15 @@ class TokenFile:
         self.group_ids, self.waiting, self.held, self.docs, self.tokens = group_ids, [], 0, 0, 0
 
     def add(self, doc_ids: pa.Array, offsets: np.ndarray, ids: np.ndarray) -> None:
+        """Rows go to the open row group, which ends with the document that fills it."""
+        i = 0
+        while i < len(doc_ids):
+            j = min(len(doc_ids), int(np.searchsorted(offsets, offsets[i] + self.group_ids - self.held)))
+            j = max(j, i + 1)
+            self._add(doc_ids.slice(i, j - i), offsets[i : j + 1] - offsets[i], ids[offsets[i] : offsets[j]])
+            i = j
+
+    def _add(self, doc_ids: pa.Array, offsets: np.ndarray, ids: np.ndarray) -> None:
         n = np.diff(offsets)
         self.waiting.append(pa.RecordBatch.from_arrays([
             doc_ids, pa.array(self.tokens + offsets[:-1]), pa.array(n),
