@@ -6,11 +6,9 @@ lost executor or driver leaves the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from echoledger.config import DEFAULTS, ReuseConfig
 from echoledger.operators import analytics as A, resolve, store as K
@@ -44,17 +42,28 @@ def keyed_sink(path: str, key: str, order: list[str]) -> Callable[[DataFrame, in
 # ---------------------------------------------------------------- session metrics
 
 
+def counts_sink(path: str, count: Callable[[DataFrame], DataFrame], *keys: str) -> Callable[[DataFrame, int], None]:
+    """Counts of each micro-batch, kept under its number: a repeated batch replaces its own, and no state is held."""
+
+    def sink(rows: DataFrame, batch_id: int) -> None:
+        part = count(rows).withColumn("batch", F.lit(batch_id)).withColumn("cell", F.concat_ws("|", F.lit(batch_id), *keys))
+        K.write_batch(part, path, batch_id, "cell", ["batch"])
+
+    return sink
+
+
 def session_histogram(usage: DataFrame) -> DataFrame:
-    """Running counts per session and latency value: enough for every session metric, p95 included."""
+    """Counts per session and latency value: enough for every session metric, p95 included."""
     return usage.groupBy("session_id", "latency_ms").agg(
         F.count(F.lit(1)).alias("n_calls"),
         F.count_if("cache_hit").alias("n_hits"),
         F.sum("cost_usd").alias("cost_usd"),
-    ).withColumn("cell", F.concat_ws("|", "session_id", "latency_ms"))
+    )
 
 
-def metrics_of_histogram(cells: DataFrame) -> DataFrame:
-    """Session metrics out of the histogram table."""
+def metrics_of_histogram(parts: DataFrame) -> DataFrame:
+    """Session metrics out of the batches' histograms."""
+    cells = parts.groupBy("session_id", "latency_ms").agg(*[F.sum(c).alias(c) for c in ("n_calls", "n_hits", "cost_usd")])
     totals = cells.groupBy("session_id").agg(
         F.round(F.sum("cost_usd"), 6).alias("cost_usd"),
         F.round(F.sum("n_hits") / F.sum("n_calls"), 6).alias("hit_rate"),
@@ -68,24 +77,34 @@ def metrics_of_histogram(cells: DataFrame) -> DataFrame:
 
 
 def run_session_metrics(usage: DataFrame, path: str, checkpoint: str, every: str | None = None):
-    return run(session_histogram(usage), keyed_sink(path, "cell", ["n_calls"]), checkpoint, "update", every)
+    return run(usage, counts_sink(path, session_histogram, "session_id", "latency_ms"), checkpoint, every=every)
+
+
+def read_session_metrics(spark: SparkSession, path: str) -> DataFrame:
+    return metrics_of_histogram(K.read_keyed(spark, path, "cell", ["batch"]))
 
 
 # ---------------------------------------------------------------- ingest, daily series, tail
 
 
-def ingest_once(usage: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Events under a fixed id pass once, however often their sender retries within the delay."""
-    return usage.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["id"])
+def run_ingest(usage: DataFrame, path: str, checkpoint: str, every: str | None = None):
+    """Events into the table keyed by id: one that is sent again, however late, replaces itself and none is lost."""
+    return run(usage, keyed_sink(path, "id", ["created_at"]), checkpoint, every=every)
 
 
-def daily_series(usage: DataFrame, delay: str = "1 day") -> DataFrame:
-    day = F.window("created_at", "1 day")["start"].cast("date")
-    return usage.withWatermark("created_at", delay).groupBy(day.alias("date")).agg(
-        F.count(F.lit(1)).alias("n_calls"),
-        F.count_if("cache_hit").alias("hits"),
-        F.count_if(~F.col("cache_hit")).alias("misses"),
-    )
+def _day_counts(usage: DataFrame) -> DataFrame:
+    return usage.groupBy(F.to_date("created_at").alias("date")).agg(
+        F.count(F.lit(1)).alias("n_calls"), F.count_if("cache_hit").alias("hits"), F.count_if(~F.col("cache_hit")).alias("misses"))
+
+
+def run_daily(usage: DataFrame, path: str, checkpoint: str, every: str | None = None):
+    """Daily counts of each micro-batch; days may arrive in any order and at any delay."""
+    return run(usage, counts_sink(path, _day_counts, "date"), checkpoint, every=every)
+
+
+def read_daily(spark: SparkSession, path: str) -> DataFrame:
+    parts = K.read_keyed(spark, path, "cell", ["batch"])
+    return parts.groupBy("date").agg(*[F.sum(c).alias(c) for c in ("n_calls", "hits", "misses")])
 
 
 def tail(usage: DataFrame) -> DataFrame:
@@ -152,52 +171,6 @@ def rolling_failures(calls: DataFrame, window_s: int = DEFAULTS.failure_window_s
     return counted.select("id", "service", "created_at", "n_recent", (F.col("n_recent") >= threshold).alias("trips"))
 
 
-_BREAKER_OUT = "service string, id long, created_at timestamp, outcome string, state string"
-_BREAKER_STATE = "state string, opened_at double, failures array<double>"
-
-
-def breaker(calls: DataFrame, cfg: ReuseConfig = DEFAULTS) -> DataFrame:
-    """Exact alert rule per service as a stateful stream.
-
-    Trips on enough failures inside the window, forgets them on tripping, skips calls
-    during the cool-down, then lets calls through until one succeeds. State per
-    service is a few numbers; a micro-batch holds at most what its trigger read.
-    """
-    threshold, window, cool = cfg.failure_threshold, cfg.failure_window_s, cfg.reset_timeout_s
-
-    def step(key, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state, opened, recent = held.get if held.exists else ("closed", 0.0, [])
-        recent = list(recent)
-        rows = pd.concat(list(parts)).sort_values(["created_at", "id"], kind="stable")
-        seconds = rows["created_at"].astype("datetime64[us]").astype("int64") / 1e6
-        outcomes, states = [], []
-        for now, failed in zip(seconds, rows["failed"]):
-            if state == "open" and now - opened >= cool:
-                state = "half_open"
-            if state == "open":
-                outcome = "skipped"
-            elif failed:
-                outcome = "failed"
-                recent = [t for t in recent if now - t < window] + [now]
-                if len(recent) >= threshold:
-                    state, opened, recent = "open", now, []
-            else:
-                outcome = "ok"
-                if state == "half_open":
-                    state, recent = "closed", []
-            outcomes.append(outcome)
-            states.append(state)
-        held.update((state, float(opened), [float(t) for t in recent]))
-        yield pd.DataFrame({
-            "service": key[0], "id": rows["id"], "created_at": rows["created_at"], "outcome": outcomes, "state": states,
-        })
-
-    picked = calls.select("service", "id", "created_at", "failed")
-    return picked.groupBy("service").applyInPandasWithState(
-        step, _BREAKER_OUT, _BREAKER_STATE, "append", GroupStateTimeout.NoTimeout
-    )
-
-
 def fresh(spark: SparkSession, label: str) -> tuple[str, str]:
     """(output, checkpoint) folders of one run, next to the session's checkpoints."""
     root = scratch_path(spark, label)

@@ -97,44 +97,26 @@ def test_streams_equal_batches(spark, tmp_path):
     out = str(tmp_path / "metrics")
     q = J.run_session_metrics(stream(), out, str(tmp_path / "c1"))
     assert len(q.recentProgress) >= 4
-    assert sorted(J.metrics_of_histogram(K.read_keyed(spark, out, "cell", ["n_calls"])).collect()) == sorted(A.session_metrics(batch).collect())
+    assert sorted(J.read_session_metrics(spark, out).collect()) == sorted(A.session_metrics(batch).collect())
 
-    J.run(J.daily_series(stream()), J.keyed_sink(str(tmp_path / "daily"), "date", ["n_calls"]), str(tmp_path / "c2"), "update")
-    daily = K.read_keyed(spark, str(tmp_path / "daily"), "date", ["n_calls"]).select("date", "hits", "misses")
+    J.run_daily(stream(), str(tmp_path / "daily"), str(tmp_path / "c2"))
+    daily = J.read_daily(spark, str(tmp_path / "daily")).select("date", "hits", "misses")
     assert sorted(daily.collect()) == sorted(A.daily_hits(batch).collect())
 
-    twice = stream().withColumn("attempt", F.explode(F.array(F.lit(0), F.lit(1))))
-    seen = []
-    J.run(J.ingest_once(twice), lambda d, b: seen.append(d.count()), str(tmp_path / "c3"))
-    assert sum(seen) == len(rows)
-
-
-def breaker_walk(rows, threshold, window, cool):
-    state, opened, recent, out = "closed", 0, [], {}
-    for row_id, _, _, failed, _, t in rows:
-        if state == "open" and t - opened >= cool:
-            state = "half_open"
-        if state == "open":
-            out[row_id] = ("skipped", state)
-            continue
-        if failed:
-            recent = [x for x in recent if t - x < window] + [t]
-            if len(recent) >= threshold:
-                state, opened, recent = "open", t, []
-        elif state == "half_open":
-            state, recent = "closed", []
-        out[row_id] = ("failed" if failed else "ok", state)
-    return out
-
-
-def test_breaker_keeps_state_across_batches(spark, tmp_path):
-    rows, _, path = usage_folder(spark, tmp_path)
-    calls = J.stream_parquet(spark, path, files_per_batch=1).withColumn("service", F.col("model"))
-    out = str(tmp_path / "breaker")
-    J.run(J.breaker(calls), J.keyed_sink(out, "id", ["created_at"]), str(tmp_path / "c"))
-    got = {r.id: (r.outcome, r.state) for r in K.read_keyed(spark, out, "id", ["created_at"]).collect()}
-    want = breaker_walk(rows, 3, 30, 60)
-    assert got == want and {o for o, _ in want.values()} == {"ok", "failed", "skipped"}
+
+def test_late_and_repeated_events_are_all_kept_once(spark, tmp_path):
+    """Four files, newest first, one in a batch, every event twice: none is lost for being late."""
+    rows, batch, _ = usage_folder(spark, tmp_path)
+    path = str(tmp_path / "late")
+    for f in (3, 2, 1, 0):
+        part = batch.where((F.col("id") >= f * 100) & (F.col("id") < (f + 1) * 100))
+        part.unionByName(part).coalesce(1).write.mode("append").parquet(path)
+    out = str(tmp_path / "out")
+    J.run_ingest(J.stream_parquet(spark, path, files_per_batch=1), out, str(tmp_path / "c"))
+    got = K.read_keyed(spark, out, "id", ["created_at"])
+    assert got.count() == got.select("id").distinct().count() == len(rows)
+    J.run_daily(J.stream_parquet(spark, path, files_per_batch=1), str(tmp_path / "days"), str(tmp_path / "c2"))
+    assert J.read_daily(spark, str(tmp_path / "days")).agg(F.sum("n_calls")).first()[0] == 2 * len(rows)
 
 
 def test_rolling_failures(spark, tmp_path):
