@@ -30,6 +30,16 @@ IGNORED_FIELDS = (
 _TRIM = r"^\s+|\s+$"
 
 
+def parse_whole(text: Column) -> Column:
+    """Text as VARIANT where all of it is one JSON value; the parser alone stops after the first value.
+
+    Only one value stays whole both as the sole element of a list and as a field's value.
+    """
+    listed = F.size(F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")) == 1
+    field = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull()
+    return F.when(F.coalesce(listed & field, F.lit(False)), F.try_parse_json(text))
+
+
 def part(v: Column, path: str) -> Column:
     """Sub-value as VARIANT: SQL NULL when absent, a variant null when JSON null."""
     return F.try_variant_get(v, path, "variant")
@@ -116,12 +126,18 @@ def canonical_text(v: Column) -> Column:
     )
 
 
+def _one_value(body: Column) -> Column:
+    """Whether a body reads as a single value once repeated keys are let pass."""
+    lists = F.get_json_object(F.concat(F.lit("["), body, F.lit("]")), "$[1]").isNull()
+    return F.get_json_object(body, "$").isNotNull() & F.get_json_object(F.concat(F.lit('{"v":'), body, F.lit("}")), "$.v").isNotNull() & lists
+
+
 def reject_reason(body: Column, v: Column) -> Column:
     """Why a body cannot be keyed; NULL when it can."""
     messages = part(v, "$.messages")
     odd = F.exists(json_list(messages), lambda m: kind(m) != "OBJECT")
     return (
-        F.when(v.isNull() & F.get_json_object(body, "$").isNotNull(), "duplicate_key")
+        F.when(v.isNull() & _one_value(body), "duplicate_key")
         .when(v.isNull(), "invalid_json")
         .when(kind(v) != "OBJECT", "not_object")
         .when(messages.isNotNull() & (kind(messages) != "ARRAY"), "messages_not_list")
@@ -134,12 +150,12 @@ def prompt_key(canonical: Column) -> Column:
 
 
 def extract_model(text: Column) -> Column:
-    return F.try_variant_get(F.try_parse_json(text), "$.model", "string")
+    return F.try_variant_get(parse_whole(text), "$.model", "string")
 
 
 def wants_stream(body: Column) -> Column:
     """Truth of the body's stream field the way a dynamic language reads it."""
-    s = F.to_json(part(F.try_parse_json(body), "$.stream"))
+    s = F.to_json(part(parse_whole(body), "$.stream"))
     return F.coalesce(~s.isin("false", "null", "0", '""', "[]", "{}"), F.lit(False))
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from echoledger.functions.binding import let
-from echoledger.functions.canonical import json_list, kind, part
+from echoledger.functions.canonical import json_list, kind, parse_whole, part
 from echoledger.sources.logs import data_events
 
 
@@ -46,7 +46,7 @@ def _reported(events: Column) -> Column:
 
 def message_tokens(raw: Column) -> Column:
     """struct(input_tokens, output_tokens) of a JSON message; one bad count voids both."""
-    return let(F.try_parse_json(raw), _usage)
+    return let(parse_whole(raw), _usage)
 
 
 def _usage(v: Column) -> Column:
@@ -101,7 +101,7 @@ def _indexed(events: Column, kind_name: str) -> Column:
 
 def finalize_tool_input(partial: Column) -> tuple[Column, Column]:
     """(input, leftover) of a tool call: undecodable text gives {} and is kept aside."""
-    parsed = F.try_parse_json(partial)
+    parsed = parse_whole(partial)
     empty = F.parse_json(F.lit("{}"))
     value = F.when(partial.isNull(), F.lit(None)).otherwise(F.coalesce(parsed, empty))
     leftover = F.when((partial != "") & parsed.isNull(), partial.cast("variant"))
@@ -268,7 +268,7 @@ def expand(raw: Column) -> Column:
 
 def is_complete(raw: Column, status: Column) -> Column:
     """Only finished answers may be stored: a closing event, or a whole JSON message with status 200."""
-    whole = F.try_variant_get(F.try_parse_json(raw), "$.type", "string") == "message"
+    whole = F.try_variant_get(parse_whole(raw), "$.type", "string") == "message"
     json_done = (status == 200) & is_json_form(raw) & whole
     return F.contains(raw, F.lit("event: message_stop")) | F.coalesce(json_done, F.lit(False))
 

@@ -18,8 +18,21 @@ def money(amount: Column, digits: int) -> Column:
 
 
 def percent_half_even(part: Column, whole: Column, digits: int = 1) -> Column:
-    """Half-even percentage on binary floats; 0.0 where whole is zero."""
-    return F.when(whole > 0, F.bround(part / whole * 100, digits)).otherwise(F.lit(0.0))
+    """Percentage rounded by the double's exact binary value, half to even; 0.0 where whole is zero."""
+    x = part / whole * 100
+    low = F.floor(x)
+    # x minus its floor is exact and so are its tenths in units of 2^-59; what lies below them is under any half.
+    unit, ten = 1 << 59, 10**digits
+    tenths = ((x - low) * F.lit(float(unit))).cast("bigint")
+    whole_units = low * ten
+    for _ in range(digits):
+        step = tenths * 10
+        digit = ((step - F.pmod(step, F.lit(unit))) / unit).cast("bigint")
+        whole_units = whole_units + digit * (ten // 10)
+        ten //= 10
+        tenths = F.pmod(step, F.lit(unit))
+    up = (tenths > unit // 2) | ((tenths == unit // 2) & (F.pmod(whole_units, F.lit(2)) == 1))
+    return F.when(whole > 0, (whole_units + up.cast("bigint")) / 10**digits).otherwise(F.lit(0.0))
 
 
 def wilson(k: Column, n: Column, z: float = 1.96) -> Column:

@@ -9,7 +9,7 @@ from echoledger.functions import canonical as C
 
 def parse_bodies(requests: DataFrame, body: str = "body") -> DataFrame:
     """Adds the parsed body and, where it cannot be keyed, the reason."""
-    parsed = requests.withColumn("parsed", F.try_parse_json(body))
+    parsed = requests.withColumn("parsed", C.parse_whole(F.col(body)))
     return parsed.withColumn("reject_reason", C.reject_reason(F.col(body), F.col("parsed")))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from echoledger import schemas
+from echoledger.functions.canonical import parse_whole
 
 
 def read_request_log(spark: SparkSession, path: str) -> DataFrame:
@@ -43,7 +44,7 @@ def data_events(raw: Column, indented: bool = True) -> Column:
         lines = F.transform(lines, lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
     payload = F.transform(
         F.filter(lines, lambda s: F.startswith(s, F.lit("data: "))),
-        lambda s: F.try_parse_json(F.substring(s, F.lit(7), F.length(s))),
+        lambda s: parse_whole(F.substring(s, F.lit(7), F.length(s))),
     )
     return F.filter(payload, lambda v: v.isNotNull())
 

@@ -6,24 +6,11 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-# Turns of earlier context that a conversation request carries besides its own.
-CONTEXT_TURNS = 7
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A scan over all cores where the table has fewer files than the cluster has cores.
-
-    Parsing and embedding cost far more than moving the text once; a table with files
-    enough keeps the partitions it is read in.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def _props_number() -> Column:
     return F.regexp_extract("props", r"([0-9]+)", 1)
 
@@ -65,7 +52,7 @@ def document_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("doc_id") % 4 == 1, " Claude-Opus-4-5")
         .when(F.col("doc_id") % 4 == 2, "claude-3-5-haiku-20241022")
     )
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return docs.select(
         F.col("doc_id").alias("request_id"),
         F.col("source").alias("session_id"),
@@ -85,6 +72,8 @@ def document_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
           WHEN request_id % 23 = 9 THEN concat('{"model":"m","messages":null,"note":', q, '}')
           WHEN request_id % 23 = 10 THEN concat('{"model":"m","messages":[', q, ']}')
           WHEN request_id % 23 = 11 THEN concat('{"model":"m","model":"n","messages":[{"role":"user","content":', q, '}]}')
+          WHEN request_id % 23 = 12 THEN concat('{"messages":[]} ', q)
+          WHEN request_id % 23 = 13 THEN '{"messages":[]}{"a":1}'
           ELSE concat('{', concat_ws(',',
             CASE WHEN request_id % 2 = 0 THEN '"temperature":0.5,"stream":true,"max_tokens":64' END,
             CASE WHEN request_id % 3 = 0 THEN '"tools":[{"name":"f","input_schema":{"type":"object","a":[1,2]}}]' END,
@@ -110,19 +99,9 @@ def document_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One request per user turn, carrying that turn and the seven before it.
-
-    Each earlier turn is sent to the requests it belongs to, so the grouping key is
-    (conversation, turn) and holds at most eight rows however long a conversation is.
-    """
-    turns = table(spark, sf_dir, "conversations")
-    sent = turns.select(
-        "conv_id",
-        F.explode(F.sequence(F.col("turn"), F.col("turn") + CONTEXT_TURNS)).alias("at_turn"),
-        F.struct(F.col("turn"), F.col("role"), F.col("text")).alias("m"),
-    )
-    bodies = sent.groupBy("conv_id", "at_turn").agg(F.sort_array(F.collect_list("m")).alias("ms"))
-    users = bodies.where(F.exists("ms", lambda m: (m["turn"] == F.col("at_turn")) & (m["role"] == "user")))
+    """One request per conversation, carrying all its turns."""
+    users = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("ms"))
     system = F.filter("ms", lambda m: m["role"] == "system")
     spoken = F.filter("ms", lambda m: m["role"] != "system")
     body = F.to_json(
@@ -132,12 +111,12 @@ def conversation_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.transform(spoken, lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content"))).alias("messages"),
         )
     )
-    return users.select("conv_id", F.col("at_turn").alias("turn"), body.alias("body"))
+    return users.select("conv_id", body.alias("body"))
 
 
 def response_buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event-stream buffers made from assistant turns, with the faults real streams have."""
-    said = spread(table(spark, sf_dir, "conversations").where(F.col("role") == "assistant"))
+    said = table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
     rid = F.concat_ws("-", F.col("conv_id"), F.col("turn"))
     base = said.select(
         rid.alias("response_id"),
@@ -176,7 +155,7 @@ def response_buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def response_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain JSON message bodies made from the same turns."""
-    said = spread(table(spark, sf_dir, "conversations").where(F.col("role") == "assistant"))
+    said = table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
     message = F.to_json(
         F.struct(
             F.concat(F.lit("m"), F.concat_ws("-", "conv_id", "turn")).alias("id"),
@@ -197,7 +176,7 @@ def response_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def adjacent_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled text pairs: every document with the next one; alike when they share a language."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     left = docs.select(F.col("doc_id").alias("pair_id"), F.col("text").alias("a"), F.col("lang").alias("la"), F.col("source").alias("sa"))
     right = docs.select((F.col("doc_id") - 1).alias("pair_id"), F.col("text").alias("b"), F.col("lang").alias("lb"))
     return left.join(right, "pair_id").select(

@@ -87,9 +87,15 @@ def test_null_hits_count_nowhere_in_the_log_but_as_misses_live(spark):
     assert A.session_stats(df).first().cache_misses == 2
 
 
-@pytest.mark.parametrize("h, n, want", [(2, 3, 66.7), (0, 0, 0.0), (49, 400, 12.2), (51, 400, 12.8)])
-def test_half_even_percentages(spark, h, n, want):
-    assert spark.range(1).select(stats.percent_half_even(F.lit(h), F.lit(n))).first()[0] == want
+def test_half_even_percentages(spark):
+    """As the language's own rounding of the double: ties only where the binary value is one."""
+    rows = [(h, 2000) for h in range(0, 2001, 1)] + [(2, 3), (1, 7), (49, 400), (51, 400), (1, 10**9), (1, 16), (3, 16), (1, 1)]
+    df = spark.createDataFrame(rows, "h bigint, n bigint").select("h", "n", stats.percent_half_even(F.col("h"), F.col("n")).alias("p"))
+    bad = [r for r in df.collect() if r.p != round(r.h / r.n * 100, 1)]
+    assert not bad
+    pinned = {r.h: r.p for r in df.where("n = 2000 AND h IN (1, 3, 669)").collect()}
+    assert pinned == {1: 0.1, 3: 0.1, 669: 33.5}
+    assert spark.range(1).select(stats.percent_half_even(F.lit(0), F.lit(0))).first()[0] == 0.0
 
 
 def test_half_up_percentage(spark):

@@ -79,7 +79,8 @@ def test_embedding_text_falls_back_to_its_input(spark):
 def test_rejects(spark):
     cases = {
         "{": "invalid_json", "[1]": "not_object", '{"messages":null}': "messages_not_list", '{"messages":[1]}': "message_not_object",
-        '{"a":1,"a":2}': "duplicate_key", '{"messages":"x"}': "messages_not_list",
+        '{"a":1,"a":2}': "duplicate_key", '{"messages":[]} trailing': "invalid_json", '{"messages":[]}{"a":1}': "invalid_json",
+        '{"messages":[]},{"a":1}': "invalid_json", "": "invalid_json", '{"messages":"x"}': "messages_not_list",
     }
     df = spark.createDataFrame([(b,) for b in [*cases, json.dumps(BASE), "{}"]], "body string")
     assert {r.body: r.reject_reason for r in N.rejects(df).collect()} == cases
