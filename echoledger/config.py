@@ -9,15 +9,14 @@ from dataclasses import dataclass
 class ReuseConfig:
     # Fixed values (defaults that results depend on).
     similarity_threshold: float = 0.90
-    l1_max_entries: int = 1024
-    max_store_rows: int | None = 5000
-    top_k: int | None = 5
+    # Bounds on candidates and latencies are off unless a caller asks for them.
+    max_store_rows: int | None = None
+    top_k: int | None = None
     embedding_dims: int = 384
     contradiction_threshold: float = 0.5
     failure_threshold: int = 3
     failure_window_s: int = 30
-    reset_timeout_s: int = 60
-    latency_window_rows: int = 10_000
+    latency_window_rows: int | None = None
     flush_interval_s: int = 30
 
     # Physical sizing of the similarity join.

@@ -181,20 +181,25 @@ def _picked(df: DataFrame, keys: list[str], value: str, rank: Column) -> DataFra
     return counts.groupBy(*keys).agg(F.max("n_all").alias("n"), _at_rank(F.col(value), F.col("_rank")).alias("value"))
 
 
-def session_metrics(usage: DataFrame, window_rows: int = DEFAULTS.latency_window_rows) -> DataFrame:
+def session_metrics(usage: DataFrame, window_rows: int | None = DEFAULTS.latency_window_rows) -> DataFrame:
     """cost_usd, hit_rate, latency_p95 and total_calls per session.
 
-    Sessions within the latency window go straight to counts; only the longer ones
-    need their newest rows picked out first.
+    The p95 covers all latencies of a session, or its newest `window_rows`: sessions within
+    the window go straight to counts, and only the longer ones need rows picked out first.
     """
     totals = usage.groupBy("session_id").agg(
         F.sum("cost_usd").alias("cost"), _hits().alias("hits"), F.count(F.lit(1)).alias("total_calls")
     )
+    if window_rows is None:
+        return _session_rows(totals, p95_exclusive(usage, ["session_id"], "latency_ms"))
     lengths = totals.select("session_id", (F.col("total_calls") > window_rows).alias("long_session"))
     marked = usage.join(lengths, "session_id")
     short = marked.where(~F.col("long_session")).select("session_id", "latency_ms")
     long = newest(marked.where("long_session"), ["session_id"], ["created_at", "id"], window_rows)
-    p95 = p95_exclusive(short.unionByName(long.select("session_id", "latency_ms")), ["session_id"], "latency_ms")
+    return _session_rows(totals, p95_exclusive(short.unionByName(long.select("session_id", "latency_ms")), ["session_id"], "latency_ms"))
+
+
+def _session_rows(totals: DataFrame, p95: DataFrame) -> DataFrame:
     return totals.join(p95, "session_id", "left").select(
         "session_id",
         F.round("cost", 6).alias("cost_usd"),

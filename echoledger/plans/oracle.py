@@ -158,7 +158,7 @@ canon AS (SELECT doc_id AS request_id,
    || '}' AS c,
    CASE WHEN doc_id % 5 IN (2,3) THEN 'be brief' || chr(10) || text ELSE text END AS e,
    CASE doc_id % 4 WHEN 0 THEN 'claude-opus-4-5' WHEN 1 THEN 'claude-opus-4-5' WHEN 2 THEN 'claude-3-5-haiku' END AS model
-   FROM documents WHERE doc_id % 23 NOT IN (7,8,9,10,11))"""
+   FROM documents WHERE doc_id % 23 NOT IN (7,8,9,10,11,12,13))"""
 
 _SAID = """
 said AS (SELECT conv_id || '-' || turn AS response_id, conv_id, turn, text, length(text) AS in_tok, len(string_split(text,' ')) AS out_tok
@@ -177,10 +177,15 @@ _METRICS = "WITH " + PRICED + "," + _RANKS + """
 
 _DAILY = f"SELECT CAST(created_at AS DATE) AS date, {_H} AS hits, {_M} AS misses FROM usage GROUP BY 1"
 
+# One decimal of the double x by its exact binary value: tenths in units of 2^-59, half to even.
+_T = "(CAST((x-floor(x))*576460752303423488::DOUBLE AS HUGEINT)*10)"
+_HALF_EVEN = f"""(floor(x)*10 + {_T}//576460752303423488 + CASE WHEN {_T}%576460752303423488 > 288230376151711744
+    OR ({_T}%576460752303423488 = 288230376151711744 AND (floor(x)::BIGINT*10 + {_T}//576460752303423488)%2 = 1) THEN 1 ELSE 0 END)/10::DOUBLE"""
+
 ORACLE: dict[str, str] = {
     # usage analytics
     "stats_all_time": f"WITH {PRICED} SELECT count(*) AS total_calls, {_H} AS cache_hits, {_M} AS cache_misses, {_pct(1)} AS hit_rate_pct, round(coalesce(sum(cost_saved_usd),0.0),6) AS cost_saved_usd FROM facts",
-    "session_stats": f"WITH {PRICED} SELECT session_id, count(*) AS total_calls, {_H} AS cache_hits, count(*)-{_H} AS cache_misses, round_even({_H}::DOUBLE/count(*)*100,1) AS hit_rate_pct, round(sum(cost_saved_usd),6) AS cost_saved_usd FROM facts GROUP BY 1",
+    "session_stats": f"WITH {PRICED} SELECT session_id, total_calls, cache_hits, cache_misses, {_HALF_EVEN} AS hit_rate_pct, saved AS cost_saved_usd FROM (SELECT session_id, count(*) AS total_calls, {_H} AS cache_hits, count(*)-{_H} AS cache_misses, {_H}::DOUBLE/count(*)*100 AS x, round(sum(cost_saved_usd),6) AS saved FROM facts GROUP BY 1)",
     "daily_hits": f"WITH {USAGE} {_DAILY}",
     "hit_rate": f"WITH {USAGE} SELECT {_pct(2)} AS hit_rate_pct FROM usage",
     "total_saved": f"WITH {PRICED} SELECT round(sum(cost_saved_usd)::DECIMAL(28,9),4)::DOUBLE AS total_saved_usd FROM facts",
@@ -198,28 +203,22 @@ ORACLE: dict[str, str] = {
     "fact_invariants": f"WITH {PRICED} SELECT count(*) FILTER (WHERE cache_hit AND cost_saved_usd<>cost_usd) AS hit_without_full_saving, count(*) FILTER (WHERE NOT cache_hit AND cost_saved_usd<>0) AS miss_with_saving, count(*) FILTER (WHERE cache_hit AND similarity_score IS NULL) AS hit_without_score, count(*) FILTER (WHERE NOT cache_hit AND similarity_score IS NOT NULL) AS miss_with_score FROM facts",
     "tail_lines": f"WITH {PRICED} SELECT id, CASE WHEN cache_hit THEN '[HIT ] ' ELSE '[MISS] ' END || 'latency=' || latency_ms || 'ms  sim=' || coalesce(printf('%.3f', similarity_score),'—') || '  cost=$' || printf('%.6f', cost_usd) || '  saved=$' || printf('%.6f', cost_saved_usd) || '  ' || model AS line FROM facts",
     "failure_rolling": f"WITH {USAGE} SELECT id, model AS service, count(*) OVER (PARTITION BY model ORDER BY epoch_us(created_at) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS n_recent, count(*) OVER (PARTITION BY model ORDER BY epoch_us(created_at) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) >= 3 AS trips FROM usage WHERE failed",
-    "lru_attribution": f"""WITH {USAGE}, a AS (SELECT id, session_id, output_tokens % 16 AS key, row_number() OVER (PARTITION BY session_id ORDER BY created_at, id) AS i FROM usage),
-        p AS (SELECT *, lag(i) OVER (PARTITION BY session_id, key ORDER BY i) AS prev FROM a),
-        d AS (SELECT p.id, count(DISTINCT q.key) AS gap FROM p JOIN a q ON q.session_id=p.session_id AND q.i > p.prev AND q.i < p.i GROUP BY 1)
-        SELECT p.id, p.session_id, p.prev IS NOT NULL AND coalesce(d.gap,0) < 8 AS hit FROM p LEFT JOIN d ON d.id=p.id""",
     # requests
     "eligible_requests": "SELECT doc_id AS request_id FROM documents WHERE doc_id % 29 NOT IN (3,4)",
     "model_family": "WITH " + REQS + " SELECT request_id, family AS model FROM reqs",
     "canonical_hash": "WITH " + _DOC_CANON + " SELECT request_id, sha256(c) AS prompt_hash, model FROM canon",
-    "request_rejects": "SELECT doc_id AS request_id, CASE doc_id % 23 WHEN 7 THEN 'invalid_json' WHEN 8 THEN 'not_object' WHEN 9 THEN 'messages_not_list' WHEN 10 THEN 'message_not_object' ELSE 'duplicate_key' END AS reject_reason FROM documents WHERE doc_id % 23 IN (7,8,9,10,11)",
+    "request_rejects": "SELECT doc_id AS request_id, CASE doc_id % 23 WHEN 7 THEN 'invalid_json' WHEN 12 THEN 'invalid_json' WHEN 13 THEN 'invalid_json' WHEN 8 THEN 'not_object' WHEN 9 THEN 'messages_not_list' WHEN 10 THEN 'message_not_object' ELSE 'duplicate_key' END AS reject_reason FROM documents WHERE doc_id % 23 IN (7,8,9,10,11,12,13)",
     "embedding_text": "WITH " + _DOC_CANON + " SELECT request_id, sha256(e) AS embed_hash FROM canon",
-    "conversation_embedding_text": """WITH u AS (SELECT conv_id, turn FROM conversations WHERE role='user'),
-        m AS (SELECT u.conv_id, u.turn AS at_turn, c.turn, c.role, c.text, count(*) FILTER (WHERE c.role<>'system') OVER (PARTITION BY u.conv_id, u.turn) AS nt
-              FROM u JOIN conversations c ON c.conv_id=u.conv_id AND c.turn BETWEEN u.turn-7 AND u.turn)
-        SELECT conv_id, at_turn AS turn, sha256(string_agg(CASE WHEN role='system' THEN text WHEN nt>1 THEN role||': '||text ELSE text END, chr(10)
-          ORDER BY CASE WHEN role='system' THEN 0 ELSE 1 END, turn)) AS embed_hash FROM m GROUP BY 1,2""",
+    "conversation_embedding_text": """WITH m AS (SELECT *, count(*) FILTER (WHERE role<>'system') OVER (PARTITION BY conv_id) AS nt FROM conversations)
+        SELECT conv_id, sha256(string_agg(CASE WHEN role='system' THEN text WHEN nt>1 THEN role||': '||text ELSE text END, chr(10)
+          ORDER BY CASE WHEN role='system' THEN 0 ELSE 1 END, turn)) AS embed_hash FROM m GROUP BY 1""",
     "exact_repeat_attribution": "WITH " + REQS + " SELECT request_id, first_id, request_id<>first_id AS is_repeat FROM seen",
     "exact_lookup": "WITH " + REQS + ", st AS (SELECT DISTINCT family, text FROM reqs WHERE request_id % 2 = 0) SELECT r.request_id, CASE WHEN s.text IS NOT NULL THEN 1.0::DOUBLE END AS similarity_score FROM reqs r LEFT JOIN st s ON s.text=r.text AND s.family IS NOT DISTINCT FROM r.family WHERE r.request_id % 2 = 1",
-    "top_prompts": "WITH " + REQS + " SELECT sha256(text) AS text_hash, n-1 AS hit_count, last_id FROM (SELECT family, text, count(*) AS n, max(request_id) AS last_id, min(request_id) AS f FROM reqs GROUP BY 1,2) WHERE n > 2",
+    "top_prompts": "WITH " + REQS + " SELECT sha256(text) AS text_hash, n-1 AS hit_count, last_id FROM (SELECT family, text, count(*) AS n, max(request_id) AS last_id, min(request_id) AS f FROM reqs GROUP BY 1,2) WHERE n > 1",
     # store
     "store_upsert": "SELECT user_id AS id, event_id AS version, event_type AS payload FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn=1",
-    "insert_if_absent": "SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'old' ELSE 'new' END AS origin FROM documents WHERE doc_id % 3 = 0 OR doc_id % 2 = 0",
-    "store_index_reconcile": "SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN 'index' ELSE 'store' END AS missing_in FROM documents WHERE (doc_id % 5 = 0) <> (doc_id % 7 = 0)",
+    "insert_if_absent": "SELECT sha256(text) AS id, CASE WHEN min(doc_id % 2) = 0 THEN 'old' ELSE 'new' END AS origin FROM documents GROUP BY text",
+    "store_index_reconcile": "SELECT sha256(text) AS id, CASE WHEN min(doc_id % 2) = 0 THEN 'index' ELSE 'store' END AS missing_in FROM documents GROUP BY text HAVING min(doc_id % 2) = max(doc_id % 2)",
     "index_projection": "WITH " + REQS + " SELECT f.first_id AS id, coalesce(f.family,'unknown') AS model, 0.0::DOUBLE AS cost_usd FROM firsts f",
     "pending_round_trip": "WITH " + REQS + ", " + VECTORS + " SELECT request_id, count(*) AS n_dims, round(sum(x*x),4) AS norm FROM vec GROUP BY 1",
     "seed_store": "SELECT min(doc_id) AS first_id, sha256(text) AS text_hash, count(*) AS n_prompts, 384 AS n_dims FROM documents GROUP BY text",
@@ -236,7 +235,10 @@ ORACLE: dict[str, str] = {
     # vectors and similarity
     "doc_vectors": "WITH " + REQS + ", " + VECTORS + " SELECT request_id, b AS bucket, round(x,6) AS x FROM vec",
     "unit_vectors": "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE*x::DOUBLE))),4) AS norm, round(embedding[1]::DOUBLE/sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE*x::DOUBLE))),6) AS first_value FROM embeddings",
-    "contradiction_probability": "WITH l AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), p AS (SELECT vec_id, exp(e[1])/(exp(e[1])+exp(e[2])+exp(e[3])) AS p1, exp(e[4])/(exp(e[4])+exp(e[5])+exp(e[6])) AS p2 FROM l) SELECT vec_id, round(greatest(p1,p2),6) AS probability, greatest(p1,p2) >= 0.5 AS contradicts FROM p",
+    "contradiction_probability": """WITH l AS (SELECT vec_id, list_transform(embedding, lambda x: exp(x::DOUBLE)) AS e FROM embeddings),
+        r AS (SELECT vec_id, e, unnest(list_append(range(1, 62, 3), 62)) AS i FROM l),
+        p AS (SELECT vec_id, max(e[i]/(e[i]+e[i+1]+e[i+2])) AS p FROM r GROUP BY 1)
+        SELECT vec_id, round(p,6) AS probability, p >= 0.5 AS contradicts FROM p""",
     "similarity_profile": _HEAD + _EARLIER + " SELECT n.a AS request_id, count(*) AS n_near, count(*) FILTER (WHERE n.fits) AS n_compatible, count(*) FILTER (WHERE n.fits AND v.safe) AS n_safe, round(max(score),6) AS top_score FROM near n JOIN verdict v ON v.a=n.a AND v.b=n.b GROUP BY 1",
     "similarity_best": _HEAD + _EARLIER + "," + _BEST + " SELECT a AS request_id, b AS matched_id, round(score,6) AS score FROM best",
     "similarity_top": _HEAD + _EARLIER + """, ranked AS (SELECT n.*, v.safe, row_number() OVER (PARTITION BY n.a ORDER BY score DESC, n.b) AS rk FROM near n JOIN verdict v ON v.a=n.a AND v.b=n.b),
@@ -276,11 +278,13 @@ ORACLE: dict[str, str] = {
 ORACLE["stream_tail"] = ORACLE["tail_lines"]
 
 # Replay with write-back: the log walked row by row.
-ORACLE["replay_attribution"] = (
-    "WITH RECURSIVE " + REQS + "," + VECTORS + ","
-    + near_sql("{0} IN (SELECT first_id FROM firsts)", "{0} IN (SELECT first_id FROM firsts)", "s.request_id < p.request_id")
-    + """,
-    node AS (SELECT first_id AS id, row_number() OVER (ORDER BY first_id) AS rn FROM firsts),
+def _replay(embedded: str) -> str:
+    """embedded: SQL of the ids whose text has a vector; the rest miss, and so do their repeats."""
+    return (
+        "WITH RECURSIVE " + REQS + "," + VECTORS + ","
+        + near_sql("{0} IN (SELECT first_id FROM firsts) AND {0} IN (" + embedded + ")", "{0} IN (SELECT first_id FROM firsts) AND {0} IN (" + embedded + ")", "s.request_id < p.request_id")
+        + """,
+    node AS (SELECT first_id AS id, row_number() OVER (ORDER BY first_id) AS rn FROM firsts WHERE first_id IN (""" + embedded + """)),
     edge AS (SELECT x.rn AS a, y.rn AS b FROM near n JOIN verdict v ON v.a=n.a AND v.b=n.b AND v.safe JOIN node x ON x.id=n.a JOIN node y ON y.id=n.b WHERE n.fits),
     adj AS (SELECT a, list(b) AS l FROM edge GROUP BY 1),
     walk AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL
@@ -289,11 +293,15 @@ ORACLE["replay_attribution"] = (
     stored AS (SELECT n.id FROM node n WHERE n.rn IN (SELECT unnest(kept) FROM walk WHERE i = (SELECT count(*) FROM node))),
     best AS (SELECT * FROM (SELECT n.a, n.b, n.score, row_number() OVER (PARTITION BY n.a ORDER BY n.score DESC, n.b) AS rn
              FROM near n JOIN verdict v ON v.a=n.a AND v.b=n.b AND v.safe WHERE n.fits AND n.b IN (SELECT id FROM stored) AND n.a NOT IN (SELECT id FROM stored)) WHERE rn=1)
-    SELECT s.request_id, CASE WHEN s.request_id<>s.first_id THEN 'L1' WHEN b.a IS NOT NULL THEN 'L2' ELSE 'miss' END AS tier,
-           CASE WHEN s.request_id<>s.first_id OR b.a IS NOT NULL THEN coalesce(b.b, s.first_id) END AS matched_id,
-           CASE WHEN s.request_id<>s.first_id THEN 1.0 ELSE round(b.score,6) END AS score
+    SELECT s.request_id, CASE WHEN s.first_id NOT IN (""" + embedded + """) THEN 'miss' WHEN s.request_id<>s.first_id THEN 'L1' WHEN b.a IS NOT NULL THEN 'L2' ELSE 'miss' END AS tier,
+           CASE WHEN s.first_id NOT IN (""" + embedded + """) THEN NULL WHEN s.request_id<>s.first_id OR b.a IS NOT NULL THEN coalesce(b.b, s.first_id) END AS matched_id,
+           CASE WHEN s.first_id NOT IN (""" + embedded + """) THEN NULL WHEN s.request_id<>s.first_id THEN 1.0 ELSE round(b.score,6) END AS score
     FROM seen s LEFT JOIN best b ON b.a=s.first_id"""
-)
+    )
+
+
+ORACLE["replay_attribution"] = _replay("SELECT doc_id FROM documents")
+ORACLE["replay_failed_embeds"] = _replay("SELECT doc_id FROM documents WHERE length(text) % 11 <> 0")
 
 # The same walk, priced: tokens come from the answer that was served.
 ORACLE["usage_ledger"] = (
@@ -312,19 +320,3 @@ ORACLE["usage_ledger"] = (
 ORACLE["top_prompts_limited"] = "WITH " + REQS + """,
     k AS (SELECT '{"messages":[{"content":[{"text":' || CAST(to_json(text) AS VARCHAR) || ',"type":"text"}],"role":"user"}]' || CASE WHEN family IS NULL THEN '' ELSE ',"model":"' || family || '"' END || '}' AS c, n FROM firsts)
     SELECT sha256(c) AS prompt_hash, sha256(c) AS text_hash, n-1 AS hit_count FROM k WHERE n > 1 ORDER BY n DESC, sha256(c) LIMIT 20"""
-
-# The alert rule walked call by call within each service.
-ORACLE["stream_breaker"] = "WITH RECURSIVE " + USAGE + """,
-    c AS (SELECT id, model AS service, failed, epoch_us(created_at) AS t, row_number() OVER (PARTITION BY model ORDER BY created_at, id) AS rn FROM usage),
-    w AS (SELECT DISTINCT service, 0::BIGINT AS rn, -1::BIGINT AS id, 'closed' AS state, 0::BIGINT AS opened, []::BIGINT[] AS recent, '' AS outcome FROM c
-          UNION ALL
-          SELECT service, rn, id,
-                 CASE WHEN s0='open' THEN 'open' WHEN failed AND len(kept)>=3 THEN 'open' WHEN failed THEN s0 WHEN s0='half_open' THEN 'closed' ELSE s0 END,
-                 CASE WHEN s0<>'open' AND failed AND len(kept)>=3 THEN t ELSE opened END,
-                 CASE WHEN s0='open' THEN recent WHEN failed AND len(kept)>=3 THEN []::BIGINT[] WHEN failed THEN kept WHEN s0='half_open' THEN []::BIGINT[] ELSE recent END,
-                 CASE WHEN s0='open' THEN 'skipped' WHEN failed THEN 'failed' ELSE 'ok' END
-          FROM (SELECT c.service, c.rn, c.id, c.failed, c.t, w.opened, w.recent,
-                       CASE WHEN w.state='open' AND c.t-w.opened >= 7200000000 THEN 'half_open' ELSE w.state END AS s0,
-                       list_append(list_filter(w.recent, lambda x: c.t-x < 3600000000), c.t) AS kept
-                FROM w JOIN c ON c.service=w.service AND c.rn=w.rn+1))
-    SELECT id, service, outcome, state FROM w WHERE rn > 0"""

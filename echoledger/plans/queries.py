@@ -19,7 +19,8 @@ from echoledger.streaming import jobs as J
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-ALL_ROWS = dataclasses.replace(DEFAULTS, max_store_rows=None)
+# The nearest rows that the cut before the filters keeps.
+TOP_ROWS = dataclasses.replace(DEFAULTS, top_k=5)
 
 
 def query(fn: Query) -> Query:
@@ -180,14 +181,6 @@ def failure_rolling(spark, sf):
     return J.rolling_failures(calls, window_s=3600).drop("created_at")
 
 
-@query
-def lru_attribution(spark, sf):
-    accesses = T.usage(spark, sf).select(
-        "id", "session_id", F.col("created_at").alias("ts"), (F.col("output_tokens") % 16).alias("key")
-    )
-    return resolve.recency_hits(accesses, cap=8).select("id", "session_id", "hit")
-
-
 # ---------------------------------------------------------------- requests
 
 
@@ -219,7 +212,7 @@ def embedding_text(spark, sf):
 @query
 def conversation_embedding_text(spark, sf):
     return N.canonicalize(T.conversation_requests(spark, sf)).select(
-        "conv_id", "turn", F.sha2("embed_text", 256).alias("embed_hash")
+        "conv_id", F.sha2("embed_text", 256).alias("embed_hash")
     )
 
 
@@ -245,7 +238,7 @@ def top_prompts(spark, sf):
         "prompt_hash", ["created_at"],
     )
     top = A.reuse_counts(repeats, store)
-    return top.where("hit_count > 1").select(
+    return top.select(
         F.col("prompt_text").alias("text_hash"), "hit_count", (F.unix_seconds("last_hit_at") - 1_704_067_200).alias("last_id")
     )
 
@@ -274,16 +267,18 @@ def store_upsert(spark, sf):
 
 @query
 def insert_if_absent(spark, sf):
-    docs = T.table(spark, sf, "documents").select(F.col("doc_id").alias("id"))
-    old = docs.where(F.col("id") % 3 == 0).withColumn("origin", F.lit("old"))
-    new = docs.where(F.col("id") % 2 == 0).withColumn("origin", F.lit("new"))
+    """Keys of all even documents are there; those of all odd ones come in."""
+    docs = T.table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("id"))
+    old = docs.where("doc_id % 2 = 0").select("id").distinct().withColumn("origin", F.lit("old"))
+    new = docs.where("doc_id % 2 = 1").select("id").distinct().withColumn("origin", F.lit("new"))
     return K.insert_if_absent(old, new, "id")
 
 
 @query
 def store_index_reconcile(spark, sf):
-    docs = T.table(spark, sf, "documents").select(F.col("doc_id").alias("prompt_hash"))
-    store, index = docs.where(F.col("prompt_hash") % 5 == 0), docs.where(F.col("prompt_hash") % 7 == 0)
+    """Store: the keys of even documents; index: those of odd ones. Copies stand in both."""
+    docs = T.table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("prompt_hash"))
+    store, index = (docs.where(F.col("doc_id") % 2 == r).select("prompt_hash").distinct() for r in (0, 1))
     return resolve.reconcile(store, index).withColumnRenamed("prompt_hash", "id")
 
 
@@ -307,7 +302,7 @@ def pending_round_trip(spark, sf):
 
 @query
 def seed_store(spark, sf):
-    docs = T.spread(T.table(spark, sf, "documents"))
+    docs = T.table(spark, sf, "documents")
     prompts = docs.select(
         F.col("text").alias("prompt"), F.lit("{}").alias("response_json"), F.timestamp_seconds(F.lit(1_704_067_200) - F.col("doc_id")).alias("ts")
     )
@@ -404,9 +399,9 @@ def unit_vectors(spark, sf):
 
 @query
 def contradiction_probability(spark, sf):
-    """Scorer arithmetic over two logit rows cut from each vector."""
+    """Scorer arithmetic over logit rows of three, cut from all 64 values of each vector."""
     logits = F.array(*[
-        F.array(*[F.col("embedding")[3 * r + c].cast("double") for c in range(3)]) for r in range(2)
+        F.array(*[F.col("embedding")[r + c].cast("double") for c in range(3)]) for r in (*range(0, 61, 3), 61)
     ])
     p = V.contradiction_probability(logits, 0)
     return T.table(spark, sf, "embeddings").select("vec_id", p.alias("p")).select(
@@ -421,7 +416,7 @@ def _matched(found: DataFrame) -> DataFrame:
 @query
 def similarity_profile(spark, sf):
     docs = document_vectors(spark, sf)
-    return S.match_profile(docs, docs, ALL_ROWS, earlier=True).withColumnRenamed("pid", "request_id").withColumn(
+    return S.match_profile(docs, docs, DEFAULTS, earlier=True).withColumnRenamed("pid", "request_id").withColumn(
         "top_score", F.round("top_score", 6)
     )
 
@@ -429,13 +424,13 @@ def similarity_profile(spark, sf):
 @query
 def similarity_best(spark, sf):
     docs = document_vectors(spark, sf)
-    return _matched(S.best_match(docs, docs, ALL_ROWS, earlier=True))
+    return _matched(S.best_match(docs, docs, DEFAULTS, earlier=True))
 
 
 @query
 def similarity_top(spark, sf):
     docs = document_vectors(spark, sf)
-    return _matched(S.best_of_top(S.top_candidates(docs, docs, ALL_ROWS, earlier=True)))
+    return _matched(S.best_of_top(S.top_candidates(docs, docs, TOP_ROWS, earlier=True)))
 
 
 @query
@@ -451,20 +446,13 @@ def embedding_best(spark, sf):
         "vec_id", F.col("embedding").cast("array<double>").alias("vec"), F.lit("").alias("family"), F.lit("").alias("text")
     )
     e = S.materialised(S.prepare(rows, "vec_id", F.col("vec_id"), "vec", "family", "text", guarded=False))
-    cfg = dataclasses.replace(ALL_ROWS, similarity_threshold=0.30, embedding_dims=64)
+    cfg = dataclasses.replace(DEFAULTS, similarity_threshold=0.30, embedding_dims=64)
     return _matched(S.best_match(e, e, cfg, earlier=True))
 
 
-@query
-def banded_best(spark, sf):
-    """Approximate candidates from hash bands, verified exactly."""
-    docs = document_vectors(spark, sf)
-    return _matched(S.best_match(docs, docs, ALL_ROWS, earlier=True, bands=(8, 8)))
-
-
 def _snapshot(spark, sf):
     requests, store = snapshot_sides(spark, sf)
-    out = resolve.resolve_snapshot(requests, store, dataclasses.replace(ALL_ROWS, top_k=None))
+    out = resolve.resolve_snapshot(requests, store, DEFAULTS)
     ids = store.select(F.col("prompt_hash").alias("matched_hash"), F.col("request_id").alias("matched_id"))
     return out, ids
 
@@ -487,16 +475,27 @@ def phase_report(spark, sf):
 @query
 def replay_attribution(spark, sf):
     log = document_log(spark, sf)
-    out = resolve.replay_log(log, ALL_ROWS)
+    out = resolve.replay_log(log, DEFAULTS)
     served = F.when(F.col("tier") != "miss", F.col("served_id"))
     return out.select("request_id", "tier", served.alias("matched_id"), F.round("similarity_score", 6).alias("score"))
 
 
+@query
+def replay_failed_embeds(spark, sf):
+    """Replay where texts of every eleventh length get no vector: they and their repeats miss and are never stored."""
+    log = document_log(spark, sf)
+    vector = lambda text: F.when(F.length(text) % 11 != 0, V.hashed_terms(text))
+    out = resolve.replay_log(log, DEFAULTS, vector)
+    return out.select(
+        "request_id", "tier", F.when(F.col("tier") != "miss", F.col("served_id")).alias("matched_id"),
+        F.round("similarity_score", 6).alias("score"))
+
+
 @query
 def usage_ledger(spark, sf):
     """Usage facts of the replayed log, priced, with the links a hit needs."""
     log = document_log(spark, sf)
-    out = resolve.replay_log(log, ALL_ROWS)
+    out = resolve.replay_log(log, DEFAULTS)
     answers = stored_documents(spark, sf).select("prompt_hash", "input_tokens", "output_tokens")
     ledger = resolve.usage_facts(out, answers, F.length("embed_text") % 1000)
     return ledger.select(
@@ -509,7 +508,7 @@ def usage_ledger(spark, sf):
 
 
 def _guarded_pairs(spark, sf):
-    docs = T.spread(T.table(spark, sf, "documents")).select("doc_id", G.features(F.col("text")).alias("g"))
+    docs = T.table(spark, sf, "documents").select("doc_id", G.features(F.col("text")).alias("g"))
     left = docs.select(F.col("doc_id").alias("pair_id"), F.col("g").alias("ga"))
     right = docs.select((F.col("doc_id") - 1).alias("pair_id"), F.col("g").alias("gb"))
     return left.join(right, "pair_id")
@@ -536,7 +535,7 @@ def guard_words(spark, sf):
 @query
 def guard_direction(spark, sf):
     way = G.direction(G.tokens(F.col("text")))
-    return T.spread(T.table(spark, sf, "documents")).select("doc_id", way.alias("w")).select("doc_id", "w.source", "w.target")
+    return T.table(spark, sf, "documents").select("doc_id", way.alias("w")).select("doc_id", "w.source", "w.target")
 
 
 @query
@@ -599,27 +598,37 @@ def _usage_stream(spark, sf):
     return cost.with_costs(T.usage_columns(J.stream_parquet(spark, sf, "events.parquet")))
 
 
+def _backwards(spark, sf):
+    """The usage stream in files of falling time, a file in a batch."""
+    folder, _ = J.fresh(spark, "backwards")
+    events = T.table(spark, sf, "events")
+    for part in range(4):
+        quarter = F.floor((F.dayofmonth("ts") - 1) / 8)
+        events.where(quarter == 3 - part).write.mode("append").parquet(folder)
+    return cost.with_costs(T.usage_columns(J.stream_parquet(spark, folder, files_per_batch=1)))
+
+
 @query
 def stream_session_metrics(spark, sf):
     out, ckpt = J.fresh(spark, "session-metrics")
     J.run_session_metrics(_usage_stream(spark, sf), out, ckpt)
-    return J.metrics_of_histogram(K.read_keyed(spark, out, "cell", ["n_calls"]))
+    return J.read_session_metrics(spark, out)
 
 
 @query
 def stream_ingest(spark, sf):
-    """Every event arrives twice and is kept once."""
+    """Every event arrives twice, newest first, and is kept once."""
     out, ckpt = J.fresh(spark, "ingest")
-    twice = _usage_stream(spark, sf).withColumn("attempt", F.explode(F.array(F.lit(0), F.lit(1))))
-    J.run(J.ingest_once(twice), J.keyed_sink(out, "id", ["created_at"]), ckpt)
+    twice = _backwards(spark, sf).withColumn("attempt", F.explode(F.array(F.lit(0), F.lit(1))))
+    J.run_ingest(twice, out, ckpt)
     return K.read_keyed(spark, out, "id", ["created_at"]).select("id", "session_id", "cache_hit")
 
 
 @query
 def stream_daily(spark, sf):
     out, ckpt = J.fresh(spark, "daily")
-    J.run(J.daily_series(_usage_stream(spark, sf)), J.keyed_sink(out, "date", ["n_calls"]), ckpt, "update")
-    return K.read_keyed(spark, out, "date", ["n_calls"])
+    J.run_daily(_backwards(spark, sf), out, ckpt)
+    return J.read_daily(spark, out)
 
 
 @query
@@ -661,12 +670,3 @@ def stream_lookup(spark, sf):
     return K.read_keyed(spark, out, "request_id", ["ts"]).select(
         "request_id", F.col("matched_hash").isNotNull().alias("hit")
     )
-
-
-@query
-def stream_breaker(spark, sf):
-    out, ckpt = J.fresh(spark, "breaker")
-    calls = _usage_stream(spark, sf).withColumn("service", F.col("model"))
-    cfg = dataclasses.replace(DEFAULTS, failure_window_s=3600, reset_timeout_s=7200)
-    J.run(J.breaker(calls, cfg), J.keyed_sink(out, "id", ["created_at"]), ckpt)
-    return K.read_keyed(spark, out, "id", ["created_at"]).select("id", "service", "outcome", "state")
