@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from echoledger.llm.shared import documents_of, mix, powers
+from echoledger.llm.shared import Tables, commonest, documents_of, mix, powers
 
 #: Words in the automaton, and the bytes that one of them may have: together they bound its size.
 LEXICON_WORDS, LEXICON_BYTES = 200_000, 40
@@ -340,7 +340,7 @@ def text_steps(texts: list[str], limit: int = STEP_CHARS) -> Iterator[tuple[int,
 
 
 def frequent_words(docs: DataFrame, split_at: list[str], most: int = LEXICON_WORDS) -> list[str]:
-    """The commonest pre-tokens of all documents: counted in tasks, summed by shuffle, `most` brought back."""
+    """The commonest pre-tokens of all documents: counted in tasks, summed by shuffle, at most `most` brought back."""
     pattern = re.compile("|".join(map(re.escape, split_at))) if split_at else None
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,13 +358,14 @@ def frequent_words(docs: DataFrame, split_at: list[str], most: int = LEXICON_WOR
                     for w, n in zip(found, np.bincount(which, minlength=len(at)).tolist()):
                         counts[w] = counts.get(w, 0) + n
             short = {w: n for w, n in counts.items() if len(w) <= LEXICON_BYTES}
-            yield pa.RecordBatch.from_arrays([pa.array(list(short), pa.binary()).cast(pa.string()), pa.array(list(short.values()), pa.int64())], ["word", "n"])
-
-    rows = (
-        documents_of(docs, "text").mapInArrow(counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-        .where("n > 1").orderBy(F.desc("n"), "word").limit(most)
-    )
-    return [r["word"] for r in rows.collect()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(short), pa.binary()).cast(pa.string()), pa.array(list(short.values()), pa.int64())], ["word", "c"])
+
+    tables = Tables(docs.sparkSession, "bpe-words")
+    counts = tables.keep(
+        documents_of(docs, "text").mapInArrow(counted, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c")).where("c > 1"), "words")
+    found = sorted(r["word"] for r in commonest(counts, most, "word"))
+    tables.drop(counts)
+    return found
 
 
 def build_lexicon(words: list[str], vocabulary: Vocabulary) -> bytes:

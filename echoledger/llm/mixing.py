@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from echoledger.llm.shared import Tables, documents_of, steps, text_buffer, words
+from echoledger.llm.shared import Tables, commonest, documents_of, steps, text_buffer, words
 
 #: Words with a path of their own; words whose counts every task holds.
 LEXICON, TABLE_WORDS = 1 << 14, 300_000
@@ -62,18 +62,6 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return documents_of(docs, "text").mapInArrow(run, "word bigint, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def commonest(counts: DataFrame, most: int, *columns: str) -> list:
-    """Rows of the commonest words, `most` at most: all whose count reaches a bound, found from a histogram of counts."""
-    histogram = sorted(((r["c"], r["count"]) for r in counts.groupBy("c").count().collect()), reverse=True)
-    total, bound = 0, None
-    for c, n in histogram:
-        total += n
-        if total > most:
-            break
-        bound = c
-    return counts.where(F.col("c") >= bound).select(*columns, "c").collect() if bound is not None else []
-
-
 @dataclass
 class Model:
     """Word counts of the tasks, the Huffman paths of lexicon words, and the contexts' tables."""

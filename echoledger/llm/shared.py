@@ -77,6 +77,18 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def commonest(counts: DataFrame, most: int, *columns: str) -> list:
+    """Rows of the commonest words, `most` at most: all whose count reaches a bound, found from a histogram of counts."""
+    histogram = sorted(((r["c"], r["count"]) for r in counts.groupBy("c").count().collect()), reverse=True)
+    total, bound = 0, None
+    for c, n in histogram:
+        total += n
+        if total > most:
+            break
+        bound = c
+    return counts.where(F.col("c") >= bound).select(*columns, "c").collect() if bound is not None else []
+
+
 def documents_of(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns alone, so that others, whatever their names, do not meet the operator's own."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
