@@ -245,8 +245,9 @@ class Repeats:
             merged, "k1 bigint, k2 bigint, low bigint, high bigint")
         if hot:
             ranges = ranges.unionByName(self._one_by_one(suffixes.where("hot")))
-        ranges = tables.keep(ranges, "ranges")
-        self.spans = ranges.groupBy("k1", "k2").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))  # a text's own matches
+        self.ranges = tables.keep(ranges, "ranges")
+        tables.drop(named)
+        self.spans = self.ranges.groupBy("k1", "k2").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))  # a text's own matches
         self.found = self.candidates.select("k1", "k2", "text").join(self.spans, ["k1", "k2"])
 
     def _one_by_one(self, suffixes: DataFrame) -> DataFrame:
@@ -333,6 +334,7 @@ def strip_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     found = run.found.mapInArrow(cut, "k1 bigint, k2 bigint, left string").join(copies, ["k1", "k2"], "left_anti")
     changed = run.tables.keep(found.unionByName(copies.withColumn("left", F.lit(""))), "changed").select(
         F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("left").alias("_left"))
+    run.tables.drop(run.texts, run.groups, run.candidates, run.ranges)
     first, second = _keys(length)
     # A text that has its place in `changed` is replaced; all other columns stay as they are.
     joined = docs.join(changed, (first == F.col("_k1")) & (second == F.col("_k2")), "left")
