@@ -1,11 +1,16 @@
 """MinHash near-duplicates by an LSH forest, confirmed on full shingle sets.
 
 A document's set holds its distinct 5-word shingles. Equal sets meet by digest first. Every other
-set gets TREES x DEPTH minimum hashes; tree t is the order of all sets by their t-th DEPTH values,
+set gets HASHES minimum hashes; tree t is the order of all sets by their t-th DEPTH values,
 sorted over the cluster by range. Candidates are neighbours in that order: pairs whose common prefix
 is at least LEAST_PREFIX deep, nearest first, so that the depth asked for adapts to how crowded a
-region is. Candidates that the whole signature allows are confirmed on the sets: each document's
-best one first, then all that still lie in different components.
+region is. Candidates that the whole signature allows are confirmed on the full sets.
+
+The first trees give each row's likeliest neighbour alone, which joins crowded groups of copies. The
+others look WINDOW rows ahead for rows of another component, and first only name the documents that
+have some. Among these, likeliest neighbours are confirmed and components joined; what then still
+lies in different components is confirmed pair by pair, each pair from the order in which its
+common prefix is deepest.
 
 A link of similarity 0.75 that stands alone is missed by all 20 trees with probability under 1e-7;
 the signature's bound drops such a link with probability 1.3e-5, and more similar ones far more rarely.
@@ -29,11 +34,16 @@ from echoledger.llm.shared import Tables, documents_of, mix, parts, steps, text_
 
 WIDTH = 5
 TREES, DEPTH, LEAST_PREFIX = 20, 6, 2
-HASHES = TREES * DEPTH
-#: Neighbours to each side in one tree; a crowded region's other pairs meet in other trees or through these.
+#: Trees of the first round.
+FIRST_TREES = 4
+#: Minimum hashes of a signature: the trees' own, and as many more to judge candidates by.
+HASHES = 2 * TREES * DEPTH
+#: Neighbours to each side in one tree of the second round; rows of one component do not compare.
 WINDOW = 64
-#: Equal minimum hashes that a candidate needs, and those that make a link all but sure.
-LEAST_EQUAL, SURE_EQUAL = 70, 102
+#: Equal minimum hashes that a candidate needs.
+LEAST_EQUAL = 152
+#: Document numbers, of 8 bytes each, up to which they are sent to all tasks instead of being joined by shuffle.
+SENT_IDS = 1_000_000
 #: Rows of a tree order that are worth a task of their own.
 TASK_ROWS = 20_000
 
@@ -96,24 +106,25 @@ def describe(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return documents_of(docs, "doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, d1 bigint, d2 bigint, sig binary")
 
 
-_ORDER = "border int, tree int, key binary, id bigint, n bigint, part binary"
-_PAIRS = "a bigint, b bigint, equal int, border int, tree int, key binary, id bigint, n bigint, part binary"
+_PAIRS = "a bigint, b bigint, border int, tree int, key binary, id bigint, n bigint, part binary, comp bigint"
 
 
 class _Order:
     """Some consecutive rows of one tree order."""
 
-    def __init__(self, batches: list[pa.RecordBatch], share: int):
+    def __init__(self, batches: list[pa.RecordBatch]):
         t = pa.Table.from_batches(batches).combine_chunks()
         self.table = t
         self.border, self.tree = t["border"].to_numpy(), t["tree"].to_numpy()
-        self.id, self.n = t["id"].to_numpy(), t["n"].to_numpy()
+        self.id, self.n, self.comp = t["id"].to_numpy(), t["n"].to_numpy(), t["comp"].to_numpy()
         rows = len(self.id)
         _, keys = text_buffer(t["key"])
         o, sig = text_buffer(t["part"])
         key_o, _ = text_buffer(t["key"])
         self.key = keys[key_o[0] : key_o[0] + rows * 2 * DEPTH].reshape(rows, 2 * DEPTH)[:, : 2 * LEAST_PREFIX]
-        self.sig = sig[o[0] : o[0] + rows * share].reshape(rows, share)
+        self.sig = sig[o[0] : o[-1]].reshape(rows, -1)
+        if self.sig.shape[1] == 2 * HASHES:  # whole values
+            self.sig = np.ascontiguousarray(self.sig).view(np.uint16)
 
     def region_ends(self) -> np.ndarray:
         """End of the region (same tree, same prefix of least depth) of each row."""
@@ -123,53 +134,72 @@ class _Order:
         marks = np.flatnonzero(new)
         return marks[np.searchsorted(marks, np.arange(n), side="right")]
 
-    def pairs(self, first_new: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Candidates among neighbours whose later row is at `first_new` or after it."""
-        n, ends, out = len(self.id), self.region_ends(), []
+    def pairs(self, first_new: int, window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Candidates (row, later row, equal values) of different components whose later row is at `first_new` or after it."""
+        n, ends = len(self.id), self.region_ends()
         at = np.arange(n)
-        nearest = before = np.zeros(n + 1, np.int16)
-        for d in range(1, min(WINDOW, n - 1) + 1):
+        for d in range(1, min(window, n - 1) + 1):
             at = at[at + d < ends[at]]
             if not len(at):
                 break
-            a, b = at, at + d
-            fits = 100 * np.minimum(self.n[a], self.n[b]) >= 75 * np.maximum(self.n[a], self.n[b])
-            if d > 1:  # both ends all but surely linked to a row between them
-                sure = (nearest[a] >= SURE_EQUAL) & (before[a + 1] >= SURE_EQUAL) | (before[a] >= SURE_EQUAL) & (nearest[b - 1] >= SURE_EQUAL)
-            now = np.zeros(n + 1, np.int16)
-            test = a[fits]
-            for k in range(0, len(test), 1 << 14):
-                x = test[k : k + (1 << 14)]
-                now[x] = (self.sig[x] == self.sig[x + d]).sum(1)
-            good = (now[a] >= LEAST_EQUAL) & (b >= first_new) & (self.id[a] != self.id[b])
-            if d > 1:
-                good &= ~sure
-            else:
-                nearest = now
-            before = now
-            if good.any():
-                x, y = self.id[a[good]], self.id[b[good]]
-                out.append((np.minimum(x, y), np.maximum(x, y), now[a[good]].astype(np.int32)))
+            a = at[(at + d >= first_new) & (self.comp[at] != self.comp[at + d])]
+            a = a[100 * np.minimum(self.n[a], self.n[a + d]) >= 75 * np.maximum(self.n[a], self.n[a + d])]
+            for k in range(0, len(a), 1 << 14):
+                x = a[k : k + (1 << 14)]
+                equal = (self.sig[x] == self.sig[x + d]).sum(1)
+                good = equal >= LEAST_EQUAL
+                if good.any():
+                    yield x[good], x[good] + d, equal[good]
+
+    def deepest(self, a: np.ndarray, b: np.ndarray, trees: range) -> np.ndarray:
+        """Whether this order is the one of `trees` in which the two rows have their longest common prefix."""
+        out = np.empty(len(a), bool)
+        for k in range(0, len(a), 1 << 13):
+            x, y = a[k : k + (1 << 13)], b[k : k + (1 << 13)]
+            same = (self.sig[x, : TREES * DEPTH] == self.sig[y, : TREES * DEPTH]).reshape(-1, TREES, DEPTH)[:, trees.start : trees.stop]
+            out[k : k + (1 << 13)] = same.cumprod(2).sum(2).argmax(1) + trees.start == self.tree[x]
         return out
 
+    def found(self, first_new: int, window: int, kind: str, trees: range) -> list[tuple[np.ndarray, np.ndarray | None]]:
+        """Ids of all candidates (each in one order), of each row's likeliest one, or of the rows that have some."""
+        every = list(self.pairs(first_new, window))
+        if not every:
+            return []
+        a, b, equal = (np.concatenate(x) for x in zip(*every))
+        if kind == NAMES:
+            return [(np.unique(self.id[np.concatenate((a, b))]), None)]
+        if kind == ALL:
+            own = self.deepest(a, b, trees)
+            a, b = a[own], b[own]
+        if kind == LIKELIEST:
+            order = np.lexsort((b, -equal, a))
+            a, b = a[order], b[order]
+            top = np.concatenate(([True], a[1:] != a[:-1]))
+            a, b = a[top], b[top]
+        return [(np.minimum(self.id[a], self.id[b]), np.maximum(self.id[a], self.id[b]))]
+
+
+ALL, LIKELIEST, NAMES = "all", "likeliest", "names"
+
+
+def _region_of(table: pa.Table, at: int) -> pa.Table:
+    """The rows in the region of one of them."""
+    order = _Order(table.to_batches())
+    return order.table.filter(pa.array((order.tree == order.tree[at]) & (order.key == order.key[at]).all(1)))
+
 
-def _neighbours(borders: bool):
-    """Task code: candidates of sorted rows; with `borders`, the first and last rows of the task too."""
+def _neighbours(window: int, borders: bool, kind: str, trees: range):
+    """Task code: candidates of sorted rows; with `borders`, the task's first and last rows too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        names = ["a", "b", "equal", "border", "tree", "key", "id", "n", "part"]
-
-        def found(order: _Order, first_new: int) -> Iterator[pa.RecordBatch]:
-            for x, y, e in order.pairs(first_new):
-                none = [pa.nulls(len(x), t) for t in (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(e), *none], names)
+        names = ["a", "b", "border", "tree", "key", "id", "n", "part", "comp"]
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
 
         def edge(table: pa.Table, border: int) -> Iterator[pa.RecordBatch]:
             for r in table.combine_chunks().to_batches():
-                m = r.num_rows
-                none = [pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.int32())]
-                yield pa.RecordBatch.from_arrays([*none, pa.array([border] * m, pa.int32()), *r.columns[1:]], names)
+                none = [pa.nulls(r.num_rows, pa.int64())] * 2
+                yield pa.RecordBatch.from_arrays([*none, pa.array([border] * r.num_rows, pa.int32()), *r.columns[1:]], names)
 
         kept: pa.Table | None = None
         head: pa.Table | None = None
@@ -177,37 +207,39 @@ def _neighbours(borders: bool):
             if not b.num_rows:
                 continue
             old = kept.num_rows if kept is not None else 0
-            order = _Order([*(kept.to_batches() if kept is not None else []), b], HASHES)
-            if borders and (head is None or head.num_rows < WINDOW):
-                head = pa.concat_tables([*([head] if head is not None else []), pa.Table.from_batches([b])]).slice(0, WINDOW)
-            yield from found(order, old)
-            kept = order.table.slice(max(0, order.table.num_rows - WINDOW))
-        if borders and kept is not None:
-            yield from edge(head, task - 1)
-            yield from edge(kept, task)
+            order = _Order([*(kept.to_batches() if kept is not None else []), b])
+            if borders and (head is None or head.num_rows < window):
+                head = pa.concat_tables([*([head] if head is not None else []), pa.Table.from_batches([b])]).slice(0, window)
+            for x, y in order.found(old, window, kind, trees):
+                second = pa.nulls(len(x), pa.int64()) if y is None else pa.array(y)
+                yield pa.RecordBatch.from_arrays([pa.array(x), second, *[pa.nulls(len(x), t) for t in kinds]], names)
+            kept = order.table.slice(max(0, order.table.num_rows - window))
+        if borders and kept is not None:  # rows of the task's first and last region: no others have neighbours outside
+            yield from edge(_region_of(head, 0), task - 1)
+            yield from edge(_region_of(kept, kept.num_rows - 1), task)
 
     return run
 
 
-def candidates(reps: DataFrame, tables: Tables) -> DataFrame:
-    """(a, b, equal): neighbouring pairs of all trees that the signatures allow, each once."""
+def candidates(reps: DataFrame, tables: Tables, trees: range, window: int, kind: str = ALL) -> DataFrame:
+    """(a, b): neighbouring pairs of the trees that the signatures allow, each once; of NAMES, b is null.
+
+    reps have id, n, sig and comp.
+    """
     spark = reps.sparkSession
-    rows = reps.count() * TREES
-    if not rows:
-        return spark.createDataFrame([], "a bigint, b bigint, equal int")
+    rows = reps.count() * len(trees)
     tasks = max(1, min(parts(spark), rows // TASK_ROWS))
-    # One byte of each value is enough for the comparison; the tree's own values sort whole.
-    low = F.unhex(F.regexp_replace(F.hex("sig"), "..(..)", "$1"))
-    trees = reps.select("id", "n", "sig", low.alias("part")).select(
-        F.lit(0).alias("border"), F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "sig", "id", "n", "part"
-    ).select("border", "tree", F.substring("sig", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * DEPTH)).alias("key"), "id", "n", "part")
+    # One byte of each value is enough to compare many rows by; the tree's own values sort whole.
+    low = F.col("sig") if kind == ALL else F.unhex(F.regexp_replace(F.hex("sig"), "..(..)", "$1"))
+    rows = reps.select("id", "n", "comp", "sig", low.alias("part")).select(
+        F.lit(0).alias("border"), F.explode(F.sequence(F.lit(trees.start), F.lit(trees.stop - 1))).alias("tree"), "sig", "id", "n", "part", "comp"
+    ).select("border", "tree", F.substring("sig", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * DEPTH)).alias("key"), "id", "n", "part", "comp")
     order = ["tree", "key", "id"]
-    first = tables.keep(trees.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(_neighbours(True), _PAIRS), "orders")
-    again = first.where("id IS NOT NULL").select("border", "tree", "key", "id", "n", "part")
+    first = tables.keep(rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(_neighbours(window, True, kind, trees), _PAIRS), "orders")
+    again = first.where("id IS NOT NULL").select("border", "tree", "key", "id", "n", "part", "comp")
     # The rows around each border of two ranges, a bounded number for each border.
-    met = again.repartition("border").sortWithinPartitions("border", *order).mapInArrow(_neighbours(False), _PAIRS)
-    pairs = first.where("a IS NOT NULL").select("a", "b", "equal").unionByName(met.select("a", "b", "equal"))
-    out = tables.keep(pairs.groupBy("a", "b").agg(F.max("equal").alias("equal")), "candidates")
+    met = again.repartition("border").sortWithinPartitions("border", *order).mapInArrow(_neighbours(window, False, kind, trees), _PAIRS)
+    out = tables.keep(first.where("a IS NOT NULL").select("a", "b").unionByName(met.select("a", "b")).distinct(), "candidates")
     tables.drop(first)
     return out
 
@@ -242,43 +274,67 @@ def full_sets(docs: DataFrame, ids: DataFrame, width: int = WIDTH) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "shingles"])
 
     texts = documents_of(docs, "doc_id", "text")
-    return texts.join(ids, texts.doc_id == ids.id, "left_semi").mapInArrow(run, "id bigint, shingles binary")
+    few = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+    return texts.join(few, texts.doc_id == ids.id, "left_semi").mapInArrow(run, "id bigint, shingles binary")
+
 
+def sets_of(docs: DataFrame, ids: DataFrame, tables: Tables, width: int) -> DataFrame:
+    return tables.keep(full_sets(docs, tables.keep(ids.distinct(), "ids"), width), "sets")
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, tables: Tables | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every document."""
     spark = docs.sparkSession
-    tables = Tables(spark, "near-duplicates")
+    tables = tables or Tables(spark, "near-duplicates")
     every = tables.keep(describe(docs, width), "signatures")
     named = every.where("doc_id IS NOT NULL AND n > 0")
     groups = tables.keep(named.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")), "groups")
     # Sets of fewer than three shingles are alike only if equal, and those have met.
     reps = named.where("n > 2").join(groups.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi")
-    reps = reps.select(F.col("doc_id").alias("id"), "n", "sig").dropDuplicates(["id", "n"])
-    maybe = candidates(reps, tables)
-
-    ids = maybe.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = tables.keep(full_sets(docs, ids, width), "sets")
-    ends = maybe.select(F.col("a").alias("id"), F.struct("equal", (-F.col("b")).alias("other"), "a", "b").alias("pair")).unionByName(
-        maybe.select(F.col("b").alias("id"), F.struct("equal", (-F.col("a")).alias("other"), "a", "b").alias("pair")))
-    best = tables.keep(ends.groupBy("id").agg(F.max("pair").alias("pair")).select("pair.a", "pair.b").distinct(), "best")
-    links = tables.keep(confirm(best, sets), "links")
-    near = tables.keep(components(links, tables), "components-1")
-
-    root = lambda key: near.select(F.col("id").alias(key), F.col("root").alias(f"{key}_root"))
-    rest = maybe.select("a", "b").join(best, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
-    apart = rest.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
-    more = tables.keep(confirm(tables.keep(apart, "apart"), sets), "more")
-    joined = more.join(root("a"), "a", "left").join(root("b"), "b", "left").select(
-        F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
-    far = tables.keep(components(joined, tables), "components-2")
-
-    # Doc -> representative of its set -> root of the first round -> root of the second.
-    roots = near.join(far.select(F.col("id").alias("root"), F.col("root").alias("top")), "root", "left").select(
-        "id", F.coalesce("top", "root").alias("root"))
-    roots = roots.unionByName(far.join(near, "id", "left_anti").select("id", "root"))
-    of_group = groups.join(roots, groups.rep == roots.id, "left").select("d1", "d2", "n", F.coalesce("root", "rep").alias("root"))
+    reps = tables.keep(reps.select(F.col("doc_id").alias("id"), "n", "sig").dropDuplicates(["id", "n"]), "reps")
+
+    def joined(labels: DataFrame, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+        """Labels (id, comp) after the links among the pairs."""
+        links = tables.keep(confirm(pairs, sets), f"{name}-links")
+        root = lambda key: labels.select(F.col("id").alias(key), F.col("comp").alias(f"{key}_comp"))
+        edges = links.join(root("a"), "a").join(root("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))
+        roots = components(edges, tables).select(F.col("id").alias("comp"), "root")
+        now = labels.join(roots, "comp", "left").select("id", F.coalesce("root", "comp").alias("comp"))
+        return tables.keep(now, f"{name}-labels")
+
+    labels = tables.keep(reps.select("id", F.col("id").alias("comp")), "labels")
+    pairs = candidates(reps.withColumn("comp", F.col("id")), tables, range(FIRST_TREES), WINDOW, LIKELIEST)
+    sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), tables, width)
+    labels = joined(labels, pairs, sets, "first")
+    tables.drop(sets, pairs)
+
+    rest = range(FIRST_TREES, TREES)
+    named = candidates(reps.join(labels, "id"), tables, rest, WINDOW, NAMES).select(F.col("a").alias("id")).distinct()
+    open_reps = tables.keep(reps.join(named, "id", "left_semi"), "open")
+    sets = sets_of(docs, named, tables, width)
+    pairs = candidates(open_reps.join(labels, "id"), tables, rest, WINDOW, LIKELIEST)
+    labels = joined(labels, pairs, sets, "likeliest")
+    tables.drop(pairs)
+    labels = joined(labels, candidates(open_reps.join(labels, "id"), tables, rest, WINDOW), sets, "all")
+    tables.drop(sets)
+
+    of_group = groups.join(labels, groups.rep == labels.id, "left").select("d1", "d2", "n", F.coalesce("comp", "rep").alias("root"))
     out = every.select("doc_id", "n", "d1", "d2").join(of_group, ["d1", "d2", "n"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def one_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The documents that stay: one of each group of near-duplicates, with all their columns."""
+    tables, work = (Tables(docs.sparkSession, label) for label in ("one-of-each", "near-duplicates"))
+    verdict = tables.keep(near_duplicates(docs, width, work).select("doc_id", "kept"), "verdict")
+    work.delete(work.root)
+    gone = verdict.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    few = F.broadcast(gone) if gone.count() <= SENT_IDS else gone
+    left = docs.join(few, docs["doc_id"] == F.col("_gone"), "left_anti")
+    again = verdict.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    if again:  # rows of one doc_id are one document
+        some, none = left.where("doc_id IS NOT NULL"), left.where("doc_id IS NULL")
+        left = some.dropDuplicates(["doc_id"]).unionByName(none)
+    return left
