@@ -8,12 +8,14 @@ region is. Candidates that the whole signature allows are confirmed on the full
 
 The first trees give each row's likeliest neighbour alone, which joins crowded groups of copies. The
 others look WINDOW rows ahead for rows of another component, and first only name the documents that
-have some. Among these, likeliest neighbours are confirmed and components joined; what then still
-lies in different components is confirmed pair by pair, each pair from the order in which its
-common prefix is deepest.
+have some. Among these, likeliest neighbours are confirmed and components joined. A region (common prefix
+of the least depth) of more rows than the window holds is then dealt out in blocks: every row outside its
+largest component meets every row of the region, and tasks confirm on the full sets themselves.
+What then still lies in different components is confirmed pair by pair.
 
-A link of similarity 0.75 that stands alone is missed by all 20 trees with probability under 1e-7;
-the signature's bound drops such a link with probability 1.3e-5, and more similar ones far more rarely.
+So each of the others sees all pairs of its regions, however crowded. A link of similarity 0.75 lies in no
+region of these 16 with probability 1.8e-6 (of all 20, under 1e-7, if it stands alone); the signature's bound
+drops such a link with probability 1.3e-5, and more similar ones far more rarely.
 
 Defined cases: texts without words have an empty set, no links, and are kept; fewer words than five
 are one shingle; rows of one doc_id are one vertex; a null doc_id has no links, a null component,
@@ -40,6 +42,10 @@ FIRST_TREES = 4
 HASHES = 2 * TREES * DEPTH
 #: Neighbours to each side in one tree of the second round; rows of one component do not compare.
 WINDOW = 64
+#: Rows and shingles of one block of a region that is larger than the window.
+BLOCK_ROWS, BLOCK_SHINGLES = 256, 1 << 20
+#: Larger regions up to which they are sent to all tasks.
+SENT_REGIONS = 50_000
 #: Equal minimum hashes that a candidate needs.
 LEAST_EQUAL = 152
 #: Document numbers, of 8 bytes each, up to which they are sent to all tasks instead of being joined by shuffle.
@@ -282,6 +288,102 @@ def sets_of(docs: DataFrame, ids: DataFrame, tables: Tables, width: int) -> Data
     return tables.keep(full_sets(docs, tables.keep(ids.distinct(), "ids"), width), "sets")
 
 
+def full_regions(reps: DataFrame, trees: range, window: int) -> tuple[DataFrame, DataFrame]:
+    """All rows by region (tree, key); and the regions of several components that the window cannot hold, with the
+    largest component and the numbers of blocks, of rows outside that component and of all rows."""
+    rows = reps.select("id", "n", "sig", "comp", F.explode(F.sequence(F.lit(trees.start), F.lit(trees.stop - 1))).alias("tree"))
+    rows = rows.withColumn("key", F.substring("sig", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * LEAST_PREFIX)))
+    each = rows.groupBy("tree", "key", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    top = F.max(F.struct("c", "comp", "s"))
+    regions = each.groupBy("tree", "key").agg(F.sum("c").alias("c"), F.sum("s").alias("s"), top.alias("top")).where(f"c > {window + 1} AND top.c < c")
+
+    def blocks(rows, shingles):
+        return F.ceil(F.greatest(rows / BLOCK_ROWS, shingles / BLOCK_SHINGLES)).cast("int")
+
+    regions = regions.select(
+        "tree", "key", F.col("top.comp").alias("main"), blocks(F.col("c") - F.col("top.c"), F.col("s") - F.col("top.s")).alias("probes"),
+        blocks(F.col("c"), F.col("s")).alias("stores"))
+    return rows, regions
+
+
+def crowded_links(reps: DataFrame, docs: DataFrame, tables: Tables, trees: range, window: int, width: int) -> DataFrame | None:
+    """(a, b): confirmed links that join the components within regions that the window cannot hold; None without such regions.
+
+    A pair is looked at in the first order that has it in one region, and left out if links of the same task join it.
+    """
+    rows, regions = full_regions(reps, trees, window)
+    regions = tables.keep(regions, "regions")
+    many = regions.count()
+    if not many:
+        return None
+    inside = tables.keep(rows.join(F.broadcast(regions) if many <= SENT_REGIONS else regions, ["tree", "key"]), "crowded")
+    sets = sets_of(docs, inside.select("id"), tables, width)
+
+    def dealt(rows: DataFrame, store: bool, own: str, other: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("id"), F.col(own)).cast("int")
+        all_others = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        probe, kept = ("others", "block") if store else ("block", "others")
+        return rows.select("tree", "key", "id", "n", "sig", "comp", "main", F.lit(store).alias("store"), block.alias("block"), all_others.alias("others")).select(
+            "tree", "key", F.col(probe).alias("probe"), F.col(kept).alias("kept"), "store", "id", "n", "sig", "comp", "main")
+
+    met = dealt(inside.where("comp <> main"), False, "probes", "stores").unionByName(dealt(inside, True, "stores", "probes")).join(sets, "id")
+
+    def run(table: pa.Table) -> pa.Table:
+        a, b = _links(table, trees)
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    links = met.groupBy("tree", "key", "probe", "kept").applyInArrow(run, "a bigint, b bigint")
+    links = tables.keep(links, "crowded-links")
+    tables.drop(sets, inside)
+    return links
+
+
+def _links(table: pa.Table, trees: range) -> tuple[list[int], list[int]]:
+    """Confirmed links between the probing and the stored rows of one pair of blocks."""
+    table = table.combine_chunks()
+    store = table["store"].to_numpy(zero_copy_only=False).astype(bool)
+    tree, main = table["tree"][0].as_py(), table["main"][0].as_py()
+    id_, n, comp = (table[k].to_numpy() for k in ("id", "n", "comp"))
+    o, sig = text_buffer(table["sig"])
+    sig = np.ascontiguousarray(sig[o[0] : o[-1]]).view(np.uint16).reshape(-1, HASHES)
+    set_o, set_d = text_buffer(table["shingles"])
+    kept = np.flatnonzero(store)
+    found = []
+    for i in np.flatnonzero(~store).tolist():
+        j = kept[(comp[kept] != comp[i]) & ((comp[kept] == main) | (id_[kept] > id_[i]))]
+        j = j[100 * np.minimum(n[j], n[i]) >= 75 * np.maximum(n[j], n[i])]
+        same = sig[j] == sig[i]
+        equal = same.sum(1)
+        good = equal >= LEAST_EQUAL
+        first = same[good, : TREES * DEPTH].reshape(-1, TREES, DEPTH)[:, trees.start : trees.stop, :LEAST_PREFIX].all(2).argmax(1) + trees.start
+        j, equal = j[good][first == tree], equal[good][first == tree]
+        found.append((np.full(len(j), i), j, equal))
+    if not found:
+        return [], []
+    x, y, equal = (np.concatenate(f) for f in zip(*found))
+    shingles = lambda k: np.frombuffer(set_d[set_o[k] : set_o[k + 1]].tobytes(), np.uint64)
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while (up := parent.get(c, c)) != c:
+            parent[c] = c = parent.get(up, up)
+        return c
+
+    out: tuple[list[int], list[int]] = ([], [])
+    for k in np.argsort(-equal, kind="stable").tolist():
+        i, j = int(x[k]), int(y[k])
+        p, q = root(int(comp[i])), root(int(comp[j]))
+        if p == q:
+            continue
+        u, v = shingles(i), shingles(j)
+        common = len(np.intersect1d(u, v, assume_unique=True))
+        if 100 * common >= 75 * (len(u) + len(v) - common):
+            parent[p] = q
+            out[0].append(min(int(id_[i]), int(id_[j])))
+            out[1].append(max(int(id_[i]), int(id_[j])))
+    return out
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, tables: Tables | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every document."""
     spark = docs.sparkSession
@@ -295,7 +397,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, tables: Tables | None =
 
     def joined(labels: DataFrame, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
         """Labels (id, comp) after the links among the pairs."""
-        links = tables.keep(confirm(pairs, sets), f"{name}-links")
+        return linked(labels, tables.keep(confirm(pairs, sets), f"{name}-links"), name)
+
+    def linked(labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
+        """Labels (id, comp) after the links."""
         root = lambda key: labels.select(F.col("id").alias(key), F.col("comp").alias(f"{key}_comp"))
         edges = links.join(root("a"), "a").join(root("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))
         roots = components(edges, tables).select(F.col("id").alias("comp"), "root")
@@ -315,6 +420,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, tables: Tables | None =
     pairs = candidates(open_reps.join(labels, "id"), tables, rest, WINDOW, LIKELIEST)
     labels = joined(labels, pairs, sets, "likeliest")
     tables.drop(pairs)
+    links = crowded_links(reps.join(labels, "id"), docs, tables, rest, WINDOW, width)
+    if links is not None:
+        labels = linked(labels, links, "crowded")
     labels = joined(labels, candidates(open_reps.join(labels, "id"), tables, rest, WINDOW), sets, "all")
     tables.drop(sets)
 

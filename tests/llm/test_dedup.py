@@ -1,6 +1,7 @@
 """Near-duplicates, repeated strings and fingerprints against brute force."""
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -52,6 +53,37 @@ def test_large_group_of_near_copies(spark):
     assert {r.component_id for r in got.collect()} == {0}
 
 
+def copies(n, words, edits, seed=1):
+    """Texts of which many pairs lie just under and just over 0.75, and the brute-force roots."""
+    rng = random.Random(seed)
+    base = [f"w{k}" for k in range(words)]
+    rows = []
+    for i in range(n):
+        own = list(base)
+        for k in rng.sample(range(words), rng.choice(edits)):
+            own[k] = f"x{i}-{k}"
+        rows.append((i, " ".join(own)))
+    number = {}
+    sets = [shingles(t) for _, t in rows]
+    for s in sets:
+        for x in s:
+            number[x] = number.get(x, 0) + 1
+    number = {x: k for k, x in enumerate(x for x, c in number.items() if c > 1)}
+    m = np.zeros((n, len(number)), np.float32)
+    for i, s in enumerate(sets):
+        m[i, [number[x] for x in s if x in number]] = 1
+    common, size = m @ m.T, np.array([len(s) for s in sets])
+    a, b = np.nonzero(100 * common >= 75 * (size[:, None] + size[None] - common))
+    return rows, roots(range(n), [(i, j) for i, j in zip(a.tolist(), b.tolist()) if i < j])
+
+
+def test_crowded_copies_around_the_threshold(spark):
+    rows, want = copies(2200, 300, (4, 5, 6, 7))
+    assert len(set(want.values())) > 1
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     got = sorted(tuple(r)[:4] for r in neardup.near_duplicates(odd).collect() if r.doc_id is not None)
     assert got == [(1, 3, 1, True), (1, 3, 1, True), (2, 0, 2, True), (2, 1, 2, True), (3, 0, 3, True)]
