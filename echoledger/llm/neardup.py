@@ -157,26 +157,14 @@ class _Order:
                 if good.any():
                     yield x[good], x[good] + d, equal[good]
 
-    def deepest(self, a: np.ndarray, b: np.ndarray, trees: range) -> np.ndarray:
-        """Whether this order is the one of `trees` in which the two rows have their longest common prefix."""
-        out = np.empty(len(a), bool)
-        for k in range(0, len(a), 1 << 13):
-            x, y = a[k : k + (1 << 13)], b[k : k + (1 << 13)]
-            same = (self.sig[x, : TREES * DEPTH] == self.sig[y, : TREES * DEPTH]).reshape(-1, TREES, DEPTH)[:, trees.start : trees.stop]
-            out[k : k + (1 << 13)] = same.cumprod(2).sum(2).argmax(1) + trees.start == self.tree[x]
-        return out
-
-    def found(self, first_new: int, window: int, kind: str, trees: range) -> list[tuple[np.ndarray, np.ndarray | None]]:
-        """Ids of all candidates (each in one order), of each row's likeliest one, or of the rows that have some."""
+    def found(self, first_new: int, window: int, kind: str) -> list[tuple[np.ndarray, np.ndarray | None]]:
+        """Ids of all candidates, of each row's likeliest one, or of the rows that have some."""
         every = list(self.pairs(first_new, window))
         if not every:
             return []
         a, b, equal = (np.concatenate(x) for x in zip(*every))
         if kind == NAMES:
             return [(np.unique(self.id[np.concatenate((a, b))]), None)]
-        if kind == ALL:
-            own = self.deepest(a, b, trees)
-            a, b = a[own], b[own]
         if kind == LIKELIEST:
             order = np.lexsort((b, -equal, a))
             a, b = a[order], b[order]
@@ -194,7 +182,7 @@ def _region_of(table: pa.Table, at: int) -> pa.Table:
     return order.table.filter(pa.array((order.tree == order.tree[at]) & (order.key == order.key[at]).all(1)))
 
 
-def _neighbours(window: int, borders: bool, kind: str, trees: range):
+def _neighbours(window: int, borders: bool, kind: str):
     """Task code: candidates of sorted rows; with `borders`, the task's first and last rows too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +204,7 @@ def _neighbours(window: int, borders: bool, kind: str, trees: range):
             order = _Order([*(kept.to_batches() if kept is not None else []), b])
             if borders and (head is None or head.num_rows < window):
                 head = pa.concat_tables([*([head] if head is not None else []), pa.Table.from_batches([b])]).slice(0, window)
-            for x, y in order.found(old, window, kind, trees):
+            for x, y in order.found(old, window, kind):
                 second = pa.nulls(len(x), pa.int64()) if y is None else pa.array(y)
                 yield pa.RecordBatch.from_arrays([pa.array(x), second, *[pa.nulls(len(x), t) for t in kinds]], names)
             kept = order.table.slice(max(0, order.table.num_rows - window))
@@ -241,10 +229,10 @@ def candidates(reps: DataFrame, tables: Tables, trees: range, window: int, kind:
         F.lit(0).alias("border"), F.explode(F.sequence(F.lit(trees.start), F.lit(trees.stop - 1))).alias("tree"), "sig", "id", "n", "part", "comp"
     ).select("border", "tree", F.substring("sig", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * DEPTH)).alias("key"), "id", "n", "part", "comp")
     order = ["tree", "key", "id"]
-    first = tables.keep(rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(_neighbours(window, True, kind, trees), _PAIRS), "orders")
+    first = tables.keep(rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(_neighbours(window, True, kind), _PAIRS), "orders")
     again = first.where("id IS NOT NULL").select("border", "tree", "key", "id", "n", "part", "comp")
     # The rows around each border of two ranges, a bounded number for each border.
-    met = again.repartition("border").sortWithinPartitions("border", *order).mapInArrow(_neighbours(window, False, kind, trees), _PAIRS)
+    met = again.repartition("border").sortWithinPartitions("border", *order).mapInArrow(_neighbours(window, False, kind), _PAIRS)
     out = tables.keep(first.where("a IS NOT NULL").select("a", "b").unionByName(met.select("a", "b")).distinct(), "candidates")
     tables.drop(first)
     return out

@@ -84,6 +84,19 @@ def test_crowded_copies_around_the_threshold(spark):
     assert {r.doc_id: r.component_id for r in got.collect()} == want
 
 
+def test_pair_outside_the_window_of_its_deepest_order(spark):
+    """Rows 1 and 3 meet in a later order only: in the first, row 2 lies between them and the window is one row."""
+    first = neardup.FIRST_TREES
+    one = np.arange(neardup.HASHES, dtype=">u2")
+    other = one + np.uint16(1000)
+    tree = slice(first * neardup.DEPTH, (first + 1) * neardup.DEPTH)
+    other[tree] = one[tree]
+    rows = [(1, 100, one.tobytes(), 1), (2, 100, other.astype(">u2").tobytes(), 2), (3, 100, one.tobytes(), 3)]
+    reps = spark.createDataFrame([(i, n, bytearray(s), c) for i, n, s, c in rows], "id bigint, n bigint, sig binary, comp bigint")
+    got = neardup.candidates(reps, Tables(spark, "test"), range(first, neardup.TREES), 1)
+    assert [tuple(r) for r in got.collect()] == [(1, 3)]
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     got = sorted(tuple(r)[:4] for r in neardup.near_duplicates(odd).collect() if r.doc_id is not None)
     assert got == [(1, 3, 1, True), (1, 3, 1, True), (2, 0, 2, True), (2, 1, 2, True), (3, 0, 3, True)]
