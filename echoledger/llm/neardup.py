@@ -381,7 +381,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, tables: Tables | None =
     groups = tables.keep(named.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")), "groups")
     # Sets of fewer than three shingles are alike only if equal, and those have met.
     reps = named.where("n > 2").join(groups.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi")
-    reps = tables.keep(reps.select(F.col("doc_id").alias("id"), "n", "sig").dropDuplicates(["id", "n"]), "reps")
+    reps = tables.keep(reps.select(F.col("doc_id").alias("id"), "n", "d1", "d2", "sig").dropDuplicates(["id", "n", "d1", "d2"]).drop("d1", "d2"), "reps")
 
     def joined(labels: DataFrame, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
         """Labels (id, comp) after the links among the pairs."""
@@ -395,7 +395,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, tables: Tables | None =
         now = labels.join(roots, "comp", "left").select("id", F.coalesce("root", "comp").alias("comp"))
         return tables.keep(now, f"{name}-labels")
 
-    labels = tables.keep(reps.select("id", F.col("id").alias("comp")), "labels")
+    labels = tables.keep(reps.select("id", F.col("id").alias("comp")).distinct(), "labels")
     pairs = candidates(reps.withColumn("comp", F.col("id")), tables, range(FIRST_TREES), WINDOW, LIKELIEST)
     sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), tables, width)
     labels = joined(labels, pairs, sets, "first")

@@ -97,6 +97,13 @@ def test_pair_outside_the_window_of_its_deepest_order(spark):
     assert [tuple(r) for r in got.collect()] == [(1, 3)]
 
 
+def test_two_texts_of_one_id_keep_their_links(spark):
+    a, b = ([f"{c}{k}" for k in range(80)] for c in "ab")
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a, "end"])), (3, " ".join([*b, "end"]))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1)]
+
+
 def test_near_duplicates_of_odd_rows(odd, empty):
     got = sorted(tuple(r)[:4] for r in neardup.near_duplicates(odd).collect() if r.doc_id is not None)
     assert got == [(1, 3, 1, True), (1, 3, 1, True), (2, 0, 2, True), (2, 1, 2, True), (3, 0, 3, True)]
