@@ -7,9 +7,10 @@ in each block. A passage opens a block only if the block maxima of its words can
 retrieves all above the threshold. A retrieved item counts as leaked if enough of its question's and
 of its answer's word triples stand in the passage.
 
-The index is built in shards of bounded size, each sent to all tasks; with one shard, the usual
-case, documents are read once. Passages overlap by half and are twice the longest item, so that every
-item lies whole in one. Words are runs of letters and digits, in lower case.
+The index is built in shards of bounded size, with the counts of all items, so that scores and passages do
+not depend on the shards. Of several shards, one at a time is built,
+sent to all tasks and dropped again, and documents are read for each. Passages overlap by half and are twice the
+longest item, so that every item lies whole in one. Words are runs of letters and digits, in lower case.
 
 Defined cases: null and empty texts leak nothing, nor do null or empty items; an item of one line and
 one sentence is all question; rows of equal doc_id are judged each; equal items are all named.
@@ -26,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from echoledger.llm.shared import MARKS, documents_of, mix, steps, text_buffer, words
+from echoledger.llm.shared import MARKS, Tables, documents_of, mix, steps, text_buffer, words
 
 #: Bytes of item texts in one shard of the index.
 SHARD_BYTES = 16 << 20
@@ -61,6 +62,23 @@ def grams(h: np.ndarray) -> np.ndarray:
     return mix(out + np.uint64(n))
 
 
+@dataclass
+class Totals:
+    """Items, their mean and largest number of words, and in how many items each word (ascending) stands."""
+
+    items: int
+    mean: float
+    most: int
+    terms: np.ndarray
+    df: np.ndarray
+
+    @staticmethod
+    def of(items: list[np.ndarray]) -> "Totals":
+        sizes = np.array([len(h) for h in items])
+        terms, df = np.unique(np.concatenate([np.unique(h) for h in items]), return_counts=True)
+        return Totals(len(items), float(sizes.mean()), int(sizes.max()), terms, df)
+
+
 @dataclass
 class Index:
     """Posting lists by word: blocks with their largest weight, and the weight in each item."""
@@ -78,7 +96,8 @@ class Index:
     parts: list[tuple[np.ndarray, np.ndarray]]
 
     @staticmethod
-    def build(rows: list[tuple[int, str]]) -> "Index | None":
+    def build(rows: list[tuple[int, str]], totals: Totals | None = None) -> "Index | None":
+        """The index of these items; their weights come from the totals of all items, or of these alone."""
         docs = [(i, _hashes(t), t) for i, t in rows]
         docs = [d for d in docs if len(d[1])]
         if not docs:
@@ -92,9 +111,10 @@ class Index:
             count.append(c)
         term, item, tf = np.concatenate(term), np.concatenate(item), np.concatenate(count).astype(float)
         terms, which = np.unique(term, return_inverse=True)
-        df = np.bincount(which)
-        idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5))
-        weight = idf[which] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[item] / sizes.mean()))
+        totals = totals or Totals.of([h for _, h, _ in docs])
+        df = totals.df[np.searchsorted(totals.terms, terms)]
+        idf = np.log1p((totals.items - df + 0.5) / (df + 0.5))
+        weight = idf[which] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[item] / totals.mean))
         weight /= np.bincount(item, weight)[item]
         order = np.lexsort((item, which))
         which, item, weight = which[order], item[order], weight[order]
@@ -103,7 +123,7 @@ class Index:
         most = np.zeros(len(terms))
         np.maximum.at(most, which, weight)
         return Index(
-            np.array([i for i, _, _ in docs]), 2 * int(sizes.max()), terms, most,
+            np.array([i for i, _, _ in docs]), 2 * totals.most, terms, most,
             np.searchsorted(which[new], np.arange(len(terms) + 1)), item[new] // BLOCK, np.maximum.reduceat(weight, new),
             np.searchsorted(which, np.arange(len(terms) + 1)), item, weight,
             [tuple(np.unique(grams(_hashes(p))) for p in question_and_answer(t)) for _, _, t in docs])
@@ -176,22 +196,81 @@ def _short(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out + np.uint64(n))
 
 
-def shards(items: DataFrame) -> Iterator[Index]:
-    """Indexes of item texts of at most about SHARD_BYTES each."""
+def shards(items: DataFrame) -> tuple[int, Iterator[Index]]:
+    """Number of shards, and their indexes of at most about SHARD_BYTES of item texts each, built as they are asked for."""
     rows = documents_of(items, "item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = -(-size // SHARD_BYTES) or 1
+    return count, _one_shard(rows) if count == 1 else _several_shards(rows, count)
+
+
+def _one_shard(rows: DataFrame) -> Iterator[Index]:
+    index = Index.build(sorted((r["item_id"], r["text"]) for r in rows.collect()))  # at most a shard
+    if index is not None:
+        yield index
+
+
+def _several_shards(rows: DataFrame, count: int) -> Iterator[Index]:
+    tables = Tables(rows.sparkSession, "items")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes = [_hashes(t) for t in b.column(1).to_pylist()]
+            distinct = [np.unique(h).view(np.int64).tolist() for h in hashes]
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array([len(h) for h in hashes], pa.int64()), pa.array(distinct, pa.list_(pa.int64()))],
+                ["item_id", "text", "shard", "size", "words"])
+
+    shard = F.pmod(F.xxhash64("item_id", "text"), F.lit(count)).cast("int").alias("shard")
+    made = rows.select("item_id", "text", shard).mapInArrow(run, "item_id bigint, text string, shard int, size bigint, words array<bigint>")
+    made = tables.keep(made.where("size > 0"), "items")
+    counts = tables.keep(made.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df")), "counts")
+    n = made.agg(F.count(F.lit(1)).alias("items"), F.avg("size").alias("mean"), F.max("size").alias("most")).first()
     for k in range(count):
-        part = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(count)) == k) if count > 1 else rows
-        index = Index.build(sorted((r["item_id"], r["text"]) for r in part.collect()))  # at most a shard
+        part = made.where(F.col("shard") == k)
+        known = part.select(F.explode("words").alias("word")).distinct().join(counts, "word").toArrow()
+        terms, df = known["word"].to_numpy().view(np.uint64), known["df"].to_numpy()
+        order = np.argsort(terms)
+        texts = sorted((r["item_id"], r["text"]) for r in part.select("item_id", "text").collect())  # at most a shard
+        index = Index.build(texts, Totals(n["items"], n["mean"], n["most"], terms[order], df[order]))
         if index is not None:
             yield index
+    tables.delete(tables.root)
+
+
+def _found(docs: DataFrame, indexes: Iterator[Index], least: float, share: float) -> tuple[DataFrame, str, DataFrame]:
+    """The documents with a number for each row, that column's name, and (row, item, overlap) of all leaks; one index at a time."""
+    tables = Tables(docs.sparkSession, "decontaminate")
+    name = "row_" + "_".join(docs.columns)
+    rows = tables.keep(docs.select("*", F.monotonically_increasing_id().alias(name)), "documents")
+    every = docs.sparkSession.createDataFrame([], "row bigint, item bigint, overlap double")
+    for index in indexes:
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found = _batch_leaks([shared.value], b.column(1), least, share)
+                out = [(r, i, x) for r, f in zip(b.column(0).to_pylist(), found) for i, x in f.items()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["row", "item", "overlap"])
+
+        every = every.unionByName(tables.keep(documents_of(rows, name, "text").mapInArrow(run, every.schema), "leaks"))
+        shared.destroy()
+    return rows, name, every
 
 
 def leaks(docs: DataFrame, items: DataFrame, least: float = 0.6, share: float = 0.5) -> DataFrame:
     """doc_id, contaminated, n_items, items (ascending, comma-joined) and overlap of every document."""
-    built = list(shards(items))
-    shared = [docs.sparkSession.sparkContext.broadcast(i) for i in built]
+    count, indexes = shards(items)
+    if count > 1:
+        rows, name, every = _found(documents_of(docs, "doc_id", "text"), indexes, least, share)
+        each = every.groupBy("row", "item").agg(F.max("overlap").alias("overlap")).groupBy("row").agg(
+            F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("item")).cast("array<string>"), ",").alias("items"),
+            F.max("overlap").alias("overlap"))
+        return rows.select("doc_id", F.col(name).alias("row")).join(each, "row", "left").select(
+            "doc_id", F.col("n").isNotNull().alias("contaminated"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_items"),
+            F.coalesce("items", F.lit("")).alias("items"), F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
+    shared = [docs.sparkSession.sparkContext.broadcast(i) for i in indexes]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -219,8 +298,12 @@ def _batch_leaks(indexes: list[Index], texts: pa.Array, least: float, share: flo
 
 def clean_documents(docs: DataFrame, items: DataFrame, least: float = 0.6, share: float = 0.5) -> DataFrame:
     """The documents in which no item has leaked, with all their columns."""
-    built = list(shards(items))
-    shared = [docs.sparkSession.sparkContext.broadcast(i) for i in built]
+    count, indexes = shards(items)
+    if count > 1:
+        rows, name, every = _found(docs, indexes, least, share)
+        gone = every.select(F.col("row").alias(name)).distinct()
+        return rows.join(gone, name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    shared = [docs.sparkSession.sparkContext.broadcast(i) for i in indexes]
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -57,6 +57,25 @@ def test_leaks(spark, docs, texts):
     assert decontaminate.leaks(rows, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_shards_give_the_rows_of_one_index(spark, monkeypatch):
+    rng = random.Random(11)
+    word = lambda: f"w{min(int(rng.expovariate(0.02)), 400)}"
+    items = [(i, " ".join(word() for _ in range(rng.randint(8, 40))) + "\n" + " ".join(word() for _ in range(4))) for i in range(120)]
+    texts = []
+    for i, (_, t) in enumerate(items):
+        for part in range(4):
+            q = t.replace("\n", " ").split(" ")
+            texts.append((4 * i + part, " ".join(w if rng.random() < 0.94 - 0.09 * part else word() for w in q) + f" tail {i}"))
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    one = sorted(map(tuple, decontaminate.leaks(docs, bench, 0.3, 0.0).collect()))
+    left = sorted(r.doc_id for r in decontaminate.clean_documents(docs, bench, 0.5, 0.3).collect())
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 3000)
+    assert sorted(map(tuple, decontaminate.leaks(docs, bench, 0.3, 0.0).collect())) == one
+    assert sorted(r.doc_id for r in decontaminate.clean_documents(docs, bench, 0.5, 0.3).collect()) == left
+    assert any(r[1] for r in one)
+
+
 def test_retrieval_is_all_above_the_threshold():
     rng = random.Random(2)
     rows = [(k, " ".join(f"w{min(rng.randrange(60), rng.randrange(60))}" for _ in range(rng.randint(5, 30)))) for k in range(70)]
