@@ -174,22 +174,31 @@ class Scanner:
         out = []
         for which, found in matches.items():
             found.sort()
-            best: list[tuple[int, int]] = []  # (words covered, first word) of the best chain that ends with each match
-            reach = 0
-            for k, (a, b, ta, tb) in enumerate(found):
-                cover, first = b - a + 1, a
-                while found[reach][1] < a - self.most_gap - 1 and reach < k:
-                    reach += 1
-                for m in range(reach, k):
-                    if a - self.most_gap <= found[m][1] + 1 <= a and found[m][3] < ta and best[m][0] + b - a + 1 > cover:
-                        cover, first = best[m][0] + b - a + 1, best[m][1]
-                best.append((cover, first))
-            k = max(range(len(found)), key=lambda k: (best[k][0], -k))
-            share = best[k][0] / self.sizes[which]
-            if share >= self.least_share and best[k][0] >= self.least_words:
-                out.append((which - len(self.phrases), best[k][1], found[k][1], min(1.0, share)))
+            todo = [found]
+            while todo:  # the best chain, and then those before and after it
+                some = todo.pop()
+                cover, first, last = self._best_chain(some)
+                share = cover / self.sizes[which]
+                if share >= self.least_share and cover >= self.least_words:
+                    out.append((which - len(self.phrases), first, last, min(1.0, share)))
+                    todo += [x for x in ([m for m in some if m[0] > last], [m for m in some if m[1] < first]) if x]
         return out
 
+    def _best_chain(self, found: list[tuple[int, int, int, int]]) -> tuple[int, int, int]:
+        """(words covered, first word, last word) of the best chain of sorted matches."""
+        best: list[tuple[int, int]] = []  # (words covered, first word) of the best chain that ends with each match
+        reach = 0
+        for k, (a, b, ta, tb) in enumerate(found):
+            cover, first = b - a + 1, a
+            while found[reach][1] < a - self.most_gap - 1 and reach < k:
+                reach += 1
+            for m in range(reach, k):
+                if a - self.most_gap <= found[m][1] + 1 <= a and found[m][3] < ta and best[m][0] + b - a + 1 > cover:
+                    cover, first = best[m][0] + b - a + 1, best[m][1]
+            best.append((cover, first))
+        k = max(range(len(found)), key=lambda k: (best[k][0], -k))
+        return (*best[k], found[k][1])
+
 
 def spans(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
     """One row for each chained span: doc_id, label, template, first_word, last_word, share."""

@@ -45,6 +45,14 @@ def test_edited_notice_is_chained(spark):
     assert (row.doc_id, row.label, row.first_word, row.last_word) == (1, "mit", 2, len(words) + 1) and 0.8 < row.share < 1
 
 
+def test_every_notice_of_one_template_is_a_span(spark):
+    notice = licenses.TEMPLATES[2][0]
+    n, gap = len(re.findall("[A-Za-z0-9]+", notice)), "other words of the file " * 20
+    df = spark.createDataFrame([(1, f"{notice} {gap} {notice} {gap} {notice}")], "doc_id bigint, text string")
+    got = sorted((r.first_word, r.last_word) for r in licenses.spans(df).collect() if r.label == "mit")
+    assert got == [(k * (n + 100), k * (n + 100) + n - 1) for k in range(3)]
+
+
 def test_leaks(spark, docs, texts):
     items = [(7, "what is the colour of anrethe shou\nthe colour is reanou."), (8, "one lonely question of several words here"), (9, ""), (None, "x y z"), (10, None)]
     leaky = [(1000, "before WHAT is the colour of anrethe shou\nThe colour is reanou.### after"), (1001, "what is the colour of anrethe shou and no answer to it"),
