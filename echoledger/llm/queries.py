@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from echoledger.llm import archive, bpe, decontaminate, fingerprints, licenses, mixing, neardup, quality, suffixes, tokenfiles
+from echoledger.llm import archive, bpe, decontaminate, fingerprints, licenses, mixing, neardup, quality, suffixes, tokenfiles, turns
 
 #: Vocabulary file of the token queries; a parameter of the operators.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -55,6 +55,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.checksums(_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op12_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.damaged_reports(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_archive": op2_archive,
@@ -66,6 +70,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_repeated_spans": op9_repeated_spans,
     "op10_licenses": op10_licenses,
+    "op12_turns": op12_turns,
 }
 
 ORACLE = {
@@ -89,4 +94,58 @@ ORACLE = {
                CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to
         FROM p JOIN f ON p.d = f.d""",
+    "op12_turns": r"""
+        WITH RECURSIVE crc AS (
+            SELECT list(v ORDER BY k) AS t FROM (
+                SELECT k, list_reduce(list_prepend(k, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+                FROM range(256) r(k))),
+        c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                     coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+        h AS (SELECT c.*, xor(4294967295, list_reduce(
+                     list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(k, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                     lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) % 20 AS fate FROM c, crc),
+        d AS (SELECT conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role,
+                     CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                     unnest(CASE fate WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS x FROM h),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+        f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+                             WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                             WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated'
+                             ELSE '' END AS fault,
+                     lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] AS pair FROM o),
+        g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) AS n,
+                     count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                     count(*) FILTER (fault = 'truncated') AS truncated,
+                     count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+        ins(st, mid, cost, ed, made) AS (VALUES
+            ('E', 'E', 0, '', []), ('E', 'U', 2, 'I', ['user:']), ('E', 'A', 4, 'II', ['user:', 'assistant:']),
+            ('S', 'S', 0, '', []), ('S', 'U', 2, 'I', ['user:']), ('S', 'A', 4, 'II', ['user:', 'assistant:']),
+            ('U', 'U', 0, '', []), ('U', 'A', 2, 'I', ['assistant:']), ('U', 'U', 4, 'II', ['assistant:', 'user:']),
+            ('A', 'A', 0, '', []), ('A', 'U', 2, 'I', ['user:']), ('A', 'A', 4, 'II', ['user:', 'assistant:'])),
+        own(mid, op, initial, nxt, cost, role) AS (VALUES
+            ('E', 'D', '', 'E', 3, ''), ('S', 'D', '', 'S', 3, ''), ('U', 'D', '', 'U', 3, ''), ('A', 'D', '', 'A', 3, ''),
+            ('E', 'K', 's', 'S', 0, ''), ('E', 'K', 'u', 'U', 0, ''), ('S', 'K', 'u', 'U', 0, ''), ('A', 'K', 'u', 'U', 0, ''), ('U', 'K', 'a', 'A', 0, ''),
+            ('E', 'R', '', 'U', 2, 'user'), ('S', 'R', '', 'U', 2, 'user'), ('A', 'R', '', 'U', 2, 'user'), ('U', 'R', '', 'A', 2, 'assistant')),
+        walk AS (
+            SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, 'E' AS st, 0 AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS made FROM conversations
+            UNION ALL
+            SELECT w.conv_id, f.i, own.nxt,
+                   w.cost + ins.cost + own.cost + CASE WHEN own.op <> 'D' AND f.fault = 'truncated' THEN 1 ELSE 0 END AS cost,
+                   w.audit || ins.ed || own.op AS audit,
+                   list_concat(w.made, ins.made, CASE own.op WHEN 'D' THEN [] WHEN 'K' THEN [f.role || ':' || f.text] ELSE [own.role || ':' || f.text] END)
+            FROM walk w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1
+            JOIN ins ON ins.st = w.st
+            JOIN own ON own.mid = ins.mid AND (own.op <> 'K' OR own.initial = f.role[1]) AND (own.op = 'D' OR f.fault NOT IN ('blank', 'duplicate'))
+            QUALIFY row_number() OVER (PARTITION BY w.conv_id, own.nxt ORDER BY w.cost + ins.cost + own.cost + CASE WHEN own.op <> 'D' AND f.fault = 'truncated' THEN 1 ELSE 0 END,
+                                                                                w.audit || ins.ed || own.op) = 1),
+        done AS (SELECT w.conv_id, w.cost + e.cost AS cost, w.audit || e.ed AS audit, list_concat(w.made, e.made) AS made
+                 FROM walk w LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id
+                 JOIN (VALUES ('E', 0, '', []), ('A', 0, '', []), ('U', 2, 'I', ['assistant:']), ('S', 4, 'II', ['user:', 'assistant:'])) e(st, cost, ed, made)
+                   ON e.st = w.st
+                 WHERE w.i = coalesce(g.n, 0)
+                 QUALIFY row_number() OVER (PARTITION BY w.conv_id ORDER BY w.cost + e.cost, w.audit || e.ed) = 1)
+        SELECT done.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+               coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(cost AS BIGINT) AS cost, audit,
+               sha256(array_to_string(made, chr(10))) AS repaired_sha256
+        FROM done LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM done.conv_id""",
 }
