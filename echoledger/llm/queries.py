@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from echoledger.llm import archive, bpe, decontaminate, fingerprints, licenses, mixing, neardup, quality, suffixes, tokenfiles, turns
+from echoledger.llm import archive, bpe, decontaminate, fingerprints, licenses, mixing, neardup, pagediff, quality, suffixes, tokenfiles, turns
 
 #: Vocabulary file of the token queries; a parameter of the operators.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -55,6 +55,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.checksums(_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op11_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagediff.main_texts(_table(spark, sf_dir, "pages"))
+
+
 def op12_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.damaged_reports(_table(spark, sf_dir, "conversations"))
 
@@ -70,6 +74,7 @@ QUERIES = {
     "op8_token_files": op8_token_files,
     "op9_repeated_spans": op9_repeated_spans,
     "op10_licenses": op10_licenses,
+    "op11_page_text": op11_page_text,
     "op12_turns": op12_turns,
 }
 
@@ -94,6 +99,13 @@ ORACLE = {
                CASE WHEN n >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN n >= 100 AND page_id > first THEN first END AS refers_to
         FROM p JOIN f ON p.d = f.d""",
+    # Every page of the tables has one article of headings and paragraphs, cut references included.
+    "op11_page_text": r"""
+        WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article[^>]*>(.*)</article>', 1, 's') AS h FROM pages),
+        b AS (SELECT page_id, url, string_split_regex(regexp_replace(regexp_replace(h, '<br>', ' ', 'g'), '</?b>', '', 'g'), '</?[a-z][^>]*>') AS bs FROM a),
+        t AS (SELECT page_id, url, array_to_string(list_filter(list_transform(bs, lambda x: trim(regexp_replace(regexp_replace(regexp_replace(
+                  x, '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM b)
+        SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t""",
     "op12_turns": r"""
         WITH RECURSIVE crc AS (
             SELECT list(v ORDER BY k) AS t FROM (
