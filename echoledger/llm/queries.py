@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from echoledger.llm import archive, bpe, decontaminate, fingerprints, licenses, mixing, neardup, pagediff, quality, suffixes, tokenfiles, turns
+from echoledger.llm import archive, bpe, decontaminate, fingerprints, licenses, mixing, neardup, pagediff, phrases, quality, suffixes, tokenfiles, turns
 
 #: Vocabulary file of the token queries; a parameter of the operators.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -63,6 +63,10 @@ def op12_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.damaged_reports(_table(spark, sf_dir, "conversations"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_archive": op2_archive,
@@ -76,6 +80,7 @@ QUERIES = {
     "op10_licenses": op10_licenses,
     "op11_page_text": op11_page_text,
     "op12_turns": op12_turns,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE = {
@@ -160,4 +165,24 @@ ORACLE = {
                coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(cost AS BIGINT) AS cost, audit,
                sha256(array_to_string(made, chr(10))) AS repaired_sha256
         FROM done LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM done.conv_id""",
+    "op13_collocations": r"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+        n AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang),
+        g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f
+              FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) t(k))
+              GROUP BY lang, k, phrase HAVING count(*) >= 30),
+        c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM g WHERE k > 1),
+        cuts AS (SELECT lang, phrase, a, j, array_to_string(ws[1:j], ' ') AS lp, array_to_string(ws[j + 1:k], ' ') AS rp FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+        scored AS (SELECT cuts.lang, cuts.phrase, a, j, x.f AS l, y.f AS r, CAST(2000000 AS HUGEINT) * a // (x.f + y.f) AS score
+                   FROM cuts JOIN g x ON x.lang = cuts.lang AND x.phrase = lp JOIN g y ON y.lang = cuts.lang AND y.phrase = rp
+                   QUALIFY row_number() OVER (PARTITION BY cuts.lang, cuts.phrase ORDER BY score, j) = 1),
+        inside AS (SELECT lang, array_to_string(ws[i:i + m - 1], ' ') AS phrase, max(a) AS longest
+                   FROM (SELECT lang, ws, a, m, unnest(range(1, k - m + 2)) AS i FROM c, (VALUES (2), (3)) t(m) WHERE m < k) GROUP BY 1, 2),
+        kept AS (SELECT s.* FROM scored s LEFT JOIN inside i ON i.lang = s.lang AND i.phrase = s.phrase
+                 WHERE i.longest IS NULL OR 100 * CAST(i.longest AS HUGEINT) < 80 * CAST(s.a AS HUGEINT)),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+        SELECT r.lang, rank, phrase, a, l, r.r, CAST(n.n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+        FROM ranked r JOIN n ON n.lang = r.lang WHERE rank <= 2000""",
 }
