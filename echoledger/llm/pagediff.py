@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from echoledger.llm.shared import Tables, documents_of, parts
+from echoledger.llm.shared import Tables, documents_of, parts, steps, text_buffer
 
 # Elements and names as HTML and common page templates use them.
 BLOCKS = frozenset("""
@@ -265,16 +265,16 @@ def lines_of(pages: DataFrame) -> DataFrame:
     """Lines of every page, where they stand, their hashes, and host, path and signature of the page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int8()), pa.list_(pa.int64()))
+        names = [f.split()[0] for f in LINES.split(", ")]
         for b in batches:
-            out = []
-            for page_id, url, html in zip(*(c.to_pylist() for c in b.columns)):
-                lines, places = page_lines(html or "")
-                digests = [hashlib.blake2b(t.encode(), digest_size=8).digest() for t in lines]
-                out.append((page_id, url, *place_of(url), hashlib.blake2b(b"".join(digests), digest_size=16).digest(), lines, places,
-                            np.frombuffer(b"".join(digests), "<i8").tolist()))
-            if out:
-                kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int8()), pa.list_(pa.int64()))
-                names = [f.split()[0] for f in LINES.split(", ")]
+            for i, j in steps(text_buffer(b.column(2))[0]):  # some hundred pages at a time, or one long one
+                out = []
+                for page_id, url, html in zip(*(c.slice(i, j - i).to_pylist() for c in b.columns)):
+                    lines, places = page_lines(html or "")
+                    digests = [hashlib.blake2b(t.encode(), digest_size=8).digest() for t in lines]
+                    out.append((page_id, url, *place_of(url), hashlib.blake2b(b"".join(digests), digest_size=16).digest(), lines, places,
+                                np.frombuffer(b"".join(digests), "<i8").tolist()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
     return documents_of(pages, "page_id", "url", "html").mapInArrow(run, LINES)
