@@ -14,6 +14,7 @@ default; repeated rows are encoded each; the lexicon size never changes a result
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import mmap
 import re
@@ -29,8 +30,10 @@ from echoledger.llm.shared import Tables, commonest, documents_of, mix, powers
 
 #: Words in the automaton, and the bytes that one of them may have: together they bound its size.
 LEXICON_WORDS, LEXICON_BYTES = 200_000, 40
-#: Merged words that a worker remembers before it starts afresh.
-REMEMBERED = 150_000
+#: Merged words in each of the two generations that a worker remembers.
+REMEMBERED = 1 << 18
+#: Symbols up to which a word's best merge is found by looking at all of them.
+SHORT_WORD = 48
 #: Characters of text that one vectorised step works on.
 STEP_CHARS = 1 << 20
 
@@ -38,6 +41,7 @@ _WHITE = (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x202
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 _CONTRACTIONS = {"s": 1, "t": 1, "m": 1, "d": 1, "re": 2, "ve": 2, "ll": 2}
 _BASE = 0x9E3779B97F4A7C15
+_NARROW_CODES = mix(np.arange(1, 257, dtype=np.uint64))
 _classes: list[np.ndarray] = []
 
 
@@ -69,10 +73,21 @@ def normal(text: str) -> str:
     return text.lower()
 
 
-def cut_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pre-tokens of normalised texts: (code points, starts, ends, first word of each text and the end)."""
+def narrow(text: str) -> bool:
+    """Whether all code points fit a byte."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+def cut_words(texts: list[str], bytes_do: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pre-tokens of normalised texts: (code points, as bytes if those do, starts, ends, first word of each text and the end)."""
     joined = "\n".join(texts)
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    points = np.frombuffer(joined.encode("latin-1"), np.uint8) if bytes_do else np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
     if not len(points):
         none = np.empty(0, np.int64)
@@ -111,7 +126,8 @@ def distinct_words(points: np.ndarray, starts: np.ndarray, ends: np.ndarray):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
     n = len(points)
     prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum((mix(points.astype(np.uint64) + np.uint64(1))) * powers(_BASE, n), out=prefix[1:])
+    codes = _NARROW_CODES[points] if points.dtype == np.uint8 else mix(points.astype(np.uint64) + np.uint64(1))
+    np.cumsum(codes * powers(_BASE, n), out=prefix[1:])
     hashes = mix((prefix[ends] - prefix[starts]) * powers(pow(_BASE, -1, 1 << 64), n)[starts])
     found, at, which = np.unique(hashes, return_index=True, return_inverse=True)
     return at, which, found
@@ -123,7 +139,8 @@ def joined_words(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> by
     total = np.concatenate(([0], np.cumsum(size)))
     picked = points[np.minimum(np.repeat(starts - total[:-1], size) + np.arange(total[-1]), len(points) - 1)]
     picked[total[1:] - 1] = 10
-    return picked[:-1].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+    raw = picked[:-1].tobytes()
+    return raw.decode("latin-1").encode() if points.dtype == np.uint8 else raw.decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
 
 
 class Vocabulary:
@@ -147,11 +164,13 @@ class Vocabulary:
         chars = [self.letters[b] for b in word.encode("utf-8", "surrogatepass")]
         chars[-1] += self.end
         ids = [self.ids[c] for c in chars if c in self.ids]
+        if len(ids) > SHORT_WORD:
+            return self._merge_long(ids)
         none = (1 << 60, -1)
         ranks = [self.merges.get(p, none) for p in zip(ids, ids[1:])]
         while ranks:
             best = min(ranks)
-            if best is none or best[0] == none[0]:
+            if best[0] == none[0]:
                 break
             k = ranks.index(best)
             ids[k : k + 2] = [best[1]]
@@ -162,6 +181,33 @@ class Vocabulary:
                 ranks[k - 1] = self.merges.get((ids[k - 1], ids[k]), none)
         return ids
 
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same merges from a heap over linked neighbours; stale entries are passed over."""
+        n, merges = len(ids), self.merges
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(*merges[p], k, *p) for k, p in enumerate(zip(ids, ids[1:])) if p in merges]
+        heap = [(rank, k, left, right, new) for rank, new, k, left, right in heap]
+        heapq.heapify(heap)
+        while heap:
+            _, k, left, right, new = heapq.heappop(heap)
+            j = after[k]
+            if ids[k] != left or j >= n or ids[j] != right:
+                continue
+            ids[k], ids[j] = new, -1
+            after[k] = after[j]
+            if after[k] < n:
+                before[after[k]] = k
+            for x in (before[k], k):
+                if x >= 0 and after[x] < n and (pair := (ids[x], ids[after[x]])) in merges:
+                    rank, made = merges[pair]
+                    heapq.heappush(heap, (rank, x, *pair, made))
+        return [i for i in ids if i >= 0]
+
+    def merge_all(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, one after the other, number of ids of each)."""
+        rows = [self.merge(w) for w in words]
+        return np.array([i for r in rows for i in r], np.int32), np.array([len(r) for r in rows], np.int64)
+
     def decode(self, ids: list[int]) -> str:
         """The tokens joined by spaces: the file names no decoder."""
         return " ".join(map(self.tokens.__getitem__, ids))
@@ -266,12 +312,57 @@ class Lexicon:
         return number
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all ranges, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+class Memo:
+    """Words met before and their ids: arrays sorted by hash, in which a batch of words is found at once.
+
+    A word is found only if its bytes are equal; the hash finds the place to compare.
+    """
+
+    def __init__(self) -> None:
+        self.hashes = np.empty(0, np.uint64)
+        self.places = np.empty((4, 0), np.int64)  # first id, ids, first byte, bytes
+        self.ids, self.text = np.empty(0, np.int32), np.empty(0, np.uint8)
+
+    def find(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Place of each word; -1 for words not met."""
+        out = np.full(len(hashes), -1, np.int64)
+        if not len(self.hashes):
+            return out
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        some = np.flatnonzero((self.hashes[at] == hashes) & (self.places[3, at] == lengths))
+        own = at[some]
+        same = self.text[_ranges(self.places[2, own], lengths[some])] == data[_ranges(starts[some], lengths[some])]
+        if len(some):
+            firsts = np.cumsum(lengths[some]) - lengths[some]
+            out[some] = np.where(np.logical_and.reduceat(same, firsts), own, -1)
+        return out
+
+    def add(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Words with distinct ascending hashes; one whose hash is taken is not remembered."""
+        at = np.searchsorted(self.hashes, hashes)
+        taken = np.zeros(len(hashes), bool)
+        inside = at < len(self.hashes)
+        taken[inside] = self.hashes[at[inside]] == hashes[inside]
+        firsts, begins = np.cumsum(sizes) - sizes + len(self.ids), np.cumsum(lengths) - lengths + len(self.text)
+        self.ids = np.concatenate((self.ids, ids))
+        self.text = np.concatenate((self.text, data[_ranges(starts, lengths)]))
+        new = np.stack((firsts, sizes, begins, lengths))[:, ~taken]
+        self.places = np.insert(self.places, at[~taken], new, axis=1)
+        self.hashes = np.insert(self.hashes, at[~taken], hashes[~taken])
+
+
 class Encoder:
-    """Encodes lists of texts; `merge` gives the ids of a word that the lexicon lacks."""
+    """Encodes lists of texts; `merge_all` gives the ids of words that the lexicon lacks."""
 
-    def __init__(self, special: dict[str, int], split, merge: Callable[[str], list[int]], lexicon: Lexicon | None = None):
-        self.special, self.split, self.merge, self.lexicon = special, split, merge, lexicon
-        self.seen: dict[int, np.ndarray] = {}
+    def __init__(self, special: dict[str, int], split, merge_all: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], lexicon: Lexicon | None = None):
+        self.special, self.split, self.merge_all, self.lexicon = special, split, merge_all, lexicon
+        self.young, self.old = Memo(), Memo()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(offsets int64[n + 1], ids int32) of all texts."""
@@ -293,38 +384,62 @@ class Encoder:
         return np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int64), np.concatenate(rows).astype(np.int32)
 
     def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        points, starts, ends, rows = cut_words([normal(t) for t in texts])
+        """Texts whose code points fit bytes go by bytes, the others by code points."""
+        texts = [normal(t) for t in texts]
+        fits = np.fromiter(map(narrow, texts), bool, len(texts))
+        if fits.all() or not fits.any():
+            return self._step(texts, bool(fits.all()))
+        sizes, starts, found, base = np.empty(len(texts), np.int64), np.empty(len(texts), np.int64), [], 0
+        for kind in (True, False):
+            rows = np.flatnonzero(fits == kind)
+            offsets, ids = self._step([texts[k] for k in rows.tolist()], kind)
+            sizes[rows], starts[rows] = np.diff(offsets), offsets[:-1] + base
+            found.append(ids)
+            base += len(ids)
+        return np.concatenate(([0], np.cumsum(sizes))), np.concatenate(found)[_ranges(starts, sizes)]
+
+    def _step(self, texts: list[str], bytes_do: bool) -> tuple[np.ndarray, np.ndarray]:
+        points, starts, ends, rows = cut_words(texts, bytes_do)
         at, which, hashes = distinct_words(points, starts, ends)
         if not len(at):
             return np.zeros(len(texts) + 1, np.int64), np.empty(0, np.int32)
         raw = joined_words(points, starts[at], ends[at])
         data = np.frombuffer(raw, np.uint8)
         breaks = np.flatnonzero(data == 10)  # words hold no white space
-        w_start, w_end = np.concatenate(([0], breaks + 1)), np.append(breaks, len(data))
-        number = self.lexicon.find(data, w_start, w_end - w_start) if self.lexicon else np.full(len(at), -1)
-        first, size, pool = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), []
-        base = 0
+        w_start = np.concatenate(([0], breaks + 1))
+        w_size = np.append(breaks, len(data)) - w_start
+        first, size, pool, base = np.empty(len(at), np.int64), np.empty(len(at), np.int64), [], 0
+
+        def take(words: np.ndarray, ids: np.ndarray, firsts: np.ndarray, sizes: np.ndarray) -> None:
+            nonlocal base
+            pool.append(ids[_ranges(firsts, sizes)])
+            first[words], size[words] = base + np.cumsum(sizes) - sizes, sizes
+            base += len(pool[-1])
+
+        rest = np.arange(len(at))
         if self.lexicon:
-            known = number >= 0
-            first[known] = self.lexicon.first[number[known]]
-            size[known] = self.lexicon.first[number[known] + 1] - first[known]
-            base = len(self.lexicon.ids)
-            pool.append(self.lexicon.ids)
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-        for k in np.flatnonzero(number < 0).tolist():
-            h = int(hashes[k])
-            row = self.seen.get(h)
-            if row is None:
-                row = self.seen[h] = np.array(self.merge(raw[w_start[k] : w_end[k]].decode("utf-8", "surrogatepass")), np.int32)
-            pool.append(row)
-            first[k], size[k] = base, len(row)
-            base += len(row)
-        flat = np.concatenate(pool)
+            number = self.lexicon.find(data, w_start, w_size)
+            known = np.flatnonzero(number >= 0)
+            begin = self.lexicon.first[number[known]]
+            take(known, self.lexicon.ids, begin, self.lexicon.first[number[known] + 1] - begin)
+            rest = np.flatnonzero(number < 0)
+        for memo in (self.young, self.old):
+            place = memo.find(hashes[rest], data, w_start[rest], w_size[rest])
+            met, own = rest[place >= 0], memo.places[:, place[place >= 0]]
+            take(met, memo.ids, own[0], own[1])
+            if memo is self.old and len(met):
+                self.young.add(hashes[met], data, w_start[met], w_size[met], pool[-1], own[1])
+            rest = rest[place < 0]
+        if len(rest):
+            s, e = w_start[rest].tolist(), (w_start[rest] + w_size[rest]).tolist()
+            ids, sizes = self.merge_all([raw[x:y].decode("utf-8", "surrogatepass") for x, y in zip(s, e)])
+            take(rest, ids, np.cumsum(sizes) - sizes, sizes)
+            self.young.add(hashes[rest], data, w_start[rest], w_size[rest], ids, sizes)
+        if len(self.young.hashes) > REMEMBERED:
+            self.young, self.old = Memo(), self.young
         length = size[which]
         total = np.concatenate(([0], np.cumsum(length)))
-        ids = flat[np.repeat(first[which] - total[:-1], length) + np.arange(total[-1])]
-        return total[rows], ids
+        return total[rows], np.concatenate(pool)[_ranges(first[which], length)]
 
 
 def text_steps(texts: list[str], limit: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
@@ -351,12 +466,14 @@ def frequent_words(docs: DataFrame, split_at: list[str], most: int = LEXICON_WOR
                 rows = texts[i:j]
                 if pattern:
                     rows = [pattern.sub(" ", t) if "<|" in t else t for t in rows]
-                points, starts, ends, _ = cut_words([normal(t) for t in rows])
-                at, which, _ = distinct_words(points, starts, ends)
-                if len(at):
-                    found = joined_words(points, starts[at], ends[at]).split(b"\n")
-                    for w, n in zip(found, np.bincount(which, minlength=len(at)).tolist()):
-                        counts[w] = counts.get(w, 0) + n
+                rows = [normal(t) for t in rows]
+                for bytes_do in (True, False):
+                    points, starts, ends, _ = cut_words([t for t in rows if narrow(t) == bytes_do], bytes_do)
+                    at, which, _ = distinct_words(points, starts, ends)
+                    if len(at):
+                        found = joined_words(points, starts[at], ends[at]).split(b"\n")
+                        for w, n in zip(found, np.bincount(which, minlength=len(at)).tolist()):
+                            counts[w] = counts.get(w, 0) + n
             short = {w: n for w, n in counts.items() if len(w) <= LEXICON_BYTES}
             yield pa.RecordBatch.from_arrays([pa.array(list(short), pa.binary()).cast(pa.string()), pa.array(list(short.values()), pa.int64())], ["word", "c"])
 
@@ -385,7 +502,7 @@ def worker_encoder(path: str, lexicon) -> tuple[Encoder, Vocabulary]:
             f.write(lexicon.value)
             f.flush()
             mapped = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        _opened[key] = (Encoder(vocabulary.special, vocabulary.split, vocabulary.merge, Lexicon(mapped)), vocabulary)
+        _opened[key] = (Encoder(vocabulary.special, vocabulary.split, vocabulary.merge_all, Lexicon(mapped)), vocabulary)
     return _opened[key]
 
 

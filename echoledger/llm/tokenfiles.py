@@ -6,7 +6,9 @@ indexes let a reader fetch single documents or only keys and lengths. A task wri
 its own and the manifest lists the files of tasks that succeeded, so that repeated tasks are harmless.
 
 Defined cases: null and empty texts hold the end id alone; a null doc_id comes first; rows of equal
-doc_id follow one another and are all kept; texts of any length are encoded whole.
+doc_id follow one another in the order of a hash of their texts and are all kept, so that results do not depend on the
+layout of the input; texts of any length are encoded whole; an empty table gives no files and an empty
+result; further columns, whatever their names, are left aside.
 """
 
 from __future__ import annotations
@@ -44,12 +46,13 @@ def library_encoder(path: str) -> Encoder:
 
         from tokenizers import Tokenizer
 
-        model, letters = Tokenizer.from_file(path).model, byte_letters()
+        model, letters = Tokenizer.from_file(path).model, dict(enumerate(byte_letters()))
         with open(path, encoding="utf-8") as f:
             special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
 
-        def word_ids(word: str) -> list[int]:
-            return [t.id for t in model.tokenize("".join([letters[b] for b in word.encode("utf-8", "surrogatepass")]))]
+        def word_ids(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            rows = [[t.id for t in model.tokenize(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(letters))] for word in words]
+            return np.array([i for r in rows for i in r], np.int32), np.array([len(r) for r in rows], np.int64)
 
         _opened[path] = Encoder(special, re.compile("|".join(map(re.escape, special))) if special else None, word_ids)
     return _opened[path]
@@ -126,7 +129,9 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int = 2, group_ids: i
                 [pa.array([v], t) for v, t in ((part, pa.int32()), (uri, pa.string()), (file.docs, pa.int64()), (file.tokens, pa.int64()))],
                 ["part", "file", "docs", "tokens"])
 
-    ranged = documents_of(docs, "doc_id", "text").repartitionByRange(files or parts(spark), "doc_id").sortWithinPartitions("doc_id")
+    # Rows of one doc_id are told apart by a hash of their texts, so that a doc_id of very many rows is split too.
+    order = [F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit("")))]
+    ranged = documents_of(docs, "doc_id", "text").repartitionByRange(files or parts(spark), *order).sortWithinPartitions(*order, "text")
     return tables.keep(ranged.mapInArrow(run, MANIFEST), "manifest")
 
 

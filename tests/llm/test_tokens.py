@@ -53,6 +53,43 @@ def test_encoding_of_odd_rows(odd, empty):
     assert sorted(len(r.ids) for r in rows) == [0, 0, 0, 5, 7, 7, 7] and bpe.encode(empty, PATH).count() == 0
 
 
+def test_long_words_merge_as_in_the_library(library):
+    vocabulary = bpe.Vocabulary(PATH)
+    rng = np.random.default_rng(3)
+    for word in ("".join(rng.choice(list("abcdeinrst"), 3000)), "ab" * 400, "a" * 777, "é" * 100 + "ß" * 50, "".join(rng.choice(list("anthe"), 1 << 20))):
+        assert vocabulary.merge(word) == library.encode(word, add_special_tokens=False).ids
+    for _ in range(300):
+        word = "".join(rng.choice(list("anthei"), rng.integers(1, 90)))
+        ids = [vocabulary.ids[c] for c in word[:-1]] + [vocabulary.ids[word[-1] + vocabulary.end]]
+        assert vocabulary._merge_long(ids) == vocabulary.merge(word) == library.encode(word, add_special_tokens=False).ids
+
+
+def test_words_are_remembered_by_their_bytes(texts, library, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 40)
+    vocabulary = bpe.Vocabulary(PATH)
+    encoder = bpe.Encoder(vocabulary.special, vocabulary.split, vocabulary.merge_all)
+    rows = [t or "" for _, t in texts if len(t or "") < 5000]
+    for _ in range(2):
+        for i in range(0, len(rows), 7):
+            offsets, ids = encoder.encode(rows[i : i + 7])
+            got = [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])]
+            assert got == [library.encode(t, add_special_tokens=False).ids for t in rows[i : i + 7]]
+    memo, hashes = bpe.Memo(), np.array([5], np.uint64)
+    data, zero, two = np.frombuffer(b"abcd", np.uint8), np.array([0]), np.array([2])
+    memo.add(hashes, data, zero, two, np.array([7], np.int32), np.array([1]))
+    assert memo.find(hashes, data, zero, two).tolist() == [0] and memo.find(hashes, data, two, two).tolist() == [-1]
+    memo.add(hashes, data, two, two, np.array([8], np.int32), np.array([1]))
+    assert memo.find(hashes, data, zero, two).tolist() == [0] and len(memo.hashes) == 1
+
+
+def test_token_files_of_one_id_do_not_depend_on_the_layout(spark):
+    rows = [(1, "one two three"[: k % 13] + " more" * (k % 7)) for k in range(300)] + [(1, None), (2, "x")]
+    one = spark.createDataFrame(rows, "doc_id bigint, text string")
+    other = spark.createDataFrame(rows[::-1], "doc_id bigint, text string").repartition(7)
+    first, second = (sorted(tuple(r) for r in tokenfiles.checksums(df, PATH).collect()) for df in (one, other))
+    assert first == second
+
+
 def test_token_files(spark, docs, texts, library):
     folder = Tables(spark, "test-token-files").root
     manifest = tokenfiles.write(docs, PATH, folder, group_ids=2000, files=3)
