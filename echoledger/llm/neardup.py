@@ -19,11 +19,13 @@ drops such a link with probability 1.3e-5, and more similar ones far more rarely
 
 Defined cases: texts without words have an empty set, no links, and are kept; fewer words than five
 are one shingle; rows of one doc_id are one vertex; a null doc_id has no links, a null component,
-and is kept; texts of any length count whole.
+and is kept; texts of any length count whole; an empty table gives an empty one; further columns, whatever their
+names, are left aside, and one_of_each keeps them.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +45,7 @@ HASHES = 2 * TREES * DEPTH
 #: Neighbours to each side in one tree of the second round; rows of one component do not compare.
 WINDOW = 64
 #: Rows and shingles of one block of a region that is larger than the window.
-BLOCK_ROWS, BLOCK_SHINGLES = 256, 1 << 20
+BLOCK_ROWS, BLOCK_SHINGLES = 2048, 1 << 20
 #: Larger regions up to which they are sent to all tasks.
 SENT_REGIONS = 50_000
 #: Equal minimum hashes that a candidate needs.
@@ -215,10 +217,10 @@ def _neighbours(window: int, borders: bool, kind: str):
     return run
 
 
-def candidates(reps: DataFrame, tables: Tables, trees: range, window: int, kind: str = ALL) -> DataFrame:
+def candidates(reps: DataFrame, tables: Tables, trees: range, window: int, kind: str = ALL, done: DataFrame | None = None) -> DataFrame:
     """(a, b): neighbouring pairs of the trees that the signatures allow, each once; of NAMES, b is null.
 
-    reps have id, n, sig and comp.
+    reps have id, n, sig and comp. Regions (tree, key) of `done` are left out.
     """
     spark = reps.sparkSession
     rows = reps.count() * len(trees)
@@ -294,10 +296,11 @@ def full_regions(reps: DataFrame, trees: range, window: int) -> tuple[DataFrame,
     return rows, regions
 
 
-def crowded_links(reps: DataFrame, docs: DataFrame, tables: Tables, trees: range, window: int, width: int) -> DataFrame | None:
+def crowded_links(reps: DataFrame, docs: DataFrame, tables: Tables, trees: range, window: int, width: int) -> tuple[DataFrame, DataFrame] | None:
     """(a, b): confirmed links that join the components within regions that the window cannot hold; None without such regions.
 
     A pair is looked at in the first order that has it in one region, and left out if links of the same task join it.
+    So the regions, the second table, need no further look: a pair of one of them is decided there or in an earlier order.
     """
     rows, regions = full_regions(reps, trees, window)
     regions = tables.keep(regions, "regions")
@@ -323,7 +326,7 @@ def crowded_links(reps: DataFrame, docs: DataFrame, tables: Tables, trees: range
     links = met.groupBy("tree", "key", "probe", "kept").applyInArrow(run, "a bigint, b bigint")
     links = tables.keep(links, "crowded-links")
     tables.drop(sets, inside)
-    return links
+    return links, F.broadcast(regions.select("tree", "key")) if many <= SENT_REGIONS else regions.select("tree", "key")
 
 
 def _links(table: pa.Table, trees: range) -> tuple[list[int], list[int]]:
@@ -408,10 +411,12 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, tables: Tables | None =
     pairs = candidates(open_reps.join(labels, "id"), tables, rest, WINDOW, LIKELIEST)
     labels = joined(labels, pairs, sets, "likeliest")
     tables.drop(pairs)
-    links = crowded_links(reps.join(labels, "id"), docs, tables, rest, WINDOW, width)
-    if links is not None:
+    crowded = crowded_links(reps.join(labels, "id"), docs, tables, rest, WINDOW, width)
+    done = None
+    if crowded is not None:
+        links, done = crowded
         labels = linked(labels, links, "crowded")
-    labels = joined(labels, candidates(open_reps.join(labels, "id"), tables, rest, WINDOW), sets, "all")
+    labels = joined(labels, candidates(open_reps.join(labels, "id"), tables, rest, WINDOW, done=done), sets, "all")
     tables.drop(sets)
 
     of_group = groups.join(labels, groups.rep == labels.id, "left").select("d1", "d2", "n", F.coalesce("comp", "rep").alias("root"))
@@ -422,15 +427,27 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, tables: Tables | None =
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The documents that stay: one of each group of near-duplicates, with all their columns."""
+    """The documents that stay: one of each group of near-duplicates, with all their columns.
+
+    Different texts of one doc_id are documents of their own here; equal rows of one doc_id and text are one.
+    """
     tables, work = (Tables(docs.sparkSession, label) for label in ("one-of-each", "near-duplicates"))
-    verdict = tables.keep(near_duplicates(docs, width, work).select("doc_id", "kept"), "verdict")
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
+    number = f"_number_{uuid.uuid4().hex}"
+    if repeated:
+        # Numbers in the order of (doc_id, text), so that the smallest number of a group has its smallest doc_id.
+        digest = f"_digest_{number}"
+        told = docs.withColumn(digest, F.sha2(F.coalesce("text", F.lit("")), 256))
+        own = told.where("doc_id IS NOT NULL").select("doc_id", digest).distinct().repartitionByRange(parts(docs.sparkSession), "doc_id", digest)
+        own = tables.keep(own.sortWithinPartitions("doc_id", digest).withColumn(number, F.monotonically_increasing_id()), "numbers")
+        docs = told.join(own, ["doc_id", digest], "left").select(*[F.col(f"`{c}`") for c in docs.columns], number)
+    else:
+        docs = docs.withColumn(number, F.col("doc_id"))
+    verdict = near_duplicates(docs.select(F.col(number).alias("doc_id"), "text"), width, work).select("doc_id", "kept")
+    gone = tables.keep(verdict.where("NOT kept").select(F.col("doc_id").alias(f"{number}_gone")).distinct(), "gone")
     work.delete(work.root)
-    gone = verdict.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     few = F.broadcast(gone) if gone.count() <= SENT_IDS else gone
-    left = docs.join(few, docs["doc_id"] == F.col("_gone"), "left_anti")
-    again = verdict.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if again:  # rows of one doc_id are one document
-        some, none = left.where("doc_id IS NOT NULL"), left.where("doc_id IS NULL")
-        left = some.dropDuplicates(["doc_id"]).unionByName(none)
-    return left
+    left = docs.join(few, F.col(number) == F.col(f"{number}_gone"), "left_anti")
+    if repeated:
+        left = left.where(F.col(number).isNotNull()).dropDuplicates([number]).unionByName(left.where(F.col(number).isNull()))
+    return left.drop(number)

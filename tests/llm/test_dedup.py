@@ -109,10 +109,20 @@ def test_near_duplicates_of_odd_rows(odd, empty):
     assert got == [(1, 3, 1, True), (1, 3, 1, True), (2, 0, 2, True), (2, 1, 2, True), (3, 0, 3, True)]
     assert [r.component_id for r in neardup.near_duplicates(odd).collect() if r.doc_id is None] == [None, None]
     left = neardup.one_of_each(odd)
-    assert left.columns == odd.columns and sorted(r.doc_id for r in left.collect() if r.doc_id is not None) == [1, 2, 3]
+    # Document 2 has two texts, and both stay.
+    assert left.columns == odd.columns and sorted(r.doc_id for r in left.collect() if r.doc_id is not None) == [1, 2, 2, 3]
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_one_of_each_keeps_different_texts_of_one_id(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(80)) for x in "abc")
+    rows = [(2, ""), (2, "other text of one id"), (2, a), (2, a), (1, a + " end"), (5, b), (5, c), (4, c + " end"), (None, a)]
+    left = neardup.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 AS _gone", "2 AS kept"))
+    assert sorted(tuple(r)[:2] for r in left.collect() if r.doc_id) == sorted(
+        [(1, a + " end"), (2, ""), (2, "other text of one id"), (4, c + " end"), (5, b)])
+    assert left.columns == ["doc_id", "text", "_gone", "kept"] and left.where("doc_id IS NULL").count() == 1
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 90)], "a bigint, b bigint")
     got = {r.id: r.root for r in components.components(edges, Tables(spark, "test")).collect()}
