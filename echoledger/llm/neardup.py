@@ -159,12 +159,21 @@ class _Order:
                 if good.any():
                     yield x[good], x[good] + d, equal[good]
 
-    def found(self, first_new: int, window: int, kind: str) -> list[tuple[np.ndarray, np.ndarray | None]]:
+    def first_here(self, a: np.ndarray, b: np.ndarray, trees: range) -> np.ndarray:
+        """Whether the order is the first of `trees` that has the pair in one region (whole signatures)."""
+        same = (self.sig[a] == self.sig[b])[:, : TREES * DEPTH].reshape(-1, TREES, DEPTH)
+        return same[:, trees.start : trees.stop, :LEAST_PREFIX].all(2).argmax(1) + trees.start == self.tree[a]
+
+    def found(self, first_new: int, window: int, kind: str, once: range | None = None) -> list[tuple[np.ndarray, np.ndarray | None]]:
         """Ids of all candidates, of each row's likeliest one, or of the rows that have some."""
-        every = list(self.pairs(first_new, window))
+        every = [x for x in self.pairs(first_new, window)]
+        if once is not None:
+            every = [(a[m], b[m], e[m]) for a, b, e in every for m in [self.first_here(a, b, once)]]
         if not every:
             return []
         a, b, equal = (np.concatenate(x) for x in zip(*every))
+        if not len(a):
+            return []
         if kind == NAMES:
             return [(np.unique(self.id[np.concatenate((a, b))]), None)]
         if kind == LIKELIEST:
@@ -184,7 +193,7 @@ def _region_of(table: pa.Table, at: int) -> pa.Table:
     return order.table.filter(pa.array((order.tree == order.tree[at]) & (order.key == order.key[at]).all(1)))
 
 
-def _neighbours(window: int, borders: bool, kind: str):
+def _neighbours(window: int, borders: bool, kind: str, once: range | None = None):
     """Task code: candidates of sorted rows; with `borders`, the task's first and last rows too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +215,7 @@ def _neighbours(window: int, borders: bool, kind: str):
             order = _Order([*(kept.to_batches() if kept is not None else []), b])
             if borders and (head is None or head.num_rows < window):
                 head = pa.concat_tables([*([head] if head is not None else []), pa.Table.from_batches([b])]).slice(0, window)
-            for x, y in order.found(old, window, kind):
+            for x, y in order.found(old, window, kind, once):
                 second = pa.nulls(len(x), pa.int64()) if y is None else pa.array(y)
                 yield pa.RecordBatch.from_arrays([pa.array(x), second, *[pa.nulls(len(x), t) for t in kinds]], names)
             kept = order.table.slice(max(0, order.table.num_rows - window))
@@ -217,10 +226,12 @@ def _neighbours(window: int, borders: bool, kind: str):
     return run
 
 
-def candidates(reps: DataFrame, tables: Tables, trees: range, window: int, kind: str = ALL, done: DataFrame | None = None) -> DataFrame:
+def candidates(reps: DataFrame, tables: Tables, trees: range, window: int, kind: str = ALL, done: DataFrame | None = None,
+               once: bool = False) -> DataFrame:
     """(a, b): neighbouring pairs of the trees that the signatures allow, each once; of NAMES, b is null.
 
-    reps have id, n, sig and comp. Regions (tree, key) of `done` are left out.
+    reps have id, n, sig and comp. Regions (tree, key) of `done` are left out. once (of ALL): the window holds every region
+    that is left, so that a pair leaves the first order alone that has it in one region; it was decided if that one is done.
     """
     spark = reps.sparkSession
     rows = reps.count() * len(trees)
@@ -231,10 +242,10 @@ def candidates(reps: DataFrame, tables: Tables, trees: range, window: int, kind:
         F.lit(0).alias("border"), F.explode(F.sequence(F.lit(trees.start), F.lit(trees.stop - 1))).alias("tree"), "sig", "id", "n", "part", "comp"
     ).select("border", "tree", F.substring("sig", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * DEPTH)).alias("key"), "id", "n", "part", "comp")
     order = ["tree", "key", "id"]
-    first = tables.keep(rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(_neighbours(window, True, kind), _PAIRS), "orders")
+    first = tables.keep(rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(_neighbours(window, True, kind, trees if once else None), _PAIRS), "orders")
     again = first.where("id IS NOT NULL").select("border", "tree", "key", "id", "n", "part", "comp")
     # The rows around each border of two ranges, a bounded number for each border.
-    met = again.repartition("border").sortWithinPartitions("border", *order).mapInArrow(_neighbours(window, False, kind), _PAIRS)
+    met = again.repartition("border").sortWithinPartitions("border", *order).mapInArrow(_neighbours(window, False, kind, trees if once else None), _PAIRS)
     out = tables.keep(first.where("a IS NOT NULL").select("a", "b").unionByName(met.select("a", "b")).distinct(), "candidates")
     tables.drop(first)
     return out
@@ -398,6 +409,12 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, tables: Tables | None =
         now = labels.join(roots, "comp", "left").select("id", F.coalesce("root", "comp").alias("comp"))
         return tables.keep(now, f"{name}-labels")
 
+    def labelled(rows: DataFrame) -> DataFrame:
+        """Rows with their component. Only rows that a link has moved are looked up, so that signatures seldom move for it."""
+        moved = labels.where("id <> comp").select("id", F.col("comp").alias("root"))
+        moved = F.broadcast(moved) if moved.count() <= SENT_IDS else moved
+        return rows.join(moved, "id", "left").select(*rows.columns, F.coalesce("root", "id").alias("comp"))
+
     labels = tables.keep(reps.select("id", F.col("id").alias("comp")).distinct(), "labels")
     pairs = candidates(reps.withColumn("comp", F.col("id")), tables, range(FIRST_TREES), WINDOW, LIKELIEST)
     sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), tables, width)
@@ -405,18 +422,18 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, tables: Tables | None =
     tables.drop(sets, pairs)
 
     rest = range(FIRST_TREES, TREES)
-    named = candidates(reps.join(labels, "id"), tables, rest, WINDOW, NAMES).select(F.col("a").alias("id")).distinct()
+    named = candidates(labelled(reps), tables, rest, WINDOW, NAMES).select(F.col("a").alias("id")).distinct()
     open_reps = tables.keep(reps.join(named, "id", "left_semi"), "open")
     sets = sets_of(docs, named, tables, width)
-    pairs = candidates(open_reps.join(labels, "id"), tables, rest, WINDOW, LIKELIEST)
+    pairs = candidates(labelled(open_reps), tables, rest, WINDOW, LIKELIEST)
     labels = joined(labels, pairs, sets, "likeliest")
     tables.drop(pairs)
-    crowded = crowded_links(reps.join(labels, "id"), docs, tables, rest, WINDOW, width)
+    crowded = crowded_links(labelled(reps), docs, tables, rest, WINDOW, width)
     done = None
     if crowded is not None:
         links, done = crowded
         labels = linked(labels, links, "crowded")
-    labels = joined(labels, candidates(open_reps.join(labels, "id"), tables, rest, WINDOW, done=done), sets, "all")
+    labels = joined(labels, candidates(labelled(open_reps), tables, rest, WINDOW, done=done, once=True), sets, "all")
     tables.drop(sets)
 
     of_group = groups.join(labels, groups.rep == labels.id, "left").select("d1", "d2", "n", F.coalesce("comp", "rep").alias("root"))
