@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from echoledger import schemas
 from echoledger.config import DEFAULTS
 from echoledger.functions import canonical as C, responses as R, vectors as V
-from echoledger.operators import requests as Q
+from echoledger.operators import requests as Q, winners
 
 
 def latest_by_key(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Last write wins per key, folded before the shuffle so a hot key stays cheap."""
+    if (narrow := winners.latest_rows(rows, key, order)) is not None:
+        return narrow
     others = [c for c in rows.columns if c != key]
     last = rows.groupBy(key).agg(F.max_by(F.struct(*others), F.struct(*order)).alias("r"))
     return last.select(key, "r.*").select(*rows.columns)

@@ -276,6 +276,18 @@ ORACLE: dict[str, str] = {
     "stream_lookup": "WITH " + REQS + ", st AS (SELECT DISTINCT family, text FROM reqs WHERE request_id % 2 = 0) SELECT r.request_id, s.text IS NOT NULL AS hit FROM reqs r LEFT JOIN st s ON s.text=r.text AND s.family IS NOT DISTINCT FROM r.family",
 }
 ORACLE["stream_tail"] = ORACLE["tail_lines"]
+ORACLE["store_append"] = ORACLE["store_upsert"]
+ORACLE["similarity_indexed"] = ORACLE["similarity_best"]
+ORACLE["chunk_assembly"] = ORACLE["stream_assembly"] = ORACLE["assemble_message"] + " WHERE conv_id % 7 <> 6 AND conv_id % 11 <> 3"
+ORACLE["usage_append"] = f"""WITH {PRICED} SELECT CAST(created_at AS DATE) AS date, CAST(id % 3 AS INT) AS batch, id, session_id, cache_hit,
+    round(cost_usd,6) AS cost_usd FROM facts"""
+_VERSIONS = """WITH d AS (SELECT doc_id AS id, sha256(text) AS text, source FROM documents),
+    o AS (SELECT * FROM d WHERE id % 7 <> 0),
+    n AS (SELECT id, CASE WHEN id % 3 = 0 THEN text || '+' ELSE text END AS text, CASE WHEN id % 11 <> 0 THEN source END AS source FROM d WHERE id % 5 <> 0)"""
+ORACLE["change_feed"] = _VERSIONS + """ SELECT CASE WHEN o.id IS NULL THEN 'insert' WHEN n.id IS NULL THEN 'delete' ELSE 'update' END AS change,
+    coalesce(o.id, n.id) AS id, n.text, n.source FROM o FULL JOIN n ON n.id = o.id
+    WHERE o.id IS NULL OR n.id IS NULL OR o.text <> n.text OR o.source IS DISTINCT FROM n.source"""
+ORACLE["index_after_changes"] = _VERSIONS + " SELECT id, text, source FROM n"
 
 # Replay with write-back: the log walked row by row.
 def _replay(embedded: str) -> str:

@@ -11,10 +11,10 @@ from echoledger import schemas
 from echoledger.config import DEFAULTS
 from echoledger.functions import canonical as C, guard as G, responses as R, stats, vectors as V
 from echoledger.operators import analytics as A, cost, quality as Q, requests as N, resolve, responses as RS
-from echoledger.operators import similarity as S, store as K
+from echoledger.operators import buckets as B, feed as D, indexed as X, similarity as S, store as K
 from echoledger.session import cut_lineage
 from echoledger.sources import logs, tables as T
-from echoledger.streaming import jobs as J
+from echoledger.streaming import chunks as CH, jobs as J
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -265,6 +265,56 @@ def store_upsert(spark, sf):
     return K.upsert(old, new, "id", ["ts", "version"]).drop("ts")
 
 
+@query
+def store_append(spark, sf):
+    """Two batches, each written twice, the first folded in between; read once."""
+    events = T.table(spark, sf, "events").select(
+        F.col("user_id").alias("id"), F.col("event_id").alias("version"), F.col("event_type").alias("payload"),
+        F.col("ts").cast("timestamp").alias("ts"))
+    table = B.BucketedTable(spark, J.fresh(spark, "store-append")[0], "id", ("ts", "version"))
+    for batch in (0, 0, 1, 1):
+        table.append(events.where(F.col("version") % 2 == batch), batch)
+        table.fold(0)
+    return table.read().drop("ts")
+
+
+@query
+def usage_append(spark, sf):
+    """Every batch of usage rows goes out twice and counts once."""
+    rows = facts(spark, sf)
+    folder, _ = J.fresh(spark, "usage-append")
+    for batch in (0, 1, 0, 2, 1, 2):
+        B.append_usage(rows.where(F.col("id") % 3 == batch), folder, batch, again=batch == 1)
+    return B.read_usage(spark, folder).select("date", "batch", "id", "session_id", "cache_hit", F.round("cost_usd", 6).alias("cost_usd"))
+
+
+def _document_versions(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Two versions of the documents: some are new, some are gone, some have another text or source."""
+    docs = T.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("text"), "source")
+    changed = F.when(F.col("id") % 3 == 0, F.concat("text", F.lit("+"))).otherwise(F.col("text"))
+    source = F.when(F.col("id") % 11 == 0, F.lit(None)).otherwise(F.col("source"))
+    old = docs.where(F.col("id") % 7 != 0)
+    return old, docs.where(F.col("id") % 5 != 0).select("id", changed.alias("text"), source.alias("source"))
+
+
+@query
+def change_feed(spark, sf):
+    return D.change_feed(*_document_versions(spark, sf), "id")
+
+
+@query
+def index_after_changes(spark, sf):
+    """The index follows the feed as a stream: changes replace rows, deletions leave a tombstone."""
+    old, new = _document_versions(spark, sf)
+    out, ckpt = J.fresh(spark, "index-changes")
+    feed_dir, _ = J.fresh(spark, "feed")
+    first = old.select(F.lit(D.INSERT).alias("change"), "id", "text", "source")
+    first.withColumn("version", F.lit(0)).write.parquet(feed_dir)
+    D.change_feed(old, new, "id").withColumn("version", F.lit(1)).write.mode("append").parquet(feed_dir)
+    J.run(J.stream_parquet(spark, feed_dir, files_per_batch=2), J.keyed_sink(out, "id", ["version"]), ckpt)
+    return D.without_deleted(K.read_keyed(spark, out, "id", ["version"])).drop("version")
+
+
 @query
 def insert_if_absent(spark, sf):
     """Keys of all even documents are there; those of all odd ones come in."""
@@ -349,6 +399,40 @@ def assemble_message(spark, sf):
     )
 
 
+def _message_parts(built: DataFrame) -> DataFrame:
+    """What callers see of assembled messages."""
+    v = F.col("v")
+    return built.withColumn("v", F.try_parse_json("message")).select(
+        "response_id",
+        F.sha2(F.try_variant_get(v, "$.content[0].text", "string"), 256).alias("text_hash"),
+        F.to_json(F.try_variant_get(v, "$.content[1].input", "variant")).alias("tool_input"),
+        F.try_variant_get(v, "$.content[1].partial_json_unparsed", "string").alias("leftover"),
+        F.try_variant_get(v, "$.stop_reason", "string").alias("stop_reason"),
+        F.to_json(F.try_variant_get(v, "$.usage", "variant")).alias("usage"),
+        F.size(F.try_variant_get(v, "$.content", "array<variant>")).alias("n_blocks"),
+    )
+
+
+@query
+def chunk_assembly(spark, sf):
+    """Chunks in any order and some of them twice, merged in one batch; unfinished answers stay out."""
+    merged = CH.merge_chunks(T.response_chunks(spark, sf)).where("ended")
+    return _message_parts(RS.assembled(RS.complete_only(merged.withColumn("status", F.lit(200)))))
+
+
+@query
+def stream_assembly(spark, sf):
+    """The same chunks as a stream of four batches that cut across all responses."""
+    out, ckpt = J.fresh(spark, "assembly")
+    folder, _ = J.fresh(spark, "chunks")
+    chunks = T.response_chunks(spark, sf)
+    for part in range(4):
+        chunks.where(F.pmod(F.xxhash64("response_id", "seq"), F.lit(4)) == part).coalesce(1).write.mode("append").parquet(folder)
+    CH.run_assembly(J.stream_parquet(spark, folder, files_per_batch=1), out, ckpt)
+    merged = CH.read_assembled(spark, out).where("ended").withColumn("status", F.lit(200))
+    return _message_parts(RS.assembled(RS.complete_only(merged)))
+
+
 @query
 def expand_message(spark, sf):
     return RS.event_rows(T.response_messages(spark, sf)).select("response_id", "block", "step", "name")
@@ -427,6 +511,13 @@ def similarity_best(spark, sf):
     return _matched(S.best_match(docs, docs, DEFAULTS, earlier=True))
 
 
+@query
+def similarity_indexed(spark, sf):
+    """The best match by the inverted index instead of cells."""
+    docs = document_vectors(spark, sf)
+    return _matched(X.best_match(docs, docs, DEFAULTS, earlier=True))
+
+
 @query
 def similarity_top(spark, sf):
     docs = document_vectors(spark, sf)
