@@ -33,21 +33,21 @@ def hashed_terms(text: Column, dims: int = DEFAULTS.embedding_dims) -> Column:
     """
     word = re.compile(r"[a-z0-9]+")
 
+    class Buckets(dict):
+        """Bucket of each word met; hashed the first time."""
+
+        def __missing__(self, w: str) -> int:
+            b = self[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dims
+            return b
+
     @F.pandas_udf("array<double>")
     def embed(texts: pd.Series) -> pd.Series:
-        bucket: dict[str, int] = {}
-        out = []
+        of, out = Buckets().__getitem__, []
         for t in texts:
             if t is None:
                 out.append(None)
                 continue
-            ids = []
-            for w in word.findall(t):
-                b = bucket.get(w)
-                if b is None:
-                    b = bucket[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dims
-                ids.append(b)
-            v = np.bincount(np.asarray(ids, dtype=np.int64), minlength=dims).astype(np.float64)
+            v = np.bincount(np.fromiter(map(of, word.findall(t)), np.int64), minlength=dims).astype(np.float64)
             norm = np.sqrt(v @ v)
             out.append(v / norm if norm > 0 else v)
         return pd.Series(out)

@@ -115,11 +115,6 @@ def encode_pending(store: DataFrame) -> DataFrame:
     )
 
 
-def append_usage(facts: DataFrame, path: str) -> None:
-    """Usage rows go out by day, so that daily reports read only the days they name."""
-    facts.withColumn("date", F.to_date("created_at")).write.mode("append").partitionBy("date").parquet(path)
-
-
 # ---------------------------------------------------------------- keyed table on files
 
 

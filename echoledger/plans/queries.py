@@ -599,7 +599,8 @@ def usage_ledger(spark, sf):
 
 
 def _guarded_pairs(spark, sf):
-    docs = T.table(spark, sf, "documents").select("doc_id", G.features(F.col("text")).alias("g"))
+    # features once for both sides, on rows dealt by document; what is joined afterwards is narrow
+    docs = cut_lineage(T.dealt(T.table(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id", G.features(F.col("text")).alias("g")))
     left = docs.select(F.col("doc_id").alias("pair_id"), F.col("g").alias("ga"))
     right = docs.select((F.col("doc_id") - 1).alias("pair_id"), F.col("g").alias("gb"))
     return left.join(right, "pair_id")
@@ -626,7 +627,7 @@ def guard_words(spark, sf):
 @query
 def guard_direction(spark, sf):
     way = G.direction(G.tokens(F.col("text")))
-    return T.table(spark, sf, "documents").select("doc_id", way.alias("w")).select("doc_id", "w.source", "w.target")
+    return T.dealt(T.table(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id", way.alias("w")).select("doc_id", "w.source", "w.target")
 
 
 @query

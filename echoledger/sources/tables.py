@@ -11,6 +11,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by a key before costly work on their wide columns, whatever files and row groups they come in."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _props_number() -> Column:
     return F.regexp_extract("props", r"([0-9]+)", 1)
 
@@ -52,7 +57,7 @@ def document_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("doc_id") % 4 == 1, " Claude-Opus-4-5")
         .when(F.col("doc_id") % 4 == 2, "claude-3-5-haiku-20241022")
     )
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
     return docs.select(
         F.col("doc_id").alias("request_id"),
         F.col("source").alias("session_id"),

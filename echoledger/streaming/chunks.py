@@ -26,7 +26,7 @@ _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvid
 def merge_chunks(chunks: DataFrame) -> DataFrame:
     """response_id, raw, n_chunks, ended: one buffer for each response out of (response_id, seq, data, last).
 
-    Repeated chunks count once. ended: the last chunk and all before it are there.
+    Repeated chunks count once, of different texts the larger one; null is an empty chunk. ended: the last chunk and all before it are there.
     """
     one = chunks.groupBy("response_id", "seq").agg(F.max("data").alias("data"), F.bool_or("last").alias("last"))
     found = one.groupBy("response_id").agg(
@@ -60,9 +60,11 @@ class ChunkMerger(StatefulProcessor):
         for frame in rows:
             now = max(now, int(frame["arrived_at"].max().timestamp() * 1000))
             for seq, data, last in zip(frame["seq"], frame["data"], frame["last"]):
-                if not self.parts.containsKey((int(seq),)):
-                    n += 1
-                    self.parts.updateValue((int(seq),), (data,))
+                at, text = (int(seq),), data or ""
+                known = self.parts.containsKey(at)
+                n += not known
+                if not known or text > self.parts.getValue(at)[0]:  # of different texts the larger, as in a batch
+                    self.parts.updateValue(at, (text,))
                 if last:
                     end = int(seq)
         if n == end + 1:  # numbers from 0 to the last one, each once

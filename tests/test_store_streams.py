@@ -1,14 +1,16 @@
 """Keyed tables and streams: batch and stream agree, retries change nothing."""
 
 import random
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from echoledger import schemas
 from echoledger.config import ReuseConfig
 from echoledger.functions import vectors as V
-from echoledger.operators import analytics as A, cost, resolve, store as K
-from echoledger.streaming import jobs as J
+from echoledger.operators import analytics as A, buckets as B, cost, feed as D, resolve, store as K, winners as W
+from echoledger.streaming import chunks as CH, jobs as J
 
 
 def updates(spark, n=90, seed=2):
@@ -144,8 +146,106 @@ def test_stream_resolution_against_a_snapshot(spark, tmp_path):
     assert once == got
 
 
-def test_usage_appends_by_day(spark, tmp_path):
+def test_usage_batches_are_replaced_not_added(spark, tmp_path):
     _, batch, _ = usage_folder(spark, tmp_path)
-    K.append_usage(batch, str(tmp_path / "log"))
-    K.append_usage(batch, str(tmp_path / "log"))
-    assert spark.read.parquet(str(tmp_path / "log")).count() == 800
+    path = str(tmp_path / "log")
+    first, second = batch.where("id < 250"), batch.where("id >= 250")
+    assert B.append_usage(first, path, 0) and not B.append_usage(first, path, 0)
+    assert B.append_usage(second, path, 1) and B.append_usage(second.where("id < 300"), path, 1, again=True) and B.append_usage(second, path, 1, again=True)
+    rows = B.read_usage(spark, path)
+    assert rows.count() == rows.select("id").distinct().count() == 400
+    (tmp_path / "log" / "batch=2" / "date=2024-01-01").mkdir(parents=True)  # a batch that was interrupted
+    assert B.read_usage(spark, path).count() == 400 and B.read_usage(spark, path, [1]).count() == 150
+    day = rows.agg(F.min("date")).first()[0]
+    plan = rows.where(F.col("date") == day)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan
+    with pytest.raises(FileNotFoundError):
+        B.read_usage(spark, str(tmp_path / "none"))
+
+
+def test_bucketed_store(spark, tmp_path):
+    rows, df = updates(spark)
+    table = B.BucketedTable(spark, str(tmp_path / "b"), "id", ("seq",), 8)
+    with pytest.raises(FileNotFoundError):
+        table.read()
+    for b in range(3):
+        part = df.where((F.col("seq") % 3) == b)
+        table.append(part, b)
+        table.append(part, b)
+        if b == 1:
+            assert table.fold(1) == table.buckets_of({r[0] for r in rows if r[1] % 3 < 2})
+    assert as_dict(table.read()) == last(rows) and table.fold(1) == []
+    (tmp_path / "b" / "delta" / "batch=9" / "bucket=0").mkdir(parents=True)  # interrupted
+    touched = table.fold(2)
+    assert as_dict(table.read()) == last(rows) and 0 < len(touched) <= 8
+    table.append(spark.createDataFrame([("hot", 500, "later"), (None, 1, "no key")], df.schema), 3)
+    assert table.fold(3) == sorted({*table.buckets_of(["hot"]), *table.buckets_of([None])})
+    assert as_dict(table.read()) == {**last(rows), "hot": "later", None: "no key"}
+    found = table.lookup(["hot", "k1", "absent"])
+    assert as_dict(found) == {k: v for k, v in as_dict(table.read()).items() if k in ("hot", "k1")}
+    scans = [line for line in found._jdf.queryExecution().toString().splitlines() if "PartitionFilters" in line]
+    assert scans and all("bucket" in line.split("PartitionFilters: [")[1].split("]")[0] for line in scans)
+
+
+def test_narrow_winners(spark):
+    rnd = random.Random(6)
+    rows = [(rnd.choice(("a", "b", None, f"k{rnd.randrange(5)}")), rnd.choice((None, *range(-3, 4))), rnd.choice((None, 1, 2)), f"v{i % 40}", [float(i % 7)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id string, t long, n long, v string, e array<double>").withColumn("ts", F.timestamp_micros("t"))
+    low = lambda x: -(10**9) if x is None else x
+    for order, rank in ((["t"], lambda r: low(r[1])), (["ts", "n"], lambda r: (low(r[1]), low(r[2]))), (["n", "t"], lambda r: (low(r[2]), low(r[1])))):
+        got = W.latest_rows(df, "id", order)
+        best = {}
+        for r in rows:
+            best[r[0]] = max(best.get(r[0], rank(r)), rank(r))
+        found = got.collect()
+        assert {r.id for r in found} == set(best) and len(found) == len(best)
+        assert all(rank((r.id, r.t, r.n)) == best[r.id] for r in found)
+        assert sorted(map(str, found)) == sorted(map(str, W.latest_rows(df.repartition(7), "id", order).collect()))
+        assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    assert W.latest_rows(df, "id", ["v"]) is None
+    firsts = W.first_of(df.where("t IS NOT NULL AND n IS NOT NULL"), "id", "ts", "n")
+    want = {}
+    for r in rows:
+        if r[1] is not None and r[2] is not None:
+            want.setdefault(r[0], []).append((r[1], r[2]))
+    got = {r.id: (r.us, r.first_id, r.n_requests) for r in firsts.withColumn("us", F.unix_micros("first_ts")).collect()}
+    assert got == {k: (*min(v), len(v)) for k, v in want.items()}
+
+
+def test_change_feed_and_its_application(spark):
+    kind = "id string, a string, b long"
+    old = spark.createDataFrame([("x", "1", 1), ("y", "1", None), ("z", None, 3), (None, "n", 1), ("same", None, None)], kind)
+    new = spark.createDataFrame([("x", "1", 2), ("y", "1", None), ("w", "5", 5), (None, "m", 1), ("same", None, None)], kind)
+    changes = D.change_feed(old, new, "id")
+    assert {tuple(r) for r in changes.collect()} == {("update", "x", "1", 2), ("delete", "z", None, None), ("insert", "w", "5", 5), ("update", None, "m", 1)}
+    once = D.apply_changes(old, changes, "id")
+    assert sorted(map(str, once.collect())) == sorted(map(str, new.collect())) == sorted(map(str, D.apply_changes(once, changes, "id").collect()))
+    assert D.change_feed(old, old, "id").count() == 0
+    assert {r.change for r in D.change_feed(old, new, "id", ["a"]).collect() if r.id == "x"} == set()
+
+
+def test_chunks_in_any_order_and_responses_that_never_end(spark, tmp_path):
+    rnd = random.Random(3)
+    whole = {f"r{k}": "".join(rnd.choice("abc\nevent: message_stop") for _ in range(rnd.randrange(1, 60))) for k in range(12)}
+    rows = []
+    for r, text in whole.items():
+        parts = [text[i : i + 7] for i in range(0, len(text), 7)]
+        rows += [(r, k, p, k == len(parts) - 1 and r != "r3") for k, p in enumerate(parts)]
+    rows += rows[::4]
+    rows = [r for r in rows if r[:2] != ("r5", 0)] + [("r6", 0, None, False)]  # one lacks its first chunk
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "response_id string, seq long, data string, last boolean")
+    merged = {r.response_id: r for r in CH.merge_chunks(df).collect()}
+    assert {r for r, m in merged.items() if not m.ended} == {"r3", "r5"}
+    assert all(merged[r].raw == text for r, text in whole.items() if r != "r5")
+    path = str(tmp_path / "chunks")
+    for i in range(3):
+        spark.createDataFrame(rows[i::3], df.schema).coalesce(1).write.mode("append").parquet(path)
+    out, ckpt = str(tmp_path / "out"), str(tmp_path / "c")
+    CH.run_assembly(J.stream_parquet(spark, path, files_per_batch=1), out, ckpt, patience_ms=1)
+    time.sleep(1.2)
+    spark.createDataFrame([("late", 0, "z", True)], df.schema).write.mode("append").parquet(path)
+    CH.run_assembly(J.stream_parquet(spark, path, files_per_batch=1), out, ckpt, patience_ms=1)
+    got = {r.response_id: (r.raw, r.ended) for r in CH.read_assembled(spark, out).collect()}
+    assert got["late"] == ("z", True) and got["r3"][1] is False
+    assert all(got[r] == (text, True) for r, text in whole.items() if r not in ("r3", "r5") and got[r][1])
