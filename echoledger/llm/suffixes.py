@@ -17,12 +17,15 @@ Groups of more than HOT places under one name are merged place by place instead
 
 Defined cases: null and empty texts have nothing to remove; texts shorter than `length` match
 nothing, copies or not; all copies of a long text are removed whole; matches may overlap and may lie
-in one text; texts of any length are sampled whole.
+in one text; texts of any length are sampled whole, in overlapping pieces; rows with a null doc_id have repeats like
+others; an empty table gives an empty one; further columns, whatever their names, are left aside, and strip_repeats
+keeps them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +39,8 @@ KEY = 16
 HOT = 20_000
 #: Bytes of suffixes that are merged in one go.
 MERGE_BYTES = 4 << 20
+#: Starts of a long text that are looked at together; a place is numbered within them, in _PLACE bits.
+PIECE = 1 << 20
 _PLACE = 28
 
 
@@ -52,11 +57,29 @@ class Sample:
     def places(self, data: np.ndarray, rows: np.ndarray):
         """(row, first start, last start, name) of each sampled place of the texts data[rows[k]:rows[k + 1]].
 
-        A start i belongs to the place of lowest hash among i + before .. i + before + reach.
+        A start i belongs to the place of lowest hash among i + before .. i + before + reach. Long texts are walked in
+        pieces that overlap by a match, so that every start sees all its bytes; memory follows the piece.
         """
+        if len(data) <= PIECE + self.length:
+            return self._places(data, rows)[:4]
+        found, last = [], -1
+        for at in range(0, len(data), PIECE):
+            piece = data[at : at + PIECE + self.length - 1]
+            row, low, high, name, place = self._places(piece, np.clip(rows - at, 0, len(piece)))
+            if len(row) and found and place[0] + at == last and row[0] == found[-1][0][-1]:  # a place that two pieces share
+                found[-1][2][-1] = high[0] + at
+                row, low, high, name, place = (x[1:] for x in (row, low, high, name, place))
+            if len(row):
+                found.append((row, low + at, high + at, name))
+                last = int(place[-1]) + at
+        if not found:
+            return self._places(data[:0], rows)[:4]
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def _places(self, data: np.ndarray, rows: np.ndarray):
         n, none = len(data), np.empty(0, np.int64)
         if n < self.length:
-            return none, none, none, np.empty(0, np.uint64)
+            return none, none, none, np.empty(0, np.uint64), none
         prefix = np.zeros(n + 1, np.uint64)
         np.cumsum(_CODES[data] * powers(_BASE, n), out=prefix[1:])
         inverse = powers(_INVERSE, n + 1)
@@ -73,14 +96,14 @@ class Sample:
         keep = starts + self.length <= rows[row + 1]
         starts, row = starts[keep], row[keep]
         if not len(starts):
-            return none, none, none, np.empty(0, np.uint64)
+            return none, none, none, np.empty(0, np.uint64), none
         q = starts + self.before
         place = (np.minimum(back[q], ahead[q + u - 1]) & np.uint64((1 << _PLACE) - 1)).astype(np.int64)
         new = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (row[1:] != row[:-1]))))
         a = place[new]
         low = a - self.before
         name = mix((prefix[a + self.after] - prefix[low]) * inverse[low])
-        return row[new], starts[new], starts[np.append(new[1:], len(starts)) - 1], name
+        return row[new], starts[new], starts[np.append(new[1:], len(starts)) - 1], name, a
 
 
 def equal_starts(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
@@ -320,6 +343,7 @@ def whole_characters(raw: bytes, runs: list[tuple[int, int]]) -> str:
 def strip_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     """The documents without the characters under repeats; n_chars, where there is one, follows the text."""
     run = Repeats(docs, length)
+    own = [f"_{c}_{uuid.uuid4().hex}" for c in ("k1", "k2", "left")]  # no column of the caller's
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -333,19 +357,19 @@ def strip_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     copies = run.texts.where(F.col("n") >= length).join(run.groups.where("copies > 1"), ["k1", "k2"], "left_semi").select("k1", "k2").distinct()
     found = run.found.mapInArrow(cut, "k1 bigint, k2 bigint, left string").join(copies, ["k1", "k2"], "left_anti")
     changed = run.tables.keep(found.unionByName(copies.withColumn("left", F.lit(""))), "changed").select(
-        F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("left").alias("_left"))
+        F.col("k1").alias(own[0]), F.col("k2").alias(own[1]), F.col("left").alias(own[2]))
     run.tables.drop(run.texts, run.groups, run.candidates, run.ranges)
     first, second = _keys(length)
     # A text that has its place in `changed` is replaced; all other columns stay as they are.
-    joined = docs.join(changed, (first == F.col("_k1")) & (second == F.col("_k2")), "left")
-    new = F.when(F.col("_k1").isNotNull(), F.col("_left")).otherwise(docs["text"])
+    joined = docs.join(changed, (first == F.col(own[0])) & (second == F.col(own[1])), "left")
+    new = F.when(F.col(own[0]).isNotNull(), F.col(own[2])).otherwise(docs["text"])
     columns = []
     for c in docs.columns:
         if c == "text":
             columns.append(new.alias("text"))
         elif c == "n_chars":
             kind = dict(docs.dtypes)["n_chars"]
-            columns.append(F.when(F.col("_k1").isNotNull(), F.char_length("_left").cast(kind)).otherwise(docs["n_chars"]).alias("n_chars"))
+            columns.append(F.when(F.col(own[0]).isNotNull(), F.char_length(own[2]).cast(kind)).otherwise(docs["n_chars"]).alias("n_chars"))
         else:
             columns.append(docs[f"`{c}`"])
     return joined.select(*columns)

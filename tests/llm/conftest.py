@@ -44,7 +44,7 @@ def odd(spark):
     rows = [(1, "a b c d e f g", None, None, 1), (1, "a b c d e f g", None, None, 1), (None, "a b c d e f g", "x", None, None),
             (None, None, None, None, None), (2, None, None, "s", 0), (3, "", "y", "s", 0), (2, "other words of one number", None, None, 2)]
     df = spark.createDataFrame(rows, DOCUMENTS)
-    for name in ("n", "k1", "id", "key", "row", "score", "part", "word", "shingles", "rep", "root", "first", "digest", "left", "hot"):
+    for name in ("n", "k1", "id", "key", "row", "score", "part", "word", "shingles", "rep", "root", "first", "digest", "left", "hot", "_k1", "_gone", "_left"):
         df = df.withColumn(name, F.lit("mine"))
     return df
 

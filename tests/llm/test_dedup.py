@@ -160,6 +160,19 @@ def test_repeated_spans(docs, texts, monkeypatch, length, hot):
             assert left[i].n_chars == len(left[i].text) and len(left[i].text.encode()) >= want[i][0] - want[i][1]
 
 
+def test_long_texts_are_sampled_in_pieces(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(97, 101, n, dtype=np.uint8) for n in (3000, 0, 70, 64, 9000, 12)]
+    texts[4][5000:6000] = texts[0][:1000]
+    data, rows = np.concatenate(texts), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    sample = suffixes.Sample(64)
+    whole = sample.places(data, rows)
+    assert len(whole[0]) > 300
+    for piece in (50, 64, 700, 5000):
+        monkeypatch.setattr(suffixes, "PIECE", piece)
+        assert all(np.array_equal(x, y) for x, y in zip(whole, sample.places(data, rows)))
+
+
 def test_repeats_of_odd_rows(odd, empty):
     got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in suffixes.repeated_spans(odd, 64).collect())
     assert [g[2] for g in got] == [0] * 7
