@@ -332,3 +332,36 @@ ORACLE["usage_ledger"] = (
 ORACLE["top_prompts_limited"] = "WITH " + REQS + """,
     k AS (SELECT '{"messages":[{"content":[{"text":' || CAST(to_json(text) AS VARCHAR) || ',"type":"text"}],"role":"user"}]' || CASE WHEN family IS NULL THEN '' ELSE ',"model":"' || family || '"' END || '}' AS c, n FROM firsts)
     SELECT sha256(c) AS prompt_hash, sha256(c) AS text_hash, n-1 AS hit_count FROM k WHERE n > 1 ORDER BY n DESC, sha256(c) LIMIT 20"""
+
+ORACLE["similarity_newest_blocks"] = ORACLE["similarity_newest"]
+ORACLE["stream_metric_rows"] = ORACLE["metric_rows"]
+ORACLE["stream_resolution"] = ORACLE["tiered_resolution"]
+ORACLE["similarity_scored"] = _HEAD + _EARLIER + """,
+    best AS (SELECT * FROM (SELECT n.*, row_number() OVER (PARTITION BY n.a ORDER BY score DESC, n.b) AS rn
+             FROM near n JOIN verdict v ON v.a=n.a AND v.b=n.b JOIN reqs p ON p.request_id=n.a JOIN reqs q ON q.request_id=n.b
+             WHERE n.fits AND v.safe AND (length(p.text) + length(q.text)) % 3 <> 0) WHERE rn=1)
+    SELECT a AS request_id, b AS matched_id, round(score,6) AS score, 0::BIGINT AS n_failed FROM best"""
+ORACLE["pair_scan"] = "WITH " + PAIRS + """ SELECT expect, count(*) AS n_pairs, count(*) FILTER (WHERE pair_id % 5 = 0) AS n_odd,
+    CAST(sum(length(a) + 2 * length(b)) AS BIGINT) AS n_chars, count(DISTINCT sha256(a || '|' || b)) AS n_distinct FROM pairs GROUP BY 1"""
+ORACLE["pair_faults"] = "WITH " + PAIRS + """ SELECT eval_set, count(*) AS n_pairs, count(*) < 30 AS too_small,
+    count(*) FILTER (WHERE pair_id % 13 = 0 OR pair_id % 17 = 0) AS bad_labels,
+    count(*) FILTER (WHERE regexp_replace(a,'\\s','','g') = '' OR pair_id % 23 = 0 OR regexp_replace(b,'\\s','','g') = '') AS blank_texts,
+    count(*) FILTER (WHERE pair_id % 19 = 0) AS odd_keys FROM pairs GROUP BY 1"""
+
+
+def _wilson(k: str, n: str, sign: str) -> str:
+    """One end of the 95 % interval, clipped; (0, 0) without cases."""
+    p = f"({k}::DOUBLE/{n})"
+    return (f"CASE WHEN {n} = 0 THEN 0.0 ELSE least(1.0, greatest(0.0, ({p} + 3.8416/(2*{n}) {sign} 1.96*sqrt({p}*(1-{p})/{n} + 3.8416/(4.0*{n}*{n})))"
+            f"/(1 + 3.8416/{n}))) END")
+
+
+ORACLE["sweep_intervals"] = "WITH " + SCORED + "," + confusion_sql(SWEEP) + f""" SELECT pipeline, thr, tp, fp,
+    round({_wilson('tp', 'n_hit', '-')},6) AS recall_low, round({_wilson('tp', 'n_hit', '+')},6) AS recall_high,
+    round({_wilson('fp', 'n_miss', '-')},6) AS false_hit_low, round({_wilson('fp', 'n_miss', '+')},6) AS false_hit_high FROM sweep"""
+ORACLE["fact_faults"] = f"""WITH {PRICED}, f AS (SELECT cache_hit, cost_usd, similarity_score = 1.0 AS exact,
+      CASE WHEN id % 37 = 0 THEN 0.0 WHEN id % 41 = 0 THEN cost_usd WHEN cache_hit THEN cost_usd ELSE 0.0 END AS saved,
+      CASE WHEN id % 43 = 0 THEN NULL WHEN id % 47 = 0 THEN 0.5 ELSE similarity_score END AS score FROM facts)
+    SELECT count(*) FILTER (WHERE cache_hit AND saved <> cost_usd) AS hit_without_full_saving, count(*) FILTER (WHERE NOT cache_hit AND saved <> 0) AS miss_with_saving,
+      count(*) FILTER (WHERE cache_hit AND score IS NULL) AS hit_without_score, count(*) FILTER (WHERE NOT cache_hit AND score IS NOT NULL) AS miss_with_score,
+      count(*) FILTER (WHERE exact AND score <> 1.0) AS exact_hit_score_not_one FROM f"""

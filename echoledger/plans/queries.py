@@ -11,7 +11,7 @@ from echoledger import schemas
 from echoledger.config import DEFAULTS
 from echoledger.functions import canonical as C, guard as G, responses as R, stats, vectors as V
 from echoledger.operators import analytics as A, cost, quality as Q, requests as N, resolve, responses as RS
-from echoledger.operators import buckets as B, feed as D, indexed as X, similarity as S, store as K
+from echoledger.operators import buckets as B, feed as D, indexed as X, scored as SC, similarity as S, store as K
 from echoledger.session import cut_lineage
 from echoledger.sources import logs, tables as T
 from echoledger.streaming import chunks as CH, jobs as J
@@ -170,6 +170,17 @@ def fact_invariants(spark, sf):
     return A.fact_violations(facts(spark, sf))
 
 
+@query
+def fact_faults(spark, sf):
+    """The same checks, tiers included, over facts that break every rule somewhere."""
+    i = F.col("id")
+    broken = facts(spark, sf).withColumn(
+        "cost_saved_usd", F.when(i % 37 == 0, F.lit(0.0)).when(i % 41 == 0, F.col("cost_usd")).otherwise(F.col("cost_saved_usd"))
+    ).withColumn("tier", F.when(F.col("similarity_score") == 1.0, "L1").when(F.col("cache_hit"), "L2").otherwise("miss")).withColumn(
+        "similarity_score", F.when(i % 43 != 0, F.when(i % 47 == 0, F.lit(0.5)).otherwise(F.col("similarity_score"))))
+    return A.fact_violations(broken, "tier")
+
+
 @query
 def tail_lines(spark, sf):
     return A.tail_lines(facts(spark, sf)).select("id", "line")
@@ -531,6 +542,28 @@ def similarity_newest(spark, sf):
     return _matched(S.best_match(asked, held, dataclasses.replace(DEFAULTS, max_store_rows=300)))
 
 
+@query
+def similarity_newest_blocks(spark, sf):
+    """The same bound, through blocks instead of a broadcast store."""
+    docs = document_vectors(spark, sf)
+    asked, held = docs.where(F.col("id") % 2 == 1), docs.where(F.col("id") % 2 == 0)
+    return _matched(S.best_match(asked, held, dataclasses.replace(DEFAULTS, max_store_rows=300, broadcast_rows=0, block_rows=100)))
+
+
+@query
+def similarity_scored(spark, sf):
+    """Best match under a pair scorer that refuses by the texts' lengths."""
+    docs = T.document_requests(spark, sf).withColumn("family", C.model_family(F.col("model")))
+    rows = docs.withColumn("vec", V.hashed_terms(F.col("prompt_text")))
+    held = S.materialised(S.prepare(rows, "request_id", F.col("request_id"), "vec", "family", "prompt_text", keep_text=True))
+
+    def make_predict():
+        return lambda a, b: [[4.0, 0.0] if (len(x) + len(y)) % 3 == 0 else [0.0, 4.0] for x, y in zip(a, b)]
+
+    found = SC.best_unrefused(held, held, SC.contradiction_udf(make_predict, 0), DEFAULTS, earlier=True)
+    return _matched(found).join(found.select(F.col("pid").alias("request_id"), "n_failed"), "request_id")
+
+
 @query
 def embedding_best(spark, sf):
     rows = T.table(spark, sf, "embeddings").select(
@@ -678,6 +711,38 @@ def wilson_ci(spark, sf):
     return counts.select("grp", "k", "n", F.round(ci["low"], 6).alias("low"), F.round(ci["high"], 6).alias("high"))
 
 
+@query
+def pair_scan(spark, sf):
+    """Labelled pairs read back from text lines, with blank and comment lines among them."""
+    folder, _ = J.fresh(spark, "pairs")
+    pairs = T.adjacent_pairs(spark, sf)
+    fields = [F.concat(F.lit(f'"{c}":'), F.to_json(F.col(c).cast("variant"))) for c in ("a", "b", "expect")]
+    line = F.concat(F.lit("  {"), F.concat_ws(", ", *fields), F.when(F.col("pair_id") % 5 == 0, F.concat(F.lit(', "note":'), F.col("pair_id"))).otherwise(F.lit("")), F.lit("}\t"))
+    note = F.when(F.col("pair_id") % 7 == 0, F.lit("   ")).otherwise(F.concat(F.lit(" // pair "), F.col("pair_id")))
+    pairs.select(F.explode(F.array(line, note)).alias("value")).write.text(folder)
+    back = logs.read_pairs(spark, folder)
+    return back.groupBy("expect").agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.count_if(F.size("keys") == 4).alias("n_odd"),
+        F.sum(F.length("a") + 2 * F.length("b")).alias("n_chars"), F.countDistinct(F.sha2(F.concat("a", F.lit("|"), "b"), 256)).alias("n_distinct"))
+
+
+@query
+def pair_faults(spark, sf):
+    """Pair sets with labels, texts and keys that break the rules."""
+    pairs = T.adjacent_pairs(spark, sf)
+    expect = F.when(F.col("pair_id") % 13 == 0, "maybe").when(F.col("pair_id") % 17 != 0, F.col("expect"))
+    keys = F.when(F.col("pair_id") % 19 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a"), F.lit("b"), F.lit("expect")))
+    b = F.when(F.col("pair_id") % 23 == 0, F.lit(" \t")).otherwise(F.col("b"))
+    broken = pairs.withColumn("expect", expect).withColumn("keys", keys).withColumn("b", b)
+    return Q.pair_integrity(broken, ("eval_set",)).drop("repeated_pairs")
+
+
+@query
+def sweep_intervals(spark, sf):
+    found = Q.with_intervals(Q.confusion_sweep(_scored(spark, sf)))
+    return found.select("pipeline", "thr", "tp", "fp", *[F.round(c, 6).alias(c) for c in ("recall_low", "recall_high", "false_hit_low", "false_hit_high")])
+
+
 @query
 def pair_integrity(spark, sf):
     return Q.pair_integrity(T.adjacent_pairs(spark, sf), ("eval_set",)).drop("odd_keys")
@@ -707,6 +772,29 @@ def stream_session_metrics(spark, sf):
     return J.read_session_metrics(spark, out)
 
 
+@query
+def stream_metric_rows(spark, sf):
+    """Metric rows written batch by batch, and folded every second batch."""
+    out, ckpt = J.fresh(spark, "metric-rows")
+    J.run_metric_rows(_backwards(spark, sf), out, ckpt, compact_every=2)
+    return J.read_metric_rows(spark, out)
+
+
+@query
+def stream_resolution(spark, sf):
+    """All tiers of a request stream, in two batches, against the snapshot."""
+    requests, store = snapshot_sides(spark, sf)
+    out, ckpt = J.fresh(spark, "resolution")
+    log_dir, _ = J.fresh(spark, "asked")
+    for part in (0, 1):
+        requests.where(F.col("request_id") % 4 == 2 * part + 1).coalesce(1).write.mode("append").parquet(log_dir)
+    store = cut_lineage(store)
+    J.run_resolution(J.stream_parquet(spark, log_dir, files_per_batch=1), store, out, ckpt)
+    ids = store.select(F.col("prompt_hash").alias("matched_hash"), F.col("request_id").alias("matched_id"))
+    return K.read_keyed(spark, out, "request_id", ["ts"]).join(ids, "matched_hash", "left").select(
+        "request_id", "tier", "matched_id", F.round("similarity_score", 6).alias("score"))
+
+
 @query
 def stream_ingest(spark, sf):
     """Every event arrives twice, newest first, and is kept once."""

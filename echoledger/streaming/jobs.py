@@ -80,6 +80,33 @@ def run_session_metrics(usage: DataFrame, path: str, checkpoint: str, every: str
     return run(usage, counts_sink(path, session_histogram, "session_id", "latency_ms"), checkpoint, every=every)
 
 
+def run_metric_rows(usage: DataFrame, path: str, checkpoint: str, cfg: ReuseConfig = DEFAULTS, every: str | None = None, timed: bool = False,
+                    compact_every: int = 16):
+    """Metric rows (run, metric, value) of the sessions that each micro-batch touches, written when it ends.
+
+    timed: one batch every flush_interval_s; the last one is written before the query stops, so that nothing waits for a flush.
+    The batches' counts are folded into one base every compact_every batches.
+    """
+    spark, counts_path = usage.sparkSession, f"{path}/counts"
+    counts = counts_sink(counts_path, session_histogram, "session_id", "latency_ms")
+
+    def sink(rows: DataFrame, batch_id: int) -> None:
+        rows = cut_lineage(rows.select("session_id", "latency_ms", "cache_hit", "cost_usd"))
+        counts(rows, batch_id)
+        touched = K.read_keyed(spark, counts_path, "cell", ["batch"]).join(rows.select("session_id").distinct(), "session_id", "left_semi")
+        made = A.metric_rows(metrics_of_histogram(touched)).withColumn("batch", F.lit(batch_id))
+        K.write_batch(made.withColumn("cell", F.concat_ws("|", "run", "metric")), f"{path}/rows", batch_id, "cell", ["batch"])
+        if batch_id % compact_every == compact_every - 1:
+            K.compact(spark, counts_path, "cell", ["batch"], batch_id)
+            K.compact(spark, f"{path}/rows", "cell", ["batch"], batch_id)
+
+    return run(usage, sink, checkpoint, every=every or (f"{cfg.flush_interval_s} seconds" if timed else None))
+
+
+def read_metric_rows(spark: SparkSession, path: str) -> DataFrame:
+    return K.read_keyed(spark, f"{path}/rows", "cell", ["batch"]).select("run", "metric", "value")
+
+
 def read_session_metrics(spark: SparkSession, path: str) -> DataFrame:
     return metrics_of_histogram(K.read_keyed(spark, path, "cell", ["batch"]))
 
