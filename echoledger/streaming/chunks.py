@@ -38,48 +38,52 @@ def merge_chunks(chunks: DataFrame) -> DataFrame:
 
 
 class ChunkMerger(StatefulProcessor):
-    """Holds the chunks of one response until all of them are there, or no more have come for a while."""
+    """Holds the chunks of one response until all of them are there, or no more have come for a while.
+
+    A call reads and writes the state a fixed number of times, however many chunks it brings: they are appended as one list,
+    and which numbers have come is one bit each.
+    """
 
     def __init__(self, patience_ms: int):
         self.patience_ms = patience_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.parts = handle.getMapState("parts", "seq long", "data string")
-        self.progress = handle.getValueState("progress", "n long, last_seq long")
+        self.parts = handle.getListState("parts", "seq long, data string")
+        self.progress = handle.getValueState("progress", "end long, timer long, seen binary")
 
-    def _taken(self, key, ended: bool) -> pd.DataFrame:
-        rows = sorted((int(k[0]), v[0]) for k, v in self.parts.iterator())
+    def _taken(self, key, more: list, ended: bool) -> pd.DataFrame:
+        parts: dict[int, str] = {}
+        for seq, data in [*(tuple(r) for r in self.parts.get()), *more]:
+            parts[seq] = max(data, parts.get(seq, ""))  # of different texts the larger, as in a batch
         self.parts.clear()
         self.progress.clear()
-        return pd.DataFrame({"response_id": [key[0]], "raw": ["".join(d for _, d in rows)], "n_chunks": [len(rows)], "ended": [ended]})
+        return pd.DataFrame({"response_id": [key[0]], "raw": ["".join(parts[k] for k in sorted(parts))], "n_chunks": [len(parts)], "ended": [ended]})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n, end = (int(x) for x in self.progress.get()) if self.progress.exists() else (0, -1)
-        now = 0
+        end, timer, seen, now, new = -1, -1, 0, 0, []
+        if self.progress.exists():
+            end, timer, raw = self.progress.get()
+            seen = int.from_bytes(raw, "little")
         for frame in rows:
             now = max(now, int(frame["arrived_at"].max().timestamp() * 1000))
-            for seq, data, last in zip(frame["seq"], frame["data"], frame["last"]):
-                at, text = (int(seq),), data or ""
-                known = self.parts.containsKey(at)
-                n += not known
-                if not known or text > self.parts.getValue(at)[0]:  # of different texts the larger, as in a batch
-                    self.parts.updateValue(at, (text,))
+            for seq, data, last in zip(frame["seq"].tolist(), frame["data"], frame["last"]):
+                new.append((seq, data or ""))
+                seen |= 1 << seq
                 if last:
-                    end = int(seq)
-        if n == end + 1:  # numbers from 0 to the last one, each once
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            yield self._taken(key, True)
-            return
-        self.progress.update((n, end))
-        for timer in list(self.handle.listTimers()):
+                    end = seq
+        if timer >= 0:
             self.handle.deleteTimer(timer)
+        if end >= 0 and seen == (1 << end + 1) - 1:  # every number up to the last one
+            yield self._taken(key, new, True)
+            return
+        self.parts.appendList(new)
         self.handle.registerTimer(now + self.patience_ms)
+        self.progress.update((end, now + self.patience_ms, seen.to_bytes(seen.bit_length() // 8 + 1, "little")))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.progress.exists():
-            yield self._taken(key, False)
+            yield self._taken(key, [], False)
 
     def close(self) -> None:
         pass
