@@ -64,5 +64,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: The classifier is trained, so that no SQL gives these rows; tests compare the other stages with brute force.
+#: The classifier is trained, so that no SQL gives these rows; a test compares the stages after it with brute force.
 ORACLE_SQL = None

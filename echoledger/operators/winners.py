@@ -49,17 +49,19 @@ def pack_time(micros: Column, x: Column) -> Column:
 
 
 def unpack_time(packed: Column) -> tuple[Column, Column]:
-    """The two parts that pack_time joined (neither null)."""
+    """The two parts that pack_time joined; the least value of either reads as null."""
     whole = packed.cast("decimal(38,0)")
     step = F.lit(str(1 << 64)).cast("decimal(38,0)")
     rest = whole % step
-    return ((F.floor((whole - rest) / step)).cast("decimal(38,0)") - _power(62)).cast("long"), (rest - _power(63)).cast("long")
+    at = F.floor((whole - rest) / step).cast("decimal(38,0)")
+    return F.when(at != 0, (at - _power(62)).cast("long")), F.when(rest != 0, (rest - _power(63)).cast("long"))
 
 
 def _passes(rows: DataFrame, order: list[str]) -> list[Column] | None:
     """One decimal for each narrow pass: the order in pairs, then a digest of the row, which tells all but equal rows apart."""
     longs = [_long(rows, name) for name in order]
-    if any(x is None for x in longs):
+    unequal = any(kind in f.dataType.simpleString() for f in rows.schema for kind in ("map<", "variant"))  # not to be compared
+    if unequal or any(x is None for x in longs):
         return None
     digest = F.shiftrightunsigned(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), 64 - _DIGEST_BITS)
     out, i = [], 0
@@ -79,7 +81,7 @@ def _passes(rows: DataFrame, order: list[str]) -> list[Column] | None:
 
 def latest_rows(rows: DataFrame, key: str, order: list[str]) -> DataFrame | None:
     """The row of each key that comes last in `order` (nulls first, ties by a digest of the row); None for orders that no
-    number can hold. Null is a key of its own."""
+    number can hold and for rows that cannot be compared. Null is a key of its own."""
     passes = _passes(rows, order)
     if passes is None:
         return None
