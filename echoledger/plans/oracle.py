@@ -3,11 +3,31 @@
 from __future__ import annotations
 
 from echoledger.functions import guard as G
-from echoledger.operators.cost import DEFAULT_RATE, RATE_CARD
-from echoledger.operators.quality import SHORT_SWEEP, SWEEP
 
 DIMS = 384
 
+# Fixed values, written out a second time so that a wrong entry in the code under test shows.
+RATE_CARD = (
+    ("claude-fable-5", 10.0, 50.0),
+    ("claude-opus-4-8", 5.0, 25.0),
+    ("claude-opus-4-7", 5.0, 25.0),
+    ("claude-opus-4-6", 5.0, 25.0),
+    ("claude-opus-4-5", 5.0, 25.0),
+    ("claude-opus-4-1", 15.0, 75.0),
+    ("claude-opus-4", 15.0, 75.0),
+    ("claude-sonnet-4", 3.0, 15.0),
+    ("claude-haiku-4", 1.0, 5.0),
+    ("claude-3-7-sonnet", 3.0, 15.0),
+    ("claude-3-5-sonnet", 3.0, 15.0),
+    ("claude-3-5-haiku", 0.8, 4.0),
+    ("claude-3-sonnet", 3.0, 15.0),
+    ("claude-3-haiku", 0.25, 1.25),
+    ("claude-3-opus", 15.0, 75.0),
+)
+DEFAULT_RATE = (3.0, 15.0)
+SWEEP = (0.8, 0.81, 0.82, 0.83, 0.84, 0.85, 0.86, 0.87, 0.88, 0.89, 0.9, 0.91, 0.92, 0.93, 0.94, 0.95, 0.96, 0.97, 0.98, 0.99)
+SHORT_SWEEP = (0.9, 0.92, 0.95)
+
 USAGE = """
 usage AS (
   SELECT event_id AS id, CAST(user_id AS VARCHAR) AS session_id, event_type IN ('view','click') AS cache_hit,
