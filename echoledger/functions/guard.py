@@ -6,6 +6,9 @@ checked on those features, as columns here and as matrices in the block kernel.
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 from echoledger.functions.binding import let
@@ -36,17 +39,21 @@ _NEGATED_WORD = rf"^(?:{'|'.join(NEGATING_PREFIXES)})(.+)$"
 # No known prefix starts another, so a word has at most one; only some of them oppose.
 _OPPOSABLE = tuple(p for p in KNOWN_PREFIXES if any(p in pair for pair in OPPOSING_PREFIXES))
 _OPPOSABLE_WORD = rf"^({'|'.join(_OPPOSABLE)})(?=.{{3,}}$)"
-_MAYBE = rf"^(?:{'|'.join(NEGATING_PREFIXES)}).|{_OPPOSABLE_WORD}"
+_STEM, _PREFIX = re.compile(_NEGATED_WORD), re.compile(_OPPOSABLE_WORD)
+#: Words whose opposites are kept, and texts that are read at a time.
+_WORDS, _TEXTS = 1 << 16, 64
 
 
-def _partners(pairs) -> Column:
-    """Literal map: each member of a pair to the members it opposes."""
+def _table(pairs) -> dict[str, list[str]]:
+    """Each member of a pair to the members it opposes."""
     table: dict[str, list[str]] = {}
     for x, y in pairs:
         table.setdefault(x, []).append(y)
         table.setdefault(y, []).append(x)
-    entries = [c for word, others in table.items() for c in (F.lit(word), F.array(*[F.lit(o) for o in others]))]
-    return F.create_map(*entries)
+    return table
+
+
+_SWAPS, _LEXICON = _table(OPPOSING_PREFIXES), _table(OPPOSITES)
 
 
 def has_negation(text: Column) -> Column:
@@ -62,37 +69,6 @@ def only_in(a: Column, b: Column) -> Column:
     return F.array_except(a, b)
 
 
-def opposites_of(word: Column) -> Column:
-    """Words that reverse this one: its stem without a negating prefix, the same stem
-    under an opposing prefix, and its partners in the lexicon."""
-    none = F.array().cast("array<string>")
-    stem = F.regexp_extract(word, _NEGATED_WORD, 1)
-    prefix = F.regexp_extract(word, _OPPOSABLE_WORD, 1)
-    swapped = F.transform(
-        _partners(OPPOSING_PREFIXES)[prefix], lambda p: F.concat(p, F.substring(word, F.length(prefix) + 1, F.length(word)))
-    )
-    lexicon = sorted({w for p in OPPOSITES for w in p})
-    return F.concat(
-        F.when(stem != "", F.array(stem)).otherwise(none),
-        F.when(prefix != "", swapped).otherwise(none),
-        F.when(word.isin(*lexicon), _partners(OPPOSITES)[word]).otherwise(none),
-    )
-
-
-def _hinted(words: Column) -> Column:
-    """Words that can have an opposite at all; a cheap test before the costly one."""
-    lexicon = sorted({w for p in OPPOSITES for w in p})
-    return F.filter(words, lambda w: F.regexp_like(w, F.lit(_MAYBE)) | w.isin(*lexicon))
-
-
-def opposed(words: Column) -> Column:
-    """array<struct(x, y)>: each own word x with an opposite y the text does not use."""
-    pairs = F.flatten(
-        F.transform(_hinted(words), lambda w: F.transform(opposites_of(w), lambda o: F.struct(w.alias("x"), o.alias("y"))))
-    )
-    return F.filter(pairs, lambda p: ~F.array_contains(words, p["y"]))
-
-
 def direction(toks: Column) -> Column:
     """struct(source, target) around the last to/into, skipping articles; NULL without both."""
     n = F.size(toks)
@@ -114,25 +90,64 @@ def direction(toks: Column) -> Column:
     return let(let(F.reverse(toks), from_end), around)
 
 
+def _opposites(word: str) -> tuple[str, ...]:
+    """Words that reverse this one: its stem without a negating prefix, the same stem
+    under an opposing prefix, and its partners in the lexicon."""
+    stem, prefix = _STEM.match(word), _PREFIX.match(word)
+    swapped = [p + word[prefix.end(1):] for p in _SWAPS[prefix[1]]] if prefix else []
+    return (*([stem[1]] if stem else []), *swapped, *_LEXICON.get(word, ()))
+
+
+def _way(toks: list[str]) -> tuple[str | None, str | None]:
+    """What direction gives, for one list of tokens."""
+    at = next((i for i in range(len(toks) - 1, -1, -1) if toks[i] in DIRECTION_WORDS), -1)
+    source = next((toks[i] for i in range(at - 1, -1, -1) if toks[i] not in ARTICLES), None)
+    target = next((toks[i] for i in range(at + 1, len(toks)) if toks[i] not in ARTICLES), None) if at >= 0 else None
+    return (source, target) if source is not None and target is not None else (None, None)
+
+
+_FEATURE_TYPE = pa.struct([
+    ("words", pa.list_(pa.string())), ("opp", pa.list_(pa.struct([("x", pa.string()), ("y", pa.string())]))),
+    ("source", pa.string()), ("target", pa.string())])
+_WORD_FEATURES = "struct<words:array<string>,opp:array<struct<x:string,y:string>>,source:string,target:string>"
+
+
+@F.arrow_udf(_WORD_FEATURES)
+def _word_features(texts: pa.Array) -> pa.Array:
+    """Distinct words, opposed pairs and direction of lower-cased texts: one pass over a text, opposites looked up once a word."""
+    word, known, out = re.compile(r"[a-z0-9]+"), {}, []
+    for start in range(0, len(texts), _TEXTS):
+        some = texts.slice(start, _TEXTS)
+        words, n_words, xs, ys, n_pairs, ways = [], [0], [], [], [0], []
+        for t in some.to_pylist():
+            toks = word.findall(t or "")
+            own = dict.fromkeys(toks)
+            for w in own:
+                if (found := known.get(w)) is None:
+                    if len(known) >= _WORDS:
+                        known.clear()
+                    found = known[w] = _opposites(w)
+                for y in found:
+                    if y not in own:
+                        xs.append(w)
+                        ys.append(y)
+            words.extend(own)
+            n_words.append(len(words))
+            n_pairs.append(len(xs))
+            ways.append(_way(toks))
+        pairs = pa.StructArray.from_arrays([pa.array(xs, pa.string()), pa.array(ys, pa.string())], ["x", "y"])
+        missing = some.is_null()
+        out.append(pa.StructArray.from_arrays([
+            pa.ListArray.from_arrays(pa.array(n_words, pa.int32()), pa.array(words, pa.string()), mask=missing),
+            pa.ListArray.from_arrays(pa.array(n_pairs, pa.int32()), pairs, mask=missing),
+            pa.array([w[0] for w in ways], pa.string()), pa.array([w[1] for w in ways], pa.string())], ["words", "opp", "source", "target"]))
+    return pa.concat_arrays(out) if out else pa.array([], _FEATURE_TYPE)
+
+
 def features(text: Column) -> Column:
     """struct(neg, words, opp, source, target): all the guard needs to know about a text."""
-
-    def of(f: Column) -> Column:
-        return F.struct(
-            f["neg"].alias("neg"),
-            f["words"].alias("words"),
-            opposed(f["words"]).alias("opp"),
-            f["way"]["source"].alias("source"),
-            f["way"]["target"].alias("target"),
-        )
-
-    def read(toks: Column) -> Column:
-        parts = F.struct(
-            has_negation(text).alias("neg"), F.array_distinct(toks).alias("words"), direction(toks).alias("way")
-        )
-        return let(parts, of)
-
-    return let(tokens(text), read)
+    read = _word_features(F.lower(text))
+    return F.struct(has_negation(text).alias("neg"), *[read[c].alias(c) for c in ("words", "opp", "source", "target")])
 
 
 def _opposed_to(a: Column, b: Column) -> Column:

@@ -6,12 +6,15 @@ import hashlib
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 from echoledger.config import DEFAULTS
 from echoledger.functions.binding import let
 
+#: Words whose buckets are kept, and texts that are read at a time.
+_WORDS, _TEXTS = 1 << 16, 64
+
 
 def dot(a: Column, b: Column) -> Column:
     """Double-precision dot product; NULL where lengths differ."""
@@ -34,23 +37,31 @@ def hashed_terms(text: Column, dims: int = DEFAULTS.embedding_dims) -> Column:
     word = re.compile(r"[a-z0-9]+")
 
     class Buckets(dict):
-        """Bucket of each word met; hashed the first time."""
+        """Bucket of each word met; hashed the first time. Starts anew at _WORDS words, so that it does not grow with the rows."""
 
         def __missing__(self, w: str) -> int:
+            if len(self) >= _WORDS:
+                self.clear()
             b = self[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dims
             return b
 
-    @F.pandas_udf("array<double>")
-    def embed(texts: pd.Series) -> pd.Series:
-        of, out = Buckets().__getitem__, []
-        for t in texts:
-            if t is None:
-                out.append(None)
-                continue
-            v = np.bincount(np.fromiter(map(of, word.findall(t)), np.int64), minlength=dims).astype(np.float64)
-            norm = np.sqrt(v @ v)
-            out.append(v / norm if norm > 0 else v)
-        return pd.Series(out)
+    @F.arrow_udf("array<double>")
+    def embed(texts: pa.Array) -> pa.Array:
+        # texts are read a few at a time and vectors written into one buffer: a batch takes its own bytes and those of its vectors
+        of, out = Buckets().__getitem__, np.zeros((len(texts) - texts.null_count, dims))
+        row = 0
+        for start in range(0, len(texts), _TEXTS):
+            for t in texts.slice(start, _TEXTS).to_pylist():
+                if t is None:
+                    continue
+                v = np.bincount(np.fromiter(map(of, word.findall(t)), np.int64), minlength=dims).astype(np.float64)
+                norm = np.sqrt(v @ v)
+                out[row] = v / norm if norm > 0 else v
+                row += 1
+        missing = texts.is_null()
+        ends = np.cumsum(~missing.to_numpy(zero_copy_only=False)) * dims
+        offsets = pa.array(np.concatenate(([0], ends)).astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, pa.array(out.ravel()), mask=missing)
 
     return embed(F.lower(text))
 

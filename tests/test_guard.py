@@ -3,7 +3,7 @@
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from echoledger.functions import guard as G
+from echoledger.functions import guard as G, vectors as V
 from echoledger.operators import similarity as S
 
 GOLDEN = [
@@ -78,3 +78,19 @@ def test_columns_and_block_matrices_agree(spark, pairs):
     n = len(pairs)
     bad = S._conflicts(table.iloc[:n].reset_index(drop=True), table.iloc[n:].reset_index(drop=True))
     assert [not bad[i, i] for i in range(n)] == want
+
+
+def test_features_of_long_batches_with_nulls_stand_in_their_own_rows(spark):
+    texts = [None if i % 7 == 0 else "" if i % 7 == 1 else f"unmap w{i} x{i} into the disk" for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").coalesce(1)
+    got = {r.i: r for r in df.select("i", G.features(F.col("t")).alias("g"), V.hashed_terms(F.col("t")).alias("v")).collect()}
+    assert "ArrowEvalPython" in df.select(G.features(F.col("t")))._jdf.queryExecution().executedPlan().toString()
+    for i, t in enumerate(texts):
+        g, v = got[i].g, got[i].v
+        if t is None:
+            assert g.words is None and g.opp is None and v is None
+        elif t == "":
+            assert g.words == [] and g.opp == [] and len(v) == 384 and not any(v)
+        else:
+            assert g.words == ["unmap", f"w{i}", f"x{i}", "into", "the", "disk"] and [tuple(o) for o in g.opp] == [("unmap", "map")]
+            assert (g.source, g.target) == (f"x{i}", "disk") and abs(sum(x * x for x in v) - 1) < 1e-9
