@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ByteType, DateType, IntegerType, LongType, ShortType, TimestampNTZType, TimestampType
 
-_BEST = "_best_order"
+_BEST, _KEY = "_best_order", "_best_key"
 #: Bits of a row's digest that fit beside one long.
 _DIGEST_BITS = 50
 _WHOLE = (ByteType, ShortType, IntegerType, LongType)
@@ -87,12 +87,14 @@ def latest_rows(rows: DataFrame, key: str, order: list[str]) -> DataFrame | None
         return None
 
     def narrowed(left: DataFrame, packed: Column) -> DataFrame:
-        tagged = left.withColumn(_BEST, packed)
-        best = tagged.groupBy(key).agg(F.max(_BEST).alias(_BEST)).withColumnsRenamed({key: f"{key}_of"})
-        same = F.col(f"l.{key}").eqNullSafe(F.col(f"b.{key}_of")) & (F.col(f"l.{_BEST}") == F.col(f"b.{_BEST}"))
-        return tagged.alias("l").join(best.alias("b"), same, "left_semi").drop(_BEST)
-
-    return reduce(narrowed, passes, rows).distinct()  # equal rows are one
+        # a struct of null equals a struct of null, and rows stay dealt by the very columns that they are joined by
+        tagged = left.withColumn(_KEY, F.struct(key)).withColumn(_BEST, packed)
+        best = tagged.groupBy(_KEY).agg(F.max(_BEST).alias(_BEST))
+        return tagged.join(best, [_KEY, _BEST], "left_semi")
+
+    # equal rows are one: they were dealt by key and order, so that they meet where they are
+    found = reduce(lambda left, packed: narrowed(left.drop(_KEY, _BEST), packed), passes, rows)
+    return found.select(_KEY, _BEST, *[F.col(f"`{c}`") for c in rows.columns]).distinct().drop(_KEY, _BEST)
 
 
 def first_of(requests: DataFrame, key: str, ts: str, id: str) -> DataFrame | None:
