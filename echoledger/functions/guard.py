@@ -115,7 +115,6 @@ _WORD_FEATURES = StructType([
     StructField("source", StringType()), StructField("target", StringType())])
 
 
-@F.arrow_udf(_WORD_FEATURES)
 def _word_features(texts: pa.Array) -> pa.Array:
     """Distinct words, opposed pairs and direction of lower-cased texts: one pass over a text, opposites looked up once a word."""
     word, known, out = re.compile(r"[a-z0-9]+"), {}, []
@@ -149,7 +148,8 @@ def _word_features(texts: pa.Array) -> pa.Array:
 
 def features(text: Column) -> Column:
     """struct(neg, words, opp, source, target): all the guard needs to know about a text."""
-    read = _word_features(F.lower(text))
+    # made here: a module that holds a function of a session cannot be sent to tasks
+    read = F.arrow_udf(_word_features, _WORD_FEATURES)(F.lower(text))
     return F.struct(has_negation(text).alias("neg"), *[read[c].alias(c) for c in ("words", "opp", "source", "target")])
 
 
