@@ -4,14 +4,15 @@ Dimensions are ordered once by falling mass. A vector is posted under its first
 of the rest falls below the threshold, two vectors that share none of their posted dimensions cannot score it
 (the earlier of the two last posted dimensions bounds what they share by that rest, by Cauchy and Schwarz).
 
-A posting list is ordered by the angle between vector and dimension and cut into spans of about a block of rows. Two
-spans meet only where their angles come within the threshold's angle of each other, which no near pair exceeds,
-so a dimension that most vectors share becomes many block pairs and some of them are never formed. Spans of equal
-angles are dealt out by hash.
+A row is packed once, in a block of rows whose first posted dimension and angle to it are alike. What is posted under a
+dimension is the narrow row (block, angle): a posting list is ordered by the angle between vector and dimension and cut
+into spans of about a block of rows. Two spans meet only where their angles come within the threshold's angle of
+each other, which no near pair exceeds, and two blocks are multiplied once if spans of theirs meet in any list.
+No wide row is copied for a posting or a pair: blocks are paired by reading their tables.
 
 The model family is part of the key where it filters: a request with a model meets the list of that model and the
-list of rows without one; a request without a model meets one list of all rows. Pairs that the filter would
-refuse are therefore never multiplied. A pair that shares several posted dimensions counts in the first.
+list of rows without one; a request without a model meets one list of all rows. A block holds rows of one list of models,
+so that pairs that the filter would refuse are not multiplied.
 """
 
 from __future__ import annotations
@@ -23,11 +24,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
 from echoledger.config import DEFAULTS, ReuseConfig
 from echoledger.operators import similarity as S
+from echoledger.session import cut_lineage
 
 #: Lists that models are dealt to, then the list of rows without a model and the list of all rows.
 FAMILIES = 64
@@ -67,16 +67,33 @@ def posted_dimensions(order: np.ndarray, longest: float, threshold: float) -> Ca
     return posted
 
 
+def listed(rows: DataFrame, order: np.ndarray, longest: float, threshold: float, lists: Column) -> DataFrame:
+    """Rows that can reach the threshold, with the places they are posted under, the angles to them and the lists of their model."""
+
+    @F.pandas_udf("array<double>")
+    def angles(vec: pd.Series, posted: pd.Series) -> pd.Series:
+        v = np.stack(vec.to_numpy()).astype(np.float64)
+        v /= np.maximum(np.linalg.norm(v, axis=1), 1e-300)[:, None]
+        return pd.Series([np.arccos(np.clip(x[order[at]], -1.0, 1.0)) for x, at in zip(v, posted)])
+
+    found = rows.withColumn("posted", posted_dimensions(order, longest, threshold)("vec")).where(F.size("posted") > 0)
+    return found.withColumn("angles", angles("vec", "posted")).withColumn("lists", lists)
+
+
+def posted_rows(rows: DataFrame) -> DataFrame:
+    """One row for each posted dimension and family list of listed rows: place, cell, and the angle between vector and dimension."""
+    placed = rows.select("*", F.explode(F.arrays_zip("posted", "angles")).alias("at")).select(
+        "*", F.col("at.posted").alias("place"), F.col("at.angles").alias("angle")).drop("at", "angles")
+    return placed.withColumn("list", F.explode("lists")).withColumn("cell", _cell(F.col("place"), F.col("list"))).drop("list", "lists")
+
+
+def _cell(place: Column, list: Column) -> Column:
+    return place * (FAMILIES + 2) + list
+
+
 def postings(rows: DataFrame, order: np.ndarray, longest: float, threshold: float, lists: Column) -> DataFrame:
-    """One row for each posted dimension and family list: place, cell, and the angle between vector and dimension."""
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    dims = F.array(*[F.lit(int(d)) for d in order])
-    listed = rows.withColumn("posted", posted_dimensions(order, longest, threshold)("vec")).withColumn("norm", norm)
-    placed = listed.where(F.size("posted") > 0).select("*", F.explode("posted").alias("place"))
-    weight = F.get("vec", F.get(dims, F.col("place"))).cast("double") / F.col("norm")
-    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), weight)))
-    return placed.withColumn("angle", angle).withColumn("list", F.explode(lists)).withColumn(
-        "cell", F.col("place") * (FAMILIES + 2) + F.col("list")).drop("norm", "list")
+    """Postings of prepared rows."""
+    return posted_rows(listed(rows, order, longest, threshold, lists))
 
 
 def _family_lists(probe: bool, filtered: bool) -> Column:
@@ -99,48 +116,43 @@ def _spanned(rows: DataFrame, cfg: ReuseConfig) -> DataFrame:
     return rows.join(F.broadcast(cuts), "cell").withColumn("span", F.size(F.filter("cuts", lambda c: c < F.col("angle")))).drop("cuts")
 
 
-def _parts(rows: DataFrame, cfg: ReuseConfig, name: str) -> DataFrame:
-    """Per cell: its spans with their angles and the number of blocks that each is dealt to."""
-    n = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(cfg.block_rows)), F.ceil(F.sum("weight") / F.lit(cfg.block_bytes)), F.lit(1))
-    sized = rows.groupBy("cell", "span").agg(n.cast("int").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high"))
-    return sized.groupBy("cell").agg(F.collect_list(F.struct("span", "n", "low", "high")).alias(name))
+def home_blocks(rows: DataFrame, cfg: ReuseConfig) -> DataFrame:
+    """Deals listed rows to blocks by their first posting: its cell, its span of angles, and by hash where the span has many rows.
 
+    Rows of one block have one first list, and with it the same lists.
+    """
+    first = rows.withColumn("cell", _cell(F.col("posted")[0], F.col("lists")[0])).withColumn("angle", F.col("angles")[0])
+    spanned = _spanned(first, cfg).withColumn("cell", (F.col("cell") * _SPANS + F.col("span")).cast("int")).drop("span", "angle")
+    return S.deal_blocks(spanned, cfg, False)
 
-def block_pairs(store: DataFrame, probe: DataFrame, cfg: ReuseConfig, reach: float) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Postings of both sides with the keys of the block pairs they belong to."""
-    s, p = _spanned(store, cfg), _spanned(probe, cfg)
-    layout = F.broadcast(_parts(s, cfg, "s_parts").join(_parts(p, cfg, "p_parts"), "cell"))
 
-    def placed(rows: DataFrame, own: str, other: str, names: tuple[str, str, str, str]) -> DataFrame:
-        mine, part, their_span, their_part = names
-        me = F.filter(own, lambda x: x["span"] == F.col("span"))[0]
-        rows = rows.join(layout, "cell").withColumn("me", me)
-        met = F.filter(other, lambda x: (x["low"] <= F.col("me.high") + reach) & (F.col("me.low") <= x["high"] + reach))
-        pieces = F.transform(met, lambda x: F.transform(F.sequence(F.lit(0), x["n"] - 1), lambda i: F.struct(x["span"].alias("span"), i.alias("part"))))
-        return (
-            rows.withColumn("to", F.explode(F.flatten(pieces)))
-            .withColumn(part, F.pmod(F.xxhash64("id"), F.col("me.n")).cast("int"))
-            .select("*", F.col("span").alias(mine), F.col("to.span").alias(their_span), F.col("to.part").alias(their_part))
-            .drop("to", "me", "span", "angle", "s_parts", "p_parts")
-        )
+def _placed(rows: DataFrame, cfg: ReuseConfig, block: Column) -> DataFrame:
+    """The blocks that stand in each span of each list, with the least and the largest of their angles there."""
+    at = _spanned(rows.withColumn("block", block), cfg).groupBy("cell", "span", "block")
+    return at.agg(F.min("angle").alias("low"), F.max("angle").alias("high"))
 
-    keys = ["cell", "s_span", "sb", "p_span", "pb"]
-    return placed(s, "s_parts", "p_parts", ("s_span", "sb", "p_span", "pb")), placed(p, "p_parts", "s_parts", ("p_span", "pb", "s_span", "sb")), keys
 
+def block_pairs(store: DataFrame, probe: DataFrame, cfg: ReuseConfig, reach: float, block: Column | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Places of stored and of asked blocks in the lists, each with the keys of the places of the other side that it meets.
 
-def _first_common(pt: pa.Table, st: pa.Table) -> np.ndarray:
-    """Whether the block's dimension is the first that both rows of a pair are posted under."""
-    place = pt["place"][0].as_py()
+    block: the block of a posting's row; by hash of its id where none is given. These rows are narrow, and as many as
+    blocks have places in lists.
+    """
+    keys = ["cell", "s_span", "sb", "p_span", "pb"]
 
-    def earlier(t: pa.Table) -> np.ndarray:
-        lists = t["posted"].combine_chunks()
-        row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
-        at = lists.flatten().to_numpy(zero_copy_only=False)
-        out = np.zeros((len(lists), place), np.float32)
-        out[row[at < place], at[at < place]] = 1
-        return out
+    def of(rows: DataFrame) -> DataFrame:
+        # dealt by hash into about as many blocks as there are in the list
+        n = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(cfg.block_rows)), F.lit(1)).cast("int")
+        if block is not None:
+            return _placed(rows, cfg, block)
+        sized = F.broadcast(rows.groupBy("cell").agg(n.alias("n")))
+        return _placed(rows.join(sized, "cell"), cfg, F.pmod(F.xxhash64("id"), F.col("n")).cast("string"))
 
-    return earlier(pt) @ earlier(st).T == 0
+    s, p = of(store), of(probe)
+    a, b = (d.select("cell", *[F.col(x).alias(f"{side}_{x}") for x in ("span", "block", "low", "high")]) for d, side in ((s, "s"), (p, "p")))
+    near = (F.col("s_low") <= F.col("p_high") + reach) & (F.col("p_low") <= F.col("s_high") + reach)
+    met = a.join(b, "cell").where(near).withColumnsRenamed({"s_block": "sb", "p_block": "pb"})
+    return met.select(*keys, "s_low", "s_high"), met.select(*keys, "p_low", "p_high"), keys
 
 
 def indexed_join(probe: DataFrame, store: DataFrame, spec: S.Spec, cfg: ReuseConfig = DEFAULTS, *, scorer: Callable | None = None,
@@ -156,16 +168,16 @@ def indexed_join(probe: DataFrame, store: DataFrame, spec: S.Spec, cfg: ReuseCon
     order = np.array(sorted(masses, key=lambda d: (-masses[d], d)), np.int64) if masses else np.arange(dims)
     reach = math.acos(max(-1.0, min(1.0, spec.threshold / (longest * longest)))) + _SLACK
     filtered = spec.filters and spec.mode in ("best", "any", "first")
-    s, p = (postings(d, order, longest, spec.threshold, _family_lists(ask, filtered)) for d, ask in ((store, False), (probe, True)))
-    s_blocks, p_blocks, keys = block_pairs(s, p, cfg, reach)
+    # vectors are read once; what follows reads a few columns, and the rows themselves when they are packed
+    s, p = (cut_lineage(listed(d, order, longest, spec.threshold, _family_lists(ask, filtered))) for d, ask in ((store, False), (probe, True)))
+    s, p = (home_blocks(d, cfg) for d in (s, p))
+    s_lists, p_lists = (posted_rows(d.select("id", *S.KEYS, "posted", "angles", "lists").withColumn("home", S.block_name()).drop(*S.KEYS)) for d in (s, p))
+    pairs, _, _ = block_pairs(s_lists, p_lists, cfg, reach, F.col("home"))
+    met = pairs.groupBy(F.col("pb").alias("block")).agg(F.collect_set("sb").alias("meets"))  # names of blocks
+    stored, asked = (S.pack_dealt(d.drop("posted", "angles", "lists")) for d in (s, p))
     schema = S._SCHEMAS[spec.mode].format(p=S._sql_type(probe, "id"), s=S._sql_type(store, "id"))
-    out = to_arrow_schema(StructType.fromDDL(schema))
-
-    def run(stored: pa.Table, asked: pa.Table) -> pa.Table:
-        found = S._block(asked, stored, spec, scorer, _first_common)
-        return out.empty_table() if found is None else pa.Table.from_pandas(found, schema=out, preserve_index=False)
-
-    found = s_blocks.groupBy(*keys).cogroup(p_blocks.groupBy(*keys)).applyInArrow(run, schema)
+    asked = asked.join(F.broadcast(met), "block")
+    found = S.join_blocks(asked, stored, F.array_contains("p.meets", F.col("s.block")), spec, schema, scorer)
     return S.reduce_blocks(found, spec)
 
 
