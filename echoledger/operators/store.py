@@ -133,12 +133,14 @@ def _finished_bases(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(n.split("=")[1]) for n in names if "=" in n and _exists(spark, f"{path}/base/{n}/_SUCCESS"))
 
 
-def write_batch(rows: DataFrame, path: str, batch_id: int, key: str, order: list[str]) -> None:
-    latest_by_key(rows, key, order).write.mode("overwrite").parquet(f"{path}/delta/batch={batch_id}")
+def write_batch(rows: DataFrame, path: str, batch_id: int, key: str, order: list[str], unique: bool = False) -> None:
+    """unique: no two rows share a key, so that none is looked for."""
+    kept = rows if unique else latest_by_key(rows, key, order)
+    kept.write.mode("overwrite").parquet(f"{path}/delta/batch={batch_id}")
 
 
-def read_keyed(spark: SparkSession, path: str, key: str, order: list[str]) -> DataFrame:
-    """Latest row of each key; among equal orders the later batch wins."""
+def read_parts(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the last base and of the batches after it, with their batch; several of a key if batches share keys."""
     bases = _finished_bases(spark, path)
     upto = bases[-1] if bases else -1
     parts = []
@@ -147,10 +149,19 @@ def read_keyed(spark: SparkSession, path: str, key: str, order: list[str]) -> Da
     if _exists(spark, f"{path}/delta"):
         delta = spark.read.option("basePath", f"{path}/delta").parquet(f"{path}/delta")
         parts.append(delta.withColumn("batch", F.col("batch").cast("long")).where(F.col("batch") > upto))
-    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return latest_by_key(rows, key, [*order, "batch"]).drop("batch")
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def read_keyed(spark: SparkSession, path: str, key: str, order: list[str]) -> DataFrame:
+    """Latest row of each key; among equal orders the later batch wins."""
+    return latest_by_key(read_parts(spark, path), key, [*order, "batch"]).drop("batch")
 
 
 def compact(spark: SparkSession, path: str, key: str, order: list[str], upto: int) -> None:
     """Fold deltas into a new base; readers switch once it is complete. Run with no writer active."""
-    read_keyed(spark, path, key, order).write.mode("overwrite").parquet(f"{path}/base/upto={upto}")
+    write_base(read_keyed(spark, path, key, order), path, upto)
+
+
+def write_base(rows: DataFrame, path: str, upto: int) -> None:
+    """A base that stands for the batches up to one."""
+    rows.write.mode("overwrite").parquet(f"{path}/base/upto={upto}")

@@ -437,9 +437,9 @@ def stream_assembly(spark, sf):
     out, ckpt = J.fresh(spark, "assembly")
     folder, _ = J.fresh(spark, "chunks")
     chunks = T.response_chunks(spark, sf)
-    for part in range(4):
-        chunks.where(F.pmod(F.xxhash64("response_id", "seq"), F.lit(4)) == part).coalesce(1).write.mode("append").parquet(folder)
-    CH.run_assembly(J.stream_parquet(spark, folder, files_per_batch=1), out, ckpt)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks.repartition(4 * parts, "response_id", "seq").write.parquet(folder)
+    CH.run_assembly(J.stream_parquet(spark, folder, files_per_batch=_files_of_a_batch(spark, folder, 4)), out, ckpt)
     merged = CH.read_assembled(spark, out).where("ended").withColumn("status", F.lit(200))
     return _message_parts(RS.assembled(RS.complete_only(merged)))
 
@@ -755,14 +755,19 @@ def _usage_stream(spark, sf):
     return cost.with_costs(T.usage_columns(J.stream_parquet(spark, sf, "events.parquet")))
 
 
+def _files_of_a_batch(spark, folder, batches):
+    """Files that one of so many batches reads."""
+    return max(1, -(-len(spark.read.parquet(folder).inputFiles()) // batches))
+
+
 def _backwards(spark, sf):
-    """The usage stream in files of falling time, a file in a batch."""
+    """The usage stream in files of falling time, in four batches however many files there are."""
     folder, _ = J.fresh(spark, "backwards")
     events = T.table(spark, sf, "events")
     for part in range(4):
         quarter = F.floor((F.dayofmonth("ts") - 1) / 8)
         events.where(quarter == 3 - part).write.mode("append").parquet(folder)
-    return cost.with_costs(T.usage_columns(J.stream_parquet(spark, folder, files_per_batch=1)))
+    return cost.with_costs(T.usage_columns(J.stream_parquet(spark, folder, files_per_batch=_files_of_a_batch(spark, folder, 4))))
 
 
 @query

@@ -47,7 +47,7 @@ def counts_sink(path: str, count: Callable[[DataFrame], DataFrame], *keys: str)
 
     def sink(rows: DataFrame, batch_id: int) -> None:
         part = count(rows).withColumn("batch", F.lit(batch_id)).withColumn("cell", F.concat_ws("|", F.lit(batch_id), *keys))
-        K.write_batch(part, path, batch_id, "cell", ["batch"])
+        K.write_batch(cut_lineage(part), path, batch_id, "cell", ["batch"])  # read twice: counted once
 
     return sink
 
@@ -61,9 +61,14 @@ def session_histogram(usage: DataFrame) -> DataFrame:
     )
 
 
+def folded_histogram(parts: DataFrame) -> DataFrame:
+    """The histogram of all batches."""
+    return parts.groupBy("session_id", "latency_ms").agg(*[F.sum(c).alias(c) for c in ("n_calls", "n_hits", "cost_usd")])
+
+
 def metrics_of_histogram(parts: DataFrame) -> DataFrame:
     """Session metrics out of the batches' histograms."""
-    cells = parts.groupBy("session_id", "latency_ms").agg(*[F.sum(c).alias(c) for c in ("n_calls", "n_hits", "cost_usd")])
+    cells = folded_histogram(parts)
     totals = cells.groupBy("session_id").agg(
         F.round(F.sum("cost_usd"), 6).alias("cost_usd"),
         F.round(F.sum("n_hits") / F.sum("n_calls"), 6).alias("hit_rate"),
@@ -84,6 +89,8 @@ def run_metric_rows(usage: DataFrame, path: str, checkpoint: str, cfg: ReuseConf
                     compact_every: int = 16):
     """Metric rows (run, metric, value) of the sessions that each micro-batch touches, written when it ends.
 
+    The counts of different batches have different cells, so they are summed as they lie; a base holds one row for each session and latency.
+
     timed: one batch every flush_interval_s; the last one is written before the query stops, so that nothing waits for a flush.
     The batches' counts are folded into one base every compact_every batches.
     """
@@ -93,11 +100,12 @@ def run_metric_rows(usage: DataFrame, path: str, checkpoint: str, cfg: ReuseConf
     def sink(rows: DataFrame, batch_id: int) -> None:
         rows = cut_lineage(rows.select("session_id", "latency_ms", "cache_hit", "cost_usd"))
         counts(rows, batch_id)
-        touched = K.read_keyed(spark, counts_path, "cell", ["batch"]).join(rows.select("session_id").distinct(), "session_id", "left_semi")
+        touched = K.read_parts(spark, counts_path).join(rows.select("session_id").distinct(), "session_id", "left_semi")
         made = A.metric_rows(metrics_of_histogram(touched)).withColumn("batch", F.lit(batch_id))
-        K.write_batch(made.withColumn("cell", F.concat_ws("|", "run", "metric")), f"{path}/rows", batch_id, "cell", ["batch"])
+        K.write_batch(made.withColumn("cell", F.concat_ws("|", "run", "metric")), f"{path}/rows", batch_id, "cell", ["batch"], unique=True)
         if batch_id % compact_every == compact_every - 1:
-            K.compact(spark, counts_path, "cell", ["batch"], batch_id)
+            folded = folded_histogram(K.read_parts(spark, counts_path)).withColumn("cell", F.concat_ws("|", "session_id", "latency_ms"))
+            K.write_base(folded, counts_path, batch_id)
             K.compact(spark, f"{path}/rows", "cell", ["batch"], batch_id)
 
     return run(usage, sink, checkpoint, every=every or (f"{cfg.flush_interval_s} seconds" if timed else None))
@@ -108,7 +116,7 @@ def read_metric_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_session_metrics(spark: SparkSession, path: str) -> DataFrame:
-    return metrics_of_histogram(K.read_keyed(spark, path, "cell", ["batch"]))
+    return metrics_of_histogram(K.read_parts(spark, path))
 
 
 # ---------------------------------------------------------------- ingest, daily series, tail

@@ -249,3 +249,30 @@ def test_chunks_in_any_order_and_responses_that_never_end(spark, tmp_path):
     got = {r.response_id: (r.raw, r.ended) for r in CH.read_assembled(spark, out).collect()}
     assert got["late"] == ("z", True) and got["r3"][1] is False
     assert all(got[r] == (text, True) for r, text in whole.items() if r not in ("r3", "r5") and got[r][1])
+
+
+def test_a_base_of_counts_holds_a_session_and_latency_once(spark, tmp_path):
+    """Batches are summed as they lie, and what they are folded into does not grow with their number."""
+    path = str(tmp_path / "counts")
+    rows = spark.createDataFrame([("a", 5, True, 1.0), ("a", 5, False, 2.0), ("b", 7, True, 4.0)],
+                                 "session_id string, latency_ms int, cache_hit boolean, cost_usd double")
+    sink = J.counts_sink(path, J.session_histogram, "session_id", "latency_ms")
+    for batch in range(3):
+        sink(rows, batch)
+        sink(rows, batch)  # a repeated batch replaces its own
+    assert K.read_parts(spark, path).count() == 6
+    before = sorted(map(tuple, J.read_session_metrics(spark, path).collect()))
+    folded = J.folded_histogram(K.read_parts(spark, path)).withColumn("cell", F.concat_ws("|", "session_id", "latency_ms"))
+    K.write_base(folded, path, 2)
+    assert K.read_parts(spark, path).count() == 2
+    assert sorted(map(tuple, J.read_session_metrics(spark, path).collect())) == before
+    sink(rows, 3)
+    assert {r.session_id: r.total_calls for r in J.read_session_metrics(spark, path).collect()} == {"a": 8, "b": 4}
+
+
+def test_files_of_a_batch_follow_the_number_of_files(spark, tmp_path):
+    from echoledger.plans.queries import _files_of_a_batch
+
+    for n, want in ((4, 1), (9, 3)):
+        spark.range(90).repartition(n).write.parquet(str(tmp_path / str(n)))
+        assert _files_of_a_batch(spark, str(tmp_path / str(n)), 4) == want
