@@ -276,3 +276,16 @@ def test_files_of_a_batch_follow_the_number_of_files(spark, tmp_path):
     for n, want in ((4, 1), (9, 3)):
         spark.range(90).repartition(n).write.parquet(str(tmp_path / str(n)))
         assert _files_of_a_batch(spark, str(tmp_path / str(n)), 4) == want
+
+
+def test_assembly_works_through_its_state_once_a_batch(spark, tmp_path, monkeypatch):
+    """The rows that the sink looks through for the latest of a key come from a table, not from the stateful operator."""
+    plans = []
+    write = K.write_batch
+    monkeypatch.setattr(K, "write_batch", lambda rows, *a, **k: (plans.append(rows._jdf.queryExecution().logical().toString()), write(rows, *a, **k)))
+    rows = [("r", 0, "a", False), ("r", 1, "b", True)]
+    path, out, ckpt = (str(tmp_path / x) for x in ("in", "out", "ckpt"))
+    spark.createDataFrame(rows, "response_id string, seq long, data string, last boolean").coalesce(1).write.parquet(path)
+    CH.run_assembly(J.stream_parquet(spark, path), out, ckpt)
+    assert plans and not any("TransformWithState" in p or "RDD" in p for p in plans)
+    assert [(r.raw, r.ended) for r in CH.read_assembled(spark, out).collect()] == [("ab", True)]
