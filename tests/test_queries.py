@@ -28,3 +28,25 @@ def test_every_sql_has_its_query():
 
 def test_entry(spark):
     assert entry(spark).count() > 0
+
+
+def test_queries_hold_arrow_batches_small(spark):
+    """A worker holds one batch, so its rows must not grow with those of a partition; a smaller setting stays."""
+    from echoledger.plans.queries import query, QUERIES
+    from echoledger.session import BATCH_ROWS
+
+    name, before = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    def probe_of_batches(spark, sf):
+        return int(spark.conf.get(name))
+
+    try:
+        run = query(probe_of_batches)
+        seen = []
+        for given in (10_000, 0, 7):
+            spark.conf.set(name, given)
+            seen.append(run(spark, ""))
+        assert seen == [BATCH_ROWS, BATCH_ROWS, 7]
+    finally:
+        QUERIES.pop("probe_of_batches")
+        spark.conf.set(name, before)
