@@ -36,7 +36,10 @@ OPPOSITES = (
 )
 
 _EDGE = r"[^\p{L}\p{N}_]"
-NEGATION_PATTERN = rf"(^|{_EDGE})({'|'.join(NEGATIONS)})({_EDGE}|$)|n't"
+# one letter beyond 16 bits is written out: without it Java looks back by half of such a letter
+_INNER = "[\\p{L}\\p{N}_\U00010000]"
+# the first letter is looked at before anything else, as most places of a text have another
+NEGATION_PATTERN = rf"(?=[{''.join(sorted({w[0] for w in NEGATIONS}))}])(?:(?<!{_INNER})(?:{'|'.join(NEGATIONS)})(?!{_INNER})|n't)"
 _NEGATED_WORD = rf"^(?:{'|'.join(NEGATING_PREFIXES)})(.+)$"
 # No known prefix starts another, so a word has at most one; only some of them oppose.
 _OPPOSABLE = tuple(p for p in KNOWN_PREFIXES if any(p in pair for pair in OPPOSING_PREFIXES))

@@ -94,3 +94,12 @@ def test_features_of_long_batches_with_nulls_stand_in_their_own_rows(spark):
         else:
             assert g.words == ["unmap", f"w{i}", f"x{i}", "into", "the", "disk"] and [tuple(o) for o in g.opp] == [("unmap", "map"), ("disk", "k")]
             assert (g.source, g.target) == (f"x{i}", "disk") and abs(sum(x * x for x in v) - 1) < 1e-9
+
+
+def test_negation_looks_at_first_letters_and_finds_what_the_plain_form_finds(spark):
+    plain = rf"(^|{G._EDGE})({'|'.join(G.NEGATIONS)})({G._EDGE}|$)|n't"
+    ends = ["", " ", "\n", "\r\n", "_", "é", "1", "-", "\U0001d400", "\U0001f600", "x"]
+    texts = [a + w + b for w in (*G.NEGATIONS, "nono", "isn't", "noté") for a in ends for b in ends]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert rows.where(G.has_negation(F.col("t")) != F.regexp_like(F.lower("t"), F.lit(plain))).count() == 0
+    assert G.NEGATION_PATTERN.startswith("(?=[cnw])")
