@@ -14,9 +14,12 @@ from echoledger.functions import canonical as C, responses as R, vectors as V
 from echoledger.operators import requests as Q, winners
 
 
-def latest_by_key(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Last write wins per key, folded before the shuffle so a hot key stays cheap."""
-    if (narrow := winners.latest_rows(rows, key, order)) is not None:
+def latest_by_key(rows: DataFrame, key: str, order: list[str], again: bool = False) -> DataFrame:
+    """Last write wins per key, folded before the shuffle so a hot key stays cheap.
+
+    again: the rows can be read again at little cost, so that those whose key stands once stay where they are.
+    """
+    if (narrow := winners.latest_rows(rows, key, order, again)) is not None:
         return narrow
     others = [c for c in rows.columns if c != key]
     last = rows.groupBy(key).agg(F.max_by(F.struct(*others), F.struct(*order)).alias("r"))
@@ -133,10 +136,10 @@ def _finished_bases(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(n.split("=")[1]) for n in names if "=" in n and _exists(spark, f"{path}/base/{n}/_SUCCESS"))
 
 
-def write_batch(rows: DataFrame, path: str, batch_id: int, key: str, order: list[str], unique: bool = False) -> None:
-    """unique: no two rows share a key, so that none is looked for."""
-    kept = rows if unique else latest_by_key(rows, key, order)
-    kept.write.mode("overwrite").parquet(f"{path}/delta/batch={batch_id}")
+def write_batch(rows: DataFrame, path: str, batch_id: int, key: str, order: list[str], unique: bool = False, again: bool = False) -> None:
+    """unique: no two rows share a key, so that none is looked for. again: as for latest_by_key."""
+    kept = rows if unique else latest_by_key(rows, key, order, again)
+    kept.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/delta/batch={batch_id}")
 
 
 def read_parts(spark: SparkSession, path: str) -> DataFrame:
@@ -154,7 +157,7 @@ def read_parts(spark: SparkSession, path: str) -> DataFrame:
 
 def read_keyed(spark: SparkSession, path: str, key: str, order: list[str]) -> DataFrame:
     """Latest row of each key; among equal orders the later batch wins."""
-    return latest_by_key(read_parts(spark, path), key, [*order, "batch"]).drop("batch")
+    return latest_by_key(read_parts(spark, path), key, [*order, "batch"], again=True).drop("batch")
 
 
 def compact(spark: SparkSession, path: str, key: str, order: list[str], upto: int) -> None:
@@ -164,4 +167,4 @@ def compact(spark: SparkSession, path: str, key: str, order: list[str], upto: in
 
 def write_base(rows: DataFrame, path: str, upto: int) -> None:
     """A base that stands for the batches up to one."""
-    rows.write.mode("overwrite").parquet(f"{path}/base/upto={upto}")
+    rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/base/upto={upto}")

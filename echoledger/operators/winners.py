@@ -12,7 +12,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ByteType, DateType, IntegerType, LongType, ShortType, TimestampNTZType, TimestampType
 
-_BEST, _KEY = "_best_order", "_best_key"
+from echoledger.session import cut_lineage
+
+_BEST, _KEY, _HASH = "_best_order", "_best_key", "_key_hash"
+#: Hashes of repeated keys, of eight bytes each, that are sent to every task at most.
+_REPEATED = 1 << 19
 #: Bits of a row's digest that fit beside one long.
 _DIGEST_BITS = 50
 _WHOLE = (ByteType, ShortType, IntegerType, LongType)
@@ -79,12 +83,38 @@ def _passes(rows: DataFrame, order: list[str]) -> list[Column] | None:
     return [*out, pack_long(digest, F.lit(0), 0)]
 
 
-def latest_rows(rows: DataFrame, key: str, order: list[str]) -> DataFrame | None:
+def apart(rows: DataFrame, key: str, among: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None] | None:
+    """(rows whose key stands once, the others or None); None where too many keys repeat for their hashes to be sent to all tasks.
+
+    For rows that can be read again at little cost: their keys are counted first, by hash, and neither part moves. A key that
+    shares its hash with another one is among the others. Null is a key of its own. among: further keys that count as well.
+    """
+    if "collate" in rows.schema[key].dataType.simpleString():  # equal keys of different bytes
+        return None
+    hashed = F.xxhash64(F.col(f"`{key}`"))
+    keys = rows.select(f"`{key}`") if among is None else rows.select(f"`{key}`").unionAll(among.select(f"`{key}`"))
+    repeated = cut_lineage(keys.groupBy(hashed.alias(_HASH)).count().where("count > 1").select(_HASH))
+    n = repeated.count()
+    if n > _REPEATED:
+        return None
+    if not n:
+        return rows, None
+    marked = rows.withColumn(_HASH, hashed)
+    return tuple(marked.join(F.broadcast(repeated), _HASH, how).drop(_HASH) for how in ("left_anti", "left_semi"))
+
+
+def latest_rows(rows: DataFrame, key: str, order: list[str], again: bool = False) -> DataFrame | None:
     """The row of each key that comes last in `order` (nulls first, ties by a digest of the row); None for orders that no
-    number can hold and for rows that cannot be compared. Null is a key of its own."""
+    number can hold and for rows that cannot be compared. Null is a key of its own.
+
+    again: the rows can be read again at little cost, as those of a table, so that rows whose key stands once do not move.
+    """
     passes = _passes(rows, order)
     if passes is None:
         return None
+    if again and (parts := apart(rows, key)) is not None:
+        one, several = parts
+        return one if several is None else one.unionByName(latest_rows(several, key, order))
 
     def narrowed(left: DataFrame, packed: Column) -> DataFrame:
         # a struct of null equals a struct of null, and rows stay dealt by the very columns that they are joined by

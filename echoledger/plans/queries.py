@@ -83,7 +83,7 @@ def stored_documents(spark: SparkSession, sf: str) -> DataFrame:
             F.struct(F.length("embed_text").alias("input_tokens"), (F.col("request_id") % 97).alias("output_tokens")).alias("usage"),
         )
     )
-    oldest = K.latest_by_key(log.withColumn("age", -F.col("request_id")), "prompt_hash", ["age"]).drop("age")
+    oldest = K.latest_by_key(log.withColumn("age", -F.col("request_id")), "prompt_hash", ["age"], again=True).drop("age")
     rows = K.store_rows(oldest.withColumn("response_json", answer))
     return rows.withColumn("doc", (F.unix_seconds("created_at") - 1_704_067_200))
 
@@ -843,7 +843,7 @@ def stream_drain(spark, sf):
 def stream_propagation(spark, sf):
     out, ckpt = J.fresh(spark, "propagation")
     store_dir, _ = J.fresh(spark, "store")
-    stored_documents(spark, sf).write.parquet(store_dir)
+    stored_documents(spark, sf).write.option("compression", "zstd").parquet(store_dir)
     J.run_propagation(J.stream_parquet(spark, store_dir), out, ckpt)
     rows = K.read_keyed(spark, out, "id", ["changed_at"])
     return rows.select((F.unix_seconds("changed_at") - 1_704_067_200).alias("id"), "model")

@@ -212,6 +212,25 @@ def test_narrow_winners(spark):
     assert got == {k: (*min(v), len(v)) for k, v in want.items()}
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_whose_key_stands_once_do_not_move(spark, tmp_path, monkeypatch):
+    """A keyed table without repeated keys is written and read without a shuffle of its rows; repeated ones are folded as ever."""
+    rows = spark.createDataFrame([(f"k{i}", i, "wide " * 50) for i in range(40)], "id string, seq long, payload string")
+    K.write_batch(rows, str(tmp_path), 0, "id", ["seq"])
+    assert "Exchange" not in plan(K.read_keyed(spark, str(tmp_path), "id", ["seq"]))
+    more = [("k1", 90, "new"), ("k1", 80, "old"), (None, None, "a"), (None, 3, "b"), (None, 3, "b"), ("k2", -1, "late"), ("lone", None, None)]
+    K.write_batch(spark.createDataFrame(more, rows.schema), str(tmp_path), 1, "id", ["seq"], again=True)
+    want = {(r.id, r.seq, r.payload) for r in rows.collect()} - {("k1", 1, "wide " * 50)} | {("k1", 90, "new"), (None, 3, "b"), ("lone", None, None)}
+    found = [tuple(r) for r in K.read_keyed(spark, str(tmp_path), "id", ["seq"]).collect()]
+    assert len(found) == len(want) and set(found) == want
+    monkeypatch.setattr(W, "_REPEATED", 0)  # more repeated keys than may be sent: all rows go by the key
+    assert set(map(tuple, K.read_keyed(spark, str(tmp_path), "id", ["seq"]).collect())) == want
+    assert W.apart(rows.unionByName(rows), "id") is None
+
+
 def test_change_feed_and_its_application(spark):
     kind = "id string, a string, b long"
     old = spark.createDataFrame([("x", "1", 1), ("y", "1", None), ("z", None, 3), (None, "n", 1), ("same", None, None)], kind)
