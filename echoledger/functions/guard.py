@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from echoledger.functions.binding import let
+from echoledger.functions.words import Known, words_of
 
 # Words, prefixes and pairs that results depend on.
 NEGATIONS = ("not", "no", "never", "without", "cannot", "none", "non")
@@ -45,8 +46,8 @@ _NEGATED_WORD = rf"^(?:{'|'.join(NEGATING_PREFIXES)})(.+)$"
 _OPPOSABLE = tuple(p for p in KNOWN_PREFIXES if any(p in pair for pair in OPPOSING_PREFIXES))
 _OPPOSABLE_WORD = rf"^({'|'.join(_OPPOSABLE)})(?=.{{3,}}$)"
 _STEM, _PREFIX = re.compile(_NEGATED_WORD), re.compile(_OPPOSABLE_WORD)
-#: Words whose opposites are kept, and texts that are read at a time.
-_WORDS, _TEXTS = 1 << 16, 64
+#: Texts that are read at a time.
+_TEXTS = 64
 
 
 def _table(pairs) -> dict[str, list[str]]:
@@ -98,16 +99,19 @@ def direction(toks: Column) -> Column:
 def _opposites(word: str) -> tuple[str, ...]:
     """Words that reverse this one: its stem without a negating prefix, the same stem
     under an opposing prefix, and its partners in the lexicon."""
-    stem, prefix = _STEM.match(word), _PREFIX.match(word)
+    stem = _STEM.match(word) if word.startswith(NEGATING_PREFIXES) else None
+    prefix = _PREFIX.match(word) if word.startswith(_OPPOSABLE) else None
     swapped = [p + word[prefix.end(1):] for p in _SWAPS[prefix[1]]] if prefix else []
     return (*([stem[1]] if stem else []), *swapped, *_LEXICON.get(word, ()))
 
 
-def _way(toks: list[str]) -> tuple[str | None, str | None]:
-    """What direction gives, for one list of tokens."""
+def _way(toks: list[str], own: dict[str, None]) -> tuple[str | None, str | None]:
+    """What direction gives, for one list of tokens and its distinct words."""
+    if not any(w in own for w in DIRECTION_WORDS):
+        return None, None
     at = next((i for i in range(len(toks) - 1, -1, -1) if toks[i] in DIRECTION_WORDS), -1)
     source = next((toks[i] for i in range(at - 1, -1, -1) if toks[i] not in ARTICLES), None)
-    target = next((toks[i] for i in range(at + 1, len(toks)) if toks[i] not in ARTICLES), None) if at >= 0 else None
+    target = next((toks[i] for i in range(at + 1, len(toks)) if toks[i] not in ARTICLES), None)
     return (source, target) if source is not None and target is not None else (None, None)
 
 
@@ -120,18 +124,14 @@ _WORD_FEATURES = StructType([
 
 def _word_features(texts: pa.Array) -> pa.Array:
     """Distinct words, opposed pairs and direction of lower-cased texts: one pass over a text, opposites looked up once a word."""
-    word, known, out = re.compile(r"[a-z0-9]+"), {}, []
+    known, out = Known(_opposites), []
     for start in range(0, len(texts), _TEXTS):
         some = texts.slice(start, _TEXTS)
         words, n_words, xs, ys, n_pairs, ways = [], [0], [], [], [0], []
         for t in some.to_pylist():
-            toks = word.findall(t or "")
+            toks = words_of(t or "")
             own = dict.fromkeys(toks)
-            for w in own:
-                if (found := known.get(w)) is None:
-                    if len(known) >= _WORDS:
-                        known.clear()
-                    found = known[w] = _opposites(w)
+            for w, found in zip(own, map(known.__getitem__, own)):
                 for y in found:
                     if y not in own:
                         xs.append(w)
@@ -139,7 +139,7 @@ def _word_features(texts: pa.Array) -> pa.Array:
             words.extend(own)
             n_words.append(len(words))
             n_pairs.append(len(xs))
-            ways.append(_way(toks))
+            ways.append(_way(toks, own))
         pairs = pa.StructArray.from_arrays([pa.array(xs, pa.string()), pa.array(ys, pa.string())], ["x", "y"])
         missing = some.is_null()
         out.append(pa.StructArray.from_arrays([

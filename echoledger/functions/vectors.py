@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +10,10 @@ from pyspark.sql import Column, functions as F
 
 from echoledger.config import DEFAULTS
 from echoledger.functions.binding import let
+from echoledger.functions.words import Known, words_of
 
-#: Words whose buckets are kept, and texts that are read at a time.
-_WORDS, _TEXTS = 1 << 16, 64
+#: Texts that are read at a time.
+_TEXTS = 64
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -34,27 +34,20 @@ def hashed_terms(text: Column, dims: int = DEFAULTS.embedding_dims) -> Column:
     A word falls into the bucket given by the first 32 bits of its MD5. Rows are
     independent, so this runs as one Arrow pass with no shuffle.
     """
-    word = re.compile(r"[a-z0-9]+")
 
-    class Buckets(dict):
-        """Bucket of each word met; hashed the first time. Starts anew at _WORDS words, so that it does not grow with the rows."""
-
-        def __missing__(self, w: str) -> int:
-            if len(self) >= _WORDS:
-                self.clear()
-            b = self[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dims
-            return b
+    def bucket(word: str) -> int:
+        return int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big") % dims
 
     @F.arrow_udf("array<double>")
     def embed(texts: pa.Array) -> pa.Array:
         # texts are read a few at a time and vectors written into one buffer: a batch takes its own bytes and those of its vectors
-        of, out = Buckets().__getitem__, np.zeros((len(texts) - texts.null_count, dims))
+        of, out = Known(bucket).__getitem__, np.zeros((len(texts) - texts.null_count, dims))
         row = 0
         for start in range(0, len(texts), _TEXTS):
             for t in texts.slice(start, _TEXTS).to_pylist():
                 if t is None:
                     continue
-                v = np.bincount(np.fromiter(map(of, word.findall(t)), np.int64), minlength=dims).astype(np.float64)
+                v = np.bincount(np.fromiter(map(of, words_of(t)), np.int64), minlength=dims).astype(np.float64)
                 norm = np.sqrt(v @ v)
                 out[row] = v / norm if norm > 0 else v
                 row += 1

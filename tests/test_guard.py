@@ -1,5 +1,9 @@
 """Polarity guard: hand-made pairs, symmetry, and agreement of its two forms."""
 
+import random
+import re
+
+import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -103,3 +107,28 @@ def test_negation_looks_at_first_letters_and_finds_what_the_plain_form_finds(spa
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
     assert rows.where(G.has_negation(F.col("t")) != F.regexp_like(F.lower("t"), F.lit(plain))).count() == 0
     assert G.NEGATION_PATTERN.startswith("(?=[cnw])")
+
+
+def test_words_are_read_without_a_regex():
+    """Words and directions of any text are those of the pattern [a-z0-9]+, letters beyond ASCII and odd bytes included."""
+    from echoledger.functions.words import words_of
+
+    rnd = random.Random(8)
+    for _ in range(300):
+        text = "".join(rnd.choice("abz09AZ _-'\n\t\x00\x1c\x85\u00a0\u2028é\u0131ß漢\U0001f600") for _ in range(rnd.randrange(40)))
+        assert words_of(text) == re.findall(r"[a-z0-9]+", text)
+    texts = ["", "from a the b to the c", "to c", "b into", "x to y into a z", "the to the", None]
+    got = G._word_features(pa.array(texts)).to_pylist()
+    assert [(g["source"], g["target"]) for g in got] == [(None, None), ("b", "c"), (None, None), (None, None), ("y", "z"), (None, None), (None, None)]
+    assert [g["words"] for g in got[:3]] == [[], ["from", "a", "the", "b", "to", "c"], ["to", "c"]] and got[-1]["words"] is None
+
+
+def test_known_words_are_made_once_and_bounded(monkeypatch):
+    from echoledger.functions import words
+
+    monkeypatch.setattr(words, "_WORDS", 100)
+    made = []
+    known = words.Known(lambda w: made.append(w) or w.upper())
+    for i in range(1000):
+        assert known[f"w{i}"] == known[f"w{i}"] == f"W{i}" and len(known) <= 100
+    assert len(made) == 1000
