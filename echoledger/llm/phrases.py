@@ -10,7 +10,7 @@ Counts of shards are summed in three rounds, each keeping what the next one need
 3. triples and quadruples of which every pair has remained, by a further extension to either side.
 
 A key has one row for each shard that holds it, so no key is hot, whatever the share of a word or a language.
-Keys are numbers of the shard and place where a word or pair was first numbered, never hashes: sums are exact.
+Keys are numbers, of the shard and place of a word and of the task and row of a pair that has remained, never hashes: sums are exact.
 
 Defined cases. Null texts are empty, null languages `und`. A text of any length is read in steps; a piece that is longer than
 a shard goes on in the next one with its last three words, whose own phrases that shard takes off again. Repeated rows
@@ -285,17 +285,16 @@ def shards_of(docs: DataFrame, shard_words: int = SHARD_WORDS, step_bytes: int =
 
 
 def _summed(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
-    """Rows (id, c, keys) whose keys reach `least` over all shards, with the sum f and the first id of the key.
+    """Rows (c, keys and others) whose keys reach `least` over all shards, with the sum f.
 
     A key has at most one row a shard, so that its rows can be summed where they are sorted.
     """
-    own = Window.partitionBy(*keys)
-    return rows.withColumn("f", F.sum("c").over(own)).where(F.col("f") >= least).withColumn("key_id", F.min("id").over(own))
+    return rows.withColumn("f", F.sum("c").over(Window.partitionBy(*keys))).where(F.col("f") >= least)
 
 
 def _by_shard(rows: DataFrame, *columns: str) -> DataFrame:
     """One list for each shard, of what remained in it."""
-    return rows.groupBy(F.shiftright("id", BITS).alias("shard")).agg(F.collect_list(F.struct(*columns)).alias("remaining"))
+    return rows.groupBy("shard").agg(F.collect_list(F.struct(*columns)).alias("remaining"))
 
 
 def _columns_of(column: pa.Array, row: int) -> list[np.ndarray]:
@@ -337,7 +336,8 @@ def _take_off(keys: list[np.ndarray], counts: np.ndarray, size: int, phrase: tup
         counts[np.logical_and.reduce([k == p for k, p in zip(keys, phrase)])] -= 1
 
 
-PAIRS = "left bigint, right bigint, id bigint, c bigint"
+# the shard stands in every row of a run, and so takes next to nothing in a shuffle; a pair is numbered once it has remained
+PAIRS = "left bigint, right bigint, shard bigint, c bigint"
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,7 +353,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for pair in zip(first, first[1:]):
                 _take_off([left, right], count, index.size, pair)
             names = ids.slice(k, 1).flatten().to_numpy()
-            columns = [names[left - 1], names[right - 1], (shard[k].as_py() << BITS) + np.arange(len(left)), count]
+            columns = [names[left - 1], names[right - 1], np.full(len(left), shard[k].as_py()), count]
             for i in range(0, len(left), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)], pa.int64()) for c in columns], [f.split()[0] for f in PAIRS.split(", ")])
 
@@ -433,13 +433,17 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, shard_words: int = SHARD_
     languages = tables.keep(shards.groupBy("lang").agg(F.sum("n").alias("n")), "languages")
     counted = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("k", "w")).select(
         "lang", F.col("w.words").alias("word"), F.col("w.counts").alias("c"), (F.shiftleft("shard", BITS) + F.col("k") + 1).alias("id"))
-    seen = tables.keep(_summed(counted, ["lang", "word"], least).select(
+    summed = _summed(counted, ["lang", "word"], least).withColumn("key_id", F.min("id").over(Window.partitionBy("lang", "word")))
+    seen = tables.keep(summed.select(
         "id", "key_id", F.when(F.col("id") == F.col("key_id"), F.struct("lang", "word", "f")).alias("own")), "words")
-    mine = seen.select("id", F.col("id").bitwiseAND((1 << BITS) - 1).cast("int").alias("k"), "key_id")
+    mine = seen.select(F.shiftright("id", BITS).alias("shard"), F.col("id").bitwiseAND((1 << BITS) - 1).cast("int").alias("k"), "key_id")
     narrowed = tables.keep(
         shards.select("shard", "carried", "seq").join(_by_shard(mine, "k", "key_id"), "shard").mapInArrow(_narrowed, NARROWED), "narrowed")
     tables.drop(shards)
-    pairs = tables.keep(_summed(narrowed.mapInArrow(_pairs, PAIRS), ["left", "right"], least).select("id", "key_id", "left", "right", "f"), "pairs")
+    # numbers of the rows of a task, of which a pair takes its least one; they are fixed by being written
+    pairs = _summed(narrowed.mapInArrow(_pairs, PAIRS), ["left", "right"], least).withColumn("id", F.monotonically_increasing_id())
+    pairs = pairs.withColumn("key_id", F.min("id").over(Window.partitionBy("left", "right")))
+    pairs = tables.keep(pairs.select("shard", "id", "key_id", "left", "right", "f"), "pairs")
     longer = (
         narrowed.join(_by_shard(pairs, "left", "right", "key_id"), "shard").select("head", "ids", "seq", "remaining").mapInArrow(_longer, LONGER)
         .groupBy("p", "q", "r").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
