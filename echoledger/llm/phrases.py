@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from echoledger.llm.shared import LOWER, SPACES, Tables, documents_of, text_buffer, words
+from echoledger.llm.shared import LOWER, SPACES, Tables, documents_of, settings, text_buffer, words
 
 #: Least count of a phrase, most words of one, phrases for each language, and the share of a part that drops it.
 LEAST, DEPTH, MOST, COVERED = 30, 4, 2000, 80
@@ -457,7 +457,9 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, shard_words: int = SHARD_
 def collocations(docs: DataFrame, least: int = LEAST, most: int = MOST, covered: int = COVERED, shard_words: int = SHARD_WORDS,
                  step_bytes: int = STEP_BYTES) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first `most` phrases of each language."""
-    words_left, pairs, longer, languages = phrase_counts(docs, least, shard_words, step_bytes)
+    # every step ends in a table, after which Spark may delete the step's shuffles
+    with settings(docs.sparkSession, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        words_left, pairs, longer, languages = phrase_counts(docs, least, shard_words, step_bytes)
     w = words_left.select("key_id", "lang", "word", "f")
     two = (
         pairs.withColumnRenamed("f", "a").withColumnRenamed("key_id", "pair")

@@ -103,3 +103,16 @@ def test_scores_pass_64_bits(spark):
 def test_empty_tables(spark):
     for rows in ([], [(1, None, None)], [(1, "one two", "en")]):
         assert phrases.collocations(spark.createDataFrame(rows, COLUMNS)).count() == 0
+
+
+def test_each_step_deletes_its_shuffles(spark, monkeypatch):
+    """Tables are counted while Spark deletes the shuffles of a step that has been written; the session's own setting comes back."""
+    from echoledger.llm import phrases
+
+    name, seen, keep = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", [], phrases.Tables.keep
+    before = spark.conf.get(name, None)
+    monkeypatch.setattr(phrases.Tables, "keep", lambda self, df, label: seen.append((label, spark.conf.get(name, None))) or keep(self, df, label))
+    docs = spark.createDataFrame([(i, "one two three four", "en") for i in range(40)], "doc_id long, text string, lang string")
+    found = {r.phrase: r.a for r in phrases.collocations(docs).collect()}
+    assert found == {"one two three four": 40}
+    assert [on for label, on in seen if label == "pairs"] == ["true"] and spark.conf.get(name, None) == before
