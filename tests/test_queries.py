@@ -50,3 +50,19 @@ def test_queries_hold_arrow_batches_small(spark):
     finally:
         QUERIES.pop("probe_of_batches")
         spark.conf.set(name, before)
+
+
+def test_queries_bound_the_bytes_of_arrow_batches(spark):
+    """A row may be a whole block of documents, so that rows alone do not bound a batch."""
+    from echoledger.session import BATCH_BYTES, bound_batches
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen = spark.conf.get(name), []
+    try:
+        for given in ("256m", "1000"):
+            spark.conf.set(name, given)
+            bound_batches(spark)
+            seen.append(int(spark.conf.get(name).rstrip("b")))
+        assert seen == [BATCH_BYTES, 1000]
+    finally:
+        spark.conf.set(name, before)
