@@ -73,9 +73,9 @@ def snapshot_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return log.where(F.col("request_id") % 2 == 1), store.withColumn("embedding", V.hashed_terms(F.col("embed_text")))
 
 
-def stored_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Store rows of all distinct documents, with an answer of known size."""
-    log = document_log(spark, sf)
+def stored_documents(spark: SparkSession, sf: str, log: DataFrame | None = None) -> DataFrame:
+    """Store rows of all distinct documents, with an answer of known size. log: what document_log gives, where it is there already."""
+    log = document_log(spark, sf) if log is None else log
     answer = F.to_json(
         F.struct(
             F.lit("message").alias("type"),
@@ -626,7 +626,7 @@ def usage_ledger(spark, sf):
     """Usage facts of the replayed log, priced, with the links a hit needs."""
     log = document_log(spark, sf)
     out = resolve.replay_log(log, DEFAULTS)
-    answers = stored_documents(spark, sf).select("prompt_hash", "input_tokens", "output_tokens")
+    answers = stored_documents(spark, sf, log).select("prompt_hash", "input_tokens", "output_tokens")
     ledger = resolve.usage_facts(out, answers, F.length("embed_text") % 1000)
     return ledger.select(
         "id", "request_id", "tier", "cache_hit", "model", "input_tokens", "output_tokens", "latency_ms",

@@ -66,3 +66,16 @@ def test_queries_bound_the_bytes_of_arrow_batches(spark):
         assert seen == [BATCH_BYTES, 1000]
     finally:
         spark.conf.set(name, before)
+
+
+def test_a_log_that_is_there_is_not_read_again(spark, monkeypatch):
+    from echoledger.plans import queries as Q
+
+    monkeypatch.setattr(Q, "document_log", lambda *a: pytest.fail("the log was read again"))
+    kind = "request_id long, session_id string, ts timestamp, prompt_text string, prompt_hash string, model string, embed_text string"
+    log = spark.sql("SELECT 1704067200 AS t").selectExpr("explode(sequence(0, 3)) AS i", "t").selectExpr(
+        "cast(i AS long) AS request_id", "'s' AS session_id", "timestamp_seconds(t + i) AS ts", "'p' AS prompt_text",
+        "concat('h', i % 2) AS prompt_hash", "'m' AS model", "'some text' AS embed_text")
+    assert log.columns == [c.split()[0] for c in kind.split(", ")]
+    got = {(r.prompt_hash, r.input_tokens, r.output_tokens) for r in Q.stored_documents(spark, "", log).collect()}
+    assert got == {("h0", 9, 0), ("h1", 9, 1)}
