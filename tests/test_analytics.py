@@ -163,3 +163,14 @@ def test_pair_integrity(spark):
     rows = [("a", "b", "hit"), ("a", "b", "hit"), (" ", "b", "miss"), ("c", "d", "maybe")]
     r = Q.pair_integrity(spark.createDataFrame(rows, "a string, b string, expect string")).first()
     assert (r.n_pairs, r.too_small, r.bad_labels, r.blank_texts, r.repeated_pairs) == (4, True, 1, 1, 1)
+
+
+def test_pairs_are_scored_where_they_lie(spark):
+    """Neither texts nor vectors nor features move; pairs without one of their texts are left out, equal pairs all count."""
+    rows = [(1, "open the file", "open the file"), (2, "open the file", "close the file"), (3, None, "x"), (4, "x", None), (2, "open the file", "close the file"), (5, "", "a")]
+    found = Q.score_pairs(spark.createDataFrame(rows, "pair_id long, a string, b string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("ArrowEvalPython") <= 2
+    got = sorted((r.pair_id, round(r.score, 6), r.safe) for r in found.collect())
+    assert got == [(1, 1.0, True), (2, 0.666667, False), (2, 0.666667, False), (5, 0.0, True)]
+    assert found.columns == ["pair_id", "a", "b", "score", "safe"]
